@@ -7,7 +7,7 @@ being joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fallback_ward_name
 
@@ -88,14 +88,10 @@ def in_top(df: DataFrame, ranked: DataFrame, column: str, n: int, key: str = "wa
 def compare_versions(versions: DataFrame, run_metrics: DataFrame, metric: str) -> DataFrame:
     """Registered versions with their run's metric, "N/A" when the run has none, in version order."""
     values = run_metrics.filter(F.col("metric_name") == metric).select("run_id", "metric_value")
-    shown = F.coalesce(F.format_number("metric_value", "0.0000"), F.lit("N/A"))
+    shown = F.when(F.col("metric_value").isNotNull(), F.format_string("%.4f", F.col("metric_value"))).otherwise("N/A")
     return (
         versions.join(values, "run_id", "left")
         .select(F.col("version").cast("int").alias("version"), "stage", F.substring("run_id", 1, 8).alias("run"),
                 shown.alias("metric"))
         .orderBy("version")
     )
-
-
-def keyed(df: DataFrame, mapping: Column, name: str) -> DataFrame:
-    return df.withColumn(name, mapping)

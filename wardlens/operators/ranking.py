@@ -128,8 +128,8 @@ def greedy_recommendations(
         F.col("heat_stress_score").alias("heat"), F.col("flood_risk_score").alias("flood"),
     )
     wards = best.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("wards"))
-    limit = budget if isinstance(budget, Column) else F.lit(budget)
-    plan = wards.select(*keys, F.posexplode(_spend(F.col("wards"), limit)).alias("pos", "r"))
+    limited = wards.withColumn("_budget", budget if isinstance(budget, Column) else F.lit(budget))
+    plan = limited.select(*keys, F.posexplode(_spend(F.col("wards"), F.col("_budget"))).alias("pos", "r"))
     return plan.select(
         *keys,
         (F.col("pos") + 1).alias("priority_rank"),

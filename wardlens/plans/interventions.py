@@ -84,7 +84,7 @@ def fill_recommendations(primary: DataFrame, risks: DataFrame, budget: int, top_
     used = primary.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).alias("spent")))
     rest = risks.join(primary.select("ward_id").distinct(), "ward_id", "left_anti")
     left = F.lit(budget) - used.scalar()["spent"]
-    extra = greedy_recommendations(rest.withColumn("_one", F.lit(1)), left.cast("int"), top_k, None)
+    extra = greedy_recommendations(rest, left.cast("int"), top_k)
     offset = used.scalar()["n"]
     shifted = extra.withColumn("priority_rank", (F.col("priority_rank") + offset).cast("int")).filter(
         F.col("priority_rank") <= top_k)

@@ -26,13 +26,13 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-def grid_weather(payloads: DataFrame) -> DataFrame:
-    """One row per grid point: position i of the response is (lat[i div 4], lon[i mod 4]).
+def grid_weather(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per grid point: position i of the response is (lat[i div 4], lon[i mod 4]); ``keep`` passes columns on.
 
     A response for a single location is an object instead of an array; ``from_json`` reads it as one element.
     """
     locations = F.from_json("value", f"ARRAY<{WEATHER_PAYLOAD.simpleString()}>")
-    points = payloads.select(F.posexplode(locations).alias("i", "loc")).filter(
+    points = payloads.select(*(keep or []), F.posexplode(locations).alias("i", "loc")).filter(
         F.col("i") < len(GRID_LATS) * len(GRID_LONS)
     )
 
@@ -45,6 +45,7 @@ def grid_weather(payloads: DataFrame) -> DataFrame:
     lats = F.array(*[F.lit(v) for v in GRID_LATS])
     lons = F.array(*[F.lit(v) for v in GRID_LONS])
     return points.select(
+        *(keep or []),
         F.get(lats, F.floor(F.col("i") / len(GRID_LONS)).cast("int")).alias("grid_lat"),
         F.get(lons, F.pmod(F.col("i"), F.lit(len(GRID_LONS)))).alias("grid_lon"),
         field("loc.current.temperature_2m", "temperature_c"),
