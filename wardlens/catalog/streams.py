@@ -1 +1,112 @@
-"""Placeholder."""
+"""Streaming jobs run to completion over the events table, compared with their batch equivalents."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..plans.risk import threshold_alerts
+from ..session import scratch_path
+from ..sources.files import follow_parquet
+from ..streaming import alerts as alert_jobs, drift as drift_jobs, windows as window_jobs
+from .readings import _WINDOW_DOUBLES, _WINDOW_SQL
+from .registry import query
+from .views import Tables
+
+# A window is closed once the newest event is 30 seconds past its end.
+_CLOSED = f"""
+SELECT * FROM ({_WINDOW_SQL}) WHERE window_end <= (SELECT max(ts) FROM readings) - INTERVAL '30 seconds'"""
+
+
+def _readings_stream(t: Tables) -> DataFrame:
+    """The readings view over a streaming scan of the events file."""
+    schema = t.base("events").schema
+    stream = follow_parquet(t.spark, t.folder, schema, "events.parquet")
+    streaming = Tables(t.spark, t.folder)
+    streaming.base = lambda name: stream if name == "events" else t.base(name)
+    return streaming.readings
+
+
+def _finish(query_) -> None:
+    query_.awaitTermination()
+    if query_.exception() is not None:
+        raise query_.exception()
+
+
+def _naive(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("T1 T2 T3 T5 K4 X2", "readings", _WINDOW_DOUBLES, _CLOSED)
+def streamed_windows(t: Tables) -> DataFrame:
+    out = scratch_path(t.spark, "windows")
+    windows = window_jobs.windowed_stream(_readings_stream(t))
+    _finish(window_jobs.append_stream(windows, os.path.join(out, "table"), os.path.join(out, "state"), once=True))
+    return _naive(t.spark.read.schema(windows.schema).parquet(os.path.join(out, "table")))
+
+
+@query("T4 X2 F2", "readings", _WINDOW_DOUBLES, f"SELECT * FROM ({_CLOSED}) WHERE has_anomaly = 1")
+def streamed_anomalies(t: Tables) -> DataFrame:
+    """The alert output of the two-output job."""
+    out = scratch_path(t.spark, "anomalies")
+    windows = window_jobs.windowed_stream(_readings_stream(t))
+    _finish(window_jobs.publish_windows(
+        windows, os.path.join(out, "features"), os.path.join(out, "alerts"), os.path.join(out, "state"), once=True))
+    stored = t.spark.read.schema(windows.schema).option("recursiveFileLookup", True).parquet(os.path.join(out, "alerts"))
+    return _naive(stored)
+
+
+@query("T7 U3", "", "", """
+SELECT ward_id, ts_ms, count(*) AS n FROM (
+  SELECT DISTINCT user_id % 198 + 1 AS ward_id, epoch_ms(date_trunc('hour', ts)) AS ts_ms FROM events) GROUP BY ALL""")
+def streamed_alert_keys(t: Tables) -> DataFrame:
+    """Readings as alerts stamped by the hour: one per (ward, instant) survives."""
+    out = scratch_path(t.spark, "alert-keys")
+    alerts = _readings_stream(t).select(
+        "ward_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.lit("heat_wave").alias("alert_type"))
+    deduped = alert_jobs.dedupe_stream(alerts)
+    _finish(window_jobs.append_stream(deduped, os.path.join(out, "table"), os.path.join(out, "state"), once=True))
+    stored = t.spark.read.schema(deduped.schema).parquet(os.path.join(out, "table"))
+    return stored.groupBy("ward_id", "ts_ms").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("T9 X3", "risks", "", """
+SELECT ward_id, 'heat_wave' AS alert_type, CASE WHEN heat_stress_score >= 75 THEN 'critical' ELSE 'high' END AS severity
+FROM risks WHERE heat_stress_score >= 60
+UNION ALL SELECT ward_id, 'flood_warning', CASE WHEN flood_risk_score >= 70 THEN 'critical' ELSE 'high' END
+FROM risks WHERE flood_risk_score >= 50""")
+def evaluated_alerts(t: Tables) -> DataFrame:
+    """One evaluation of the rules per micro-batch of events."""
+    out = scratch_path(t.spark, "evaluated")
+    ticks = _readings_stream(t).select(F.col("ts").cast("timestamp").alias("timestamp"))
+    _finish(alert_jobs.evaluate_alerts(
+        ticks, lambda: t.risks, os.path.join(out, "table"), os.path.join(out, "state"), once=True))
+    shape = threshold_alerts(t.risks, F.current_timestamp()).schema
+    stored = t.spark.read.schema(shape).option("recursiveFileLookup", True).parquet(os.path.join(out, "table"))
+    return stored.select("ward_id", "alert_type", "severity")
+
+
+@query("T10 A14", "", "psi", """
+WITH b AS (SELECT value AS v, 0 AS side FROM events UNION ALL SELECT value * 1.5::DOUBLE, 1 FROM events),
+r AS (SELECT min(v) AS lo, (max(v) + 1e-6 - min(v)) / 10 AS w, (SELECT count(*) FROM events) AS n FROM b),
+c AS (SELECT k, count(*) FILTER (WHERE side = 0 AND v >= lo + k * w AND (v < lo + (k + 1) * w OR k = 9)) AS c0,
+             count(*) FILTER (WHERE side = 1 AND v >= lo + k * w AND (v < lo + (k + 1) * w OR k = 9)) AS c1,
+             any_value(n) AS n FROM b, r, range(0, 10) t(k) GROUP BY k),
+s AS (SELECT greatest(c0 / (n + 1e-8), 1e-6) AS e, greatest(c1 / (n + 1e-8), 1e-6) AS a FROM c)
+SELECT 'pm25' AS metric, sum((a - e) * ln(a / e)) AS psi,
+       CASE WHEN sum((a - e) * ln(a / e)) > 0.2 THEN 'CRITICAL' WHEN sum((a - e) * ln(a / e)) > 0.1 THEN 'WARN' ELSE 'OK' END AS level
+FROM s""")
+def streamed_drift(t: Tables) -> DataFrame:
+    """Streamed readings, raised by half, against the stored ones."""
+    out = scratch_path(t.spark, "drift")
+
+    def long(df: DataFrame, factor: float) -> DataFrame:
+        return df.select(F.lit("pm25").alias("metric"), (F.col("pm25") * factor).alias("value"))
+
+    _finish(drift_jobs.monitor_drift(
+        long(_readings_stream(t), 1.5), long(t.readings, 1.0), os.path.join(out, "table"), os.path.join(out, "state"),
+        once=True))
+    return t.spark.read.schema("metric STRING, psi DOUBLE, level STRING").option("recursiveFileLookup", True).parquet(
+        os.path.join(out, "table"))

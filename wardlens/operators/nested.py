@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Spark's default JSON timestamps stop at milliseconds.
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def to_record(df: DataFrame, name: str = "value") -> DataFrame:
-    return df.select(F.to_json(F.struct("*")).alias(name))
+    return df.select(F.to_json(F.struct("*"), JSON_TIMES).alias(name))
 
 
 def from_record(df: DataFrame, ddl: str, name: str = "value") -> DataFrame:
-    return df.select(F.from_json(name, ddl).alias("r")).select("r.*")
+    return df.select(F.from_json(name, ddl, JSON_TIMES).alias("r")).select("r.*")
 
 
 def explode_vector(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.nested import JSON_TIMES
+
 
 def to_messages(df: DataFrame, key: Column | None = None) -> DataFrame:
-    value = F.to_json(F.struct("*")).alias("value")
+    value = F.to_json(F.struct("*"), JSON_TIMES).alias("value")
     keyed = F.lit(None).cast("string") if key is None else key.cast("string")
     return df.select(keyed.alias("key"), value)
 
