@@ -9,12 +9,12 @@ from ..operators.filters import metric_filter, since
 from ..operators.joins import in_top, join_wards
 from ..operators.ranking import largest, most_recent
 from ..operators.running import running_sum_by_time
-from .risk import COMBINED
+from .risk import combined
 
 
 def top_wards(scores: DataFrame, wards: DataFrame, n: int, by: str = "heat_stress_score") -> DataFrame:
     """The n highest wards with names; the limit comes before the join."""
-    ranked = scores.withColumn("combined_risk", COMBINED)
+    ranked = scores.withColumn("combined_risk", combined())
     return largest(ranked, by, n).join(wards.select("ward_id", "ward_name"), "ward_id", "left").orderBy(
         F.col(by).desc(), "ward_id")
 

@@ -14,7 +14,9 @@ from ..operators.ranking import latest_per_key, listing, ranked_top
 from ..operators.sets import fired_rules
 from ..operators.tables import merge_columns
 
-COMBINED = risk.combined_risk(F.col("heat_stress_score"), F.col("flood_risk_score"))
+
+def combined() -> Column:
+    return risk.combined_risk(F.col("heat_stress_score"), F.col("flood_risk_score"))
 
 
 def weather_scores(readings: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def weather_scores(readings: DataFrame) -> DataFrame:
         risk.weather_flood_score(F.col("precipitation_mm")).alias("flood_risk_score"),
         F.coalesce("temperature_2m", F.lit(30.0)).alias("lst_pred_celsius"),
     )
-    return scored.withColumn("risk_level", risk.risk_level(COMBINED))
+    return scored.withColumn("risk_level", risk.risk_level(combined()))
 
 
 def refresh_scores(scores: DataFrame, readings: DataFrame, as_of: Column, order: list[str]) -> DataFrame:
@@ -76,12 +78,12 @@ def hourly_forecast(risks: DataFrame, horizon: int = 6, noise_seed: int | None =
 
 
 def priority_wards(risks: DataFrame, limit: int = 20, min_heat_score: float = 0.0) -> DataFrame:
-    kept = at_least(risks, "heat_stress_score", min_heat_score).withColumn("composite_risk", COMBINED)
+    kept = at_least(risks, "heat_stress_score", min_heat_score).withColumn("composite_risk", combined())
     return ranked_top(kept, F.col("composite_risk"), limit)
 
 
 def critical_wards(risks: DataFrame) -> DataFrame:
-    return risks.filter(F.col("risk_level") == "critical").withColumn("combined_risk", COMBINED).orderBy(
+    return risks.filter(F.col("risk_level") == "critical").withColumn("combined_risk", combined()).orderBy(
         F.col("combined_risk").desc(), "ward_id")
 
 

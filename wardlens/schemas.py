@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType,
+    TimestampType,
+)
+
+_TYPES: dict[str, DataType] = {
+    "INT": IntegerType(), "BIGINT": LongType(), "DOUBLE": DoubleType(), "STRING": StringType(),
+    "BOOLEAN": BooleanType(), "DATE": DateType(), "TIMESTAMP": TimestampType(),
+    "LABELS": MapType(StringType(), StringType()),
+}
 
 
-def _schema(ddl: str, required: tuple[str, ...] = ()) -> StructType:
-    parsed = StructType.fromDDL(ddl)
-    for field in parsed.fields:
-        field.nullable = field.name not in required
-    return parsed
+def _schema(columns: str, required: tuple[str, ...] = ()) -> StructType:
+    """"name TYPE, ..." without needing a session, so that schemas can be module constants."""
+    pairs = [column.split() for column in columns.split(",")]
+    return StructType([StructField(name, _TYPES[kind], name not in required) for name, kind in pairs])
 
 
 RAW_IOT = _schema(
@@ -57,10 +65,11 @@ WEATHER_READINGS = _schema(
     ("ward_id", "timestamp"),
 )
 
-WEATHER_PAYLOAD = StructType.fromDDL(
-    "current STRUCT<temperature_2m: DOUBLE, relative_humidity_2m: DOUBLE, precipitation: DOUBLE, "
-    "wind_speed_10m: DOUBLE>, daily STRUCT<precipitation_sum: ARRAY<DOUBLE>, temperature_2m_max: ARRAY<DOUBLE>, "
-    "temperature_2m_min: ARRAY<DOUBLE>>"
+# one element of a weather API response
+WEATHER_PAYLOAD_DDL = (
+    "STRUCT<current: STRUCT<temperature_2m: DOUBLE, relative_humidity_2m: DOUBLE, precipitation: DOUBLE, "
+    "wind_speed_10m: DOUBLE>, daily: STRUCT<precipitation_sum: ARRAY<DOUBLE>, temperature_2m_max: ARRAY<DOUBLE>, "
+    "temperature_2m_min: ARRAY<DOUBLE>>>"
 )
 
 WARD_RISK_SCORES = _schema(
@@ -96,7 +105,7 @@ RUN_METRICS = _schema(
     ("run_id", "metric_name"),
 )
 
-METRIC_SERIES = _schema("ts TIMESTAMP, name STRING, labels MAP<STRING, STRING>, value DOUBLE", ("ts", "name"))
+METRIC_SERIES = _schema("ts TIMESTAMP, name STRING, labels LABELS, value DOUBLE", ("ts", "name"))
 
 DRIFT_BASELINE = _schema("model STRING, metric STRING, value DOUBLE", ("model", "metric"))
 

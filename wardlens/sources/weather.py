@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..schemas import WEATHER_PAYLOAD
+from ..schemas import WEATHER_PAYLOAD_DDL
 
 # The 5 x 4 weather grid, lat-major, and the defaults for absent fields.
 GRID_LATS = (12.840, 12.913, 12.986, 13.059, 13.130)
@@ -31,7 +31,7 @@ def grid_weather(payloads: DataFrame, keep: list[str] | None = None) -> DataFram
 
     A response for a single location is an object instead of an array; ``from_json`` reads it as one element.
     """
-    locations = F.from_json("value", f"ARRAY<{WEATHER_PAYLOAD.simpleString()}>")
+    locations = F.from_json("value", f"ARRAY<{WEATHER_PAYLOAD_DDL}>")
     points = payloads.select(*(keep or []), F.posexplode(locations).alias("i", "loc")).filter(
         F.col("i") < len(GRID_LATS) * len(GRID_LONS)
     )
