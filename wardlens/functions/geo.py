@@ -103,21 +103,31 @@ def inside_bbox(lon: Column, lat: Column, box: BBox = SERVICE_BBOX) -> Column:
     return lon.between(box.west, box.east) & lat.between(box.south, box.north)
 
 
-def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Even-odd ray casting over ``array<array<double>>`` (lon, lat) vertices.
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring of (lon, lat) vertices as struct(x, y, top, slope): each vertex with its predecessor.
 
-    Each edge joins a vertex with its predecessor; the first vertex's predecessor is the last one.
+    ``x``/``y`` is the vertex, ``top`` the predecessor's latitude, ``slope`` the change of longitude per latitude (null
+    for a horizontal edge, which a ray never crosses). Computed once per polygon, not per tested point.
     """
     size = F.size(ring)
 
-    def crosses(i: Column) -> Column:
-        a = F.get(ring, i)
-        b = F.get(ring, F.when(i == 0, size - 1).otherwise(i - 1))
-        xi, yi, xj, yj = F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(b, F.lit(0)), F.get(b, F.lit(1))
-        straddles = (yi > lat) != (yj > lat)
-        # straddles implies yj != yi; nullif only keeps ANSI mode from raising on the unused branch
-        edge_x = (xj - xi) * (lat - yi) / F.nullif(yj - yi, F.lit(0.0)) + xi
-        return F.when(straddles, lon < edge_x).otherwise(F.lit(False))
-
-    hits = F.filter(F.sequence(F.lit(0), size - 1), crosses)
-    return F.pmod(F.size(hits), F.lit(2)) == 1
+    def edge(vertex: Column, i: Column) -> Column:
+        before = F.get(ring, F.when(i == 0, size - 1).otherwise(i - 1))
+        dlat = F.nullif(before[1] - vertex[1], F.lit(0.0))
+        return F.struct(vertex[0].alias("x"), vertex[1].alias("y"), before[1].alias("top"),
+                        ((before[0] - vertex[0]) / dlat).alias("slope"))
+
+    return F.transform(ring, edge)
+
+
+def inside_edges(lon: Column, lat: Column, edges: Column) -> Column:
+    """Even-odd ray casting: inside when an odd number of edges lies to the east at the point's latitude."""
+
+    def crossed(e: Column) -> Column:
+        return ((e["y"] > lat) != (e["top"] > lat)) & (lon < e["slope"] * (lat - e["y"]) + e["x"])
+
+    return F.pmod(F.size(F.filter(edges, crossed)), F.lit(2)) == 1
+
+
+def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    return inside_edges(lon, lat, ring_edges(ring))

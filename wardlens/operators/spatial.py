@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geo import GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, planar_km, point_in_ring
+from ..functions.geo import GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, inside_edges, planar_km, ring_edges
+from ..session import cut_lineage
 
 _FINEST = 20  # 2^20 cells per axis at the deepest level
-_STEP = 2  # levels 0, 2, ..., _FINEST; one step is a factor of four in cell size
+_STEP = 2  # counted levels 0, 2, ..., _FINEST
+EARTH_KM_PER_DEGREE = 111.19
 
 
 def _neighbour_cells(x: Column, y: Column) -> Column:
@@ -24,73 +26,87 @@ def _ancestor(column: str, level: Column) -> Column:
     return F.floor(F.col(column) / F.pow(F.lit(2.0), F.lit(_FINEST) - level)).cast("long")
 
 
+def _used_levels(rows: DataFrame) -> Column:
+    """The levels that occur, as an array of a one-row aggregate (21 integers at most)."""
+    return rows.agg(F.sort_array(F.collect_set("level"))).scalar()
+
+
 def nearest_neighbours(nodes: DataFrame, k: int = 6, metric: str = "degrees") -> DataFrame:
     """The k nearest other nodes of every node: (src, dst, distance, rank). Exact; ties go to the smaller id.
 
-    ``nodes`` has ward_id, lon, lat. ``metric`` is "degrees" (planar) or "haversine" (km; up to 80 degrees latitude).
+    ``nodes`` has ward_id, lon, lat. ``metric`` is "degrees" (planar) or "haversine" (km).
 
     1. Nodes that share a location are one query, and at most k+1 of them (smallest ids) are candidates, which is all
        any answer can use. A pile of copies at one spot therefore stays k+1 rows.
-    2. A cell hierarchy counts candidates. Each occupied cell takes the deepest level whose 3x3 surroundings hold k+1
-       candidates; its k nearest lie within 2*sqrt(2) of that cell size, hence inside the 3x3 surroundings one step
-       (factor four) up; for haversine two steps up, which also covers the shrinking of longitudes. Dense areas search
-       small cells, sparse ones large cells, in one equi-join.
+    2. A cell hierarchy counts candidates. Each location looks into the deepest cell around it that holds k+1 of them;
+       the distance of the last of those bounds its answer. Dense areas look into small cells, sparse ones into large.
+    3. With that bound as radius, each location asks the 3x3 cells of the level whose cells are just as wide, and keeps
+       what lies within the radius.
     """
     place = nodes.select(F.col("ward_id").cast("long").alias("id"), F.col("lon").cast("double").alias("lon"),
                          F.col("lat").cast("double").alias("lat"))
     box = place.agg(F.struct(
         F.min("lon").alias("west"), F.min("lat").alias("south"),
         F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"), F.lit(1e-9)).alias("span"),
+        F.max(F.abs("lat")).alias("top"),
     )).scalar()
 
-    by_id = Window.partitionBy("lon", "lat").orderBy("id")
-    kept = place.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1).drop("_n")
-    cells = float(2**_FINEST)
-
     def finest(value: str, origin: str) -> Column:
-        scaled = F.floor((F.col(value) - F.col(f"_b.{origin}")) / F.col("_b.span") * F.lit(cells))
+        scaled = F.floor((F.col(value) - F.col(f"_b.{origin}")) / F.col("_b.span") * F.lit(float(2**_FINEST)))
         return F.least(scaled, F.lit(2**_FINEST - 1)).cast("long")
 
+    by_id = Window.partitionBy("lon", "lat").orderBy("id")
+    kept = place.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
     gridded = kept.withColumn("_b", box).select(
-        "id", "lon", "lat", finest("lon", "west").alias("fx"), finest("lat", "south").alias("fy")
+        "id", "lon", "lat", finest("lon", "west").alias("fx"), finest("lat", "south").alias("fy"),
+        F.col("_b.span").alias("span"), F.col("_b.top").alias("top"), (F.col("_n") == 1).alias("first"),
     )
 
-    # candidates per cell and level, spread to the nine cells that count them
-    occupied = gridded.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))
-    levels = F.explode(F.array(*[F.lit(v) for v in range(0, _FINEST + 1, _STEP)]))
-    leveled = occupied.withColumn("level", levels)
-    up = leveled.select("level", _ancestor("fx", F.col("level")).alias("x"), _ancestor("fy", F.col("level")).alias("y"),
-                        "n").groupBy("level", "x", "y").agg(F.sum("n").alias("n"))
-    around = up.select("level", "n", _neighbour_cells(F.col("x"), F.col("y")).alias("c")).groupBy(
-        "level", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("n").alias("n"))
-    enough = around.filter(F.col("n") >= k + 1).select("level", "x", "y")
-    own = leveled.select("fx", "fy", "level", _ancestor("fx", F.col("level")).alias("x"),
-                         _ancestor("fy", F.col("level")).alias("y"))
-    margin = _STEP * (1 if metric == "degrees" else 2)
-    search = own.join(enough, ["level", "x", "y"]).groupBy("fx", "fy").agg(F.max("level").alias("p"))
-    search = occupied.select("fx", "fy").join(search, ["fx", "fy"], "left").select(
-        "fx", "fy", F.greatest(F.coalesce("p", F.lit(0)) - margin, F.lit(0)).alias("level")
-    )
+    def distance(lon: str, lat: str) -> Column:
+        if metric == "haversine":
+            return haversine_km(F.col("qlon"), F.col("qlat"), F.col(lon), F.col(lat))
+        dlon, dlat = F.col(lon) - F.col("qlon"), F.col(lat) - F.col("qlat")
+        return F.sqrt(dlon * dlon + dlat * dlat)
 
-    # queries: one per location, asking the 3x3 cells of their level
-    locations = gridded.select("lon", "lat", "fx", "fy").distinct().join(search, ["fx", "fy"])
-    asked = locations.select(
-        "level", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"),
-        _neighbour_cells(_ancestor("fx", F.col("level")), _ancestor("fy", F.col("level"))).alias("c"),
-    ).select("level", "c.x", "c.y", "qlon", "qlat")
-    used = search.agg(F.sort_array(F.collect_set("level"))).scalar()  # at most eleven integers
-    offered = gridded.withColumn("level", F.explode(used)).select(
-        "level", _ancestor("fx", F.col("level")).alias("x"), _ancestor("fy", F.col("level")).alias("y"),
-        "id", "lon", "lat",
-    )
-    pairs = asked.join(offered, ["level", "x", "y"])
-    if metric == "degrees":
-        dlon, dlat = F.col("lon") - F.col("qlon"), F.col("lat") - F.col("qlat")
-        pairs = pairs.withColumn("distance", F.sqrt(dlon * dlon + dlat * dlat))
-    else:
-        pairs = pairs.withColumn("distance", haversine_km(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")))
+    def at_levels(rows: DataFrame, levels: Column) -> DataFrame:
+        leveled = rows.withColumn("level", F.explode(levels))
+        return leveled.withColumns({"x": _ancestor("fx", F.col("level")), "y": _ancestor("fy", F.col("level"))})
+
+    # the deepest counted cell of each occupied finest cell
+    occupied = gridded.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))
+    counted = F.array(*[F.lit(v) for v in range(0, _FINEST + 1, _STEP)])
+    cells = at_levels(occupied, counted)
+    full = cells.groupBy("level", "x", "y").agg(F.sum("n").alias("total")).filter(F.col("total") >= k + 1)
+    deepest = cells.join(full, ["level", "x", "y"]).groupBy("fx", "fy").agg(F.max("level").alias("level"))
+    located = gridded.join(deepest, ["fx", "fy"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+    # bound: distance of the (k+1)-th candidate of that cell (the location's own nodes count)
+    homes = located.withColumns({"x": _ancestor("fx", F.col("level")), "y": _ancestor("fy", F.col("level"))})
+    queries = homes.filter("first").select(
+        "level", "x", "y", "fx", "fy", "span", "top", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
+    shared = at_levels(gridded.select("id", "lon", "lat", "fx", "fy"), _used_levels(located)).drop("fx", "fy")
     order = Window.partitionBy("qlon", "qlat").orderBy("distance", "id")
-    nearest = pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
+    inside = queries.join(shared, ["level", "x", "y"]).withColumn("distance", distance("lon", "lat"))
+    bounds = inside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy(
+        "qlon", "qlat", "fx", "fy", "span", "top"
+    ).agg(F.when(F.count(F.lit(1)) == k + 1, F.max("distance")).alias("radius"))
+
+    # the level whose cells are at least as wide as the bound; without a bound everything is within reach
+    degrees = F.col("radius")
+    if metric == "haversine":
+        degrees = degrees / (EARTH_KM_PER_DEGREE * F.cos(F.radians(F.least(F.col("top"), F.lit(89.0)))))
+    level = F.floor(F.log2(F.col("span") / F.greatest(degrees * (1 + 1e-9), F.lit(1e-12))))
+    # stored once (one small row per location): it feeds both the level list and the search
+    asking = cut_lineage(bounds.withColumn("level", F.coalesce(
+        F.least(F.greatest(level, F.lit(0)), F.lit(_FINEST)), F.lit(0)).cast("int")))
+    asked = asking.select(
+        "level", "qlon", "qlat", "radius",
+        _neighbour_cells(_ancestor("fx", F.col("level")), _ancestor("fy", F.col("level"))).alias("c"),
+    ).select("level", "c.x", "c.y", "qlon", "qlat", "radius")
+    offered = at_levels(gridded.select("id", "lon", "lat", "fx", "fy"), _used_levels(asking)).drop("fx", "fy")
+    near = asked.join(offered, ["level", "x", "y"]).withColumn("distance", distance("lon", "lat")).filter(
+        F.col("radius").isNull() | (F.col("distance") <= F.col("radius")))
+    nearest = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
     answers = nearest.groupBy("qlon", "qlat").agg(
         F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")
     )
@@ -156,38 +172,35 @@ def locate_points(points: DataFrame, polygons: DataFrame, point_key: str) -> Dat
     indexed = (
         sized.withColumn("x", F.explode(F.sequence(cell("w"), cell("e"))))
         .withColumn("y", F.explode(F.sequence(cell("s"), cell("n"))))
-        .select("x", "y", "feature_order", F.col("ward_id").alias("_ward"), "ring", "w", "e", "s", "n")
+        .select("x", "y", "feature_order", F.col("ward_id").alias("_ward"), ring_edges(F.col("ring")).alias("edges"),
+                "w", "e", "s", "n")
     )
     placed = points.withColumn("_size", size).withColumn("x", cell("lon")).withColumn("y", cell("lat"))
     in_box = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
     hits = placed.join(indexed, ["x", "y"]).filter(
-        in_box & point_in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
+        in_box & inside_edges(F.col("lon"), F.col("lat"), F.col("edges"))
     )
     first = hits.groupBy(point_key).agg(F.min_by("_ward", "feature_order").alias("ward_id"))
     return points.join(first, point_key, "left")
 
 
-def _tile(position: Column, extent: Column, tiles: int) -> Column:
-    """Index of the tile that holds ``position`` when tile t covers [int(t*d), int((t+1)*d)), d = extent / tiles.
-
-    The limits are truncated float products, so the quotient is only a first guess and is corrected by one.
-    """
-    d = extent / F.lit(float(tiles))
-    guess = F.floor(position / d)
-    low = position < F.floor(guess * d)
-    high = position >= F.floor((guess + 1) * d)
-    return (guess - low.cast("int") + high.cast("int")).cast("int")
-
-
 def pixel_wards(
     pixels: DataFrame, height: Column, width: Column, ward_count: int = 198, columns: int = GRID_COLUMNS
 ) -> DataFrame:
-    """Ward of each pixel by arithmetic on the ward grid; pixels of grid cells beyond the last ward drop out."""
+    """Ward of each pixel by arithmetic on the ward grid; pixels of grid cells beyond the last ward drop out.
+
+    Tile t covers [int(t*d), int((t+1)*d)), d = extent / tiles, so a pixel's tile is the last t with t*d < position + 1.
+    The quotient decides that except where t*d is a whole number up to rounding; there the product itself is compared.
+    """
     rows = -(-ward_count // columns)
-    r = _tile(F.col("row"), height, rows)
-    c = _tile(F.col("col"), width, columns)
-    ward = (r * columns + c + 1).cast("int")
-    return pixels.withColumn("ward_id", ward).filter(F.col("ward_id").between(1, ward_count))
+    sized = pixels.withColumns({"_dr": height / F.lit(float(rows)), "_dc": width / F.lit(float(columns))})
+    guessed = sized.withColumns({
+        "_r": F.floor((F.col("row") + 1) / F.col("_dr") + 1e-9), "_c": F.floor((F.col("col") + 1) / F.col("_dc") + 1e-9),
+    })
+    r = F.col("_r") - (F.col("_r") * F.col("_dr") >= F.col("row") + 1).cast("int")
+    c = F.col("_c") - (F.col("_c") * F.col("_dc") >= F.col("col") + 1).cast("int")
+    placed = guessed.withColumn("ward_id", (r * columns + c + 1).cast("int")).drop("_dr", "_dc", "_r", "_c")
+    return placed.filter(F.col("ward_id").between(1, ward_count))
 
 
 def zonal_means(pixels: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

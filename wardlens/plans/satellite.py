@@ -12,11 +12,14 @@ INDICES = ["ndvi", "ndbi", "impervious_pct", "lst_celsius"]
 
 
 def with_indices(pixels: DataFrame) -> DataFrame:
-    b4, b5, b6 = (spectral.reflectance(F.col(b)) for b in ("b4", "b5", "b6"))
-    ndbi = spectral.ndbi(b6, b5)
-    return pixels.select(
-        "*", spectral.ndvi(b5, b4).alias("ndvi"), ndbi.alias("ndbi"),
-        spectral.impervious_pct(ndbi).alias("impervious_pct"), spectral.lst_celsius(F.col("b10")).alias("lst_celsius"),
+    """Indices in steps, so that each formula refers to columns instead of repeating its inputs' arithmetic."""
+    scaled = pixels.withColumns({f"_{b}": spectral.reflectance(F.col(b)) for b in ("b4", "b5", "b6")})
+    ratios = scaled.withColumns({
+        "ndvi": spectral.ndvi(F.col("_b5"), F.col("_b4")), "ndbi": spectral.ndbi(F.col("_b6"), F.col("_b5")),
+    })
+    return ratios.select(
+        *pixels.columns, "ndvi", "ndbi", spectral.impervious_pct(F.col("ndbi")).alias("impervious_pct"),
+        spectral.lst_celsius(F.col("b10")).alias("lst_celsius"),
     )
 
 
