@@ -97,8 +97,8 @@ def nearest_neighbours(nodes: DataFrame, k: int = 6, metric: str = "degrees") ->
         degrees = degrees / (EARTH_KM_PER_DEGREE * F.cos(F.radians(F.least(F.col("top"), F.lit(89.0)))))
     level = F.floor(F.log2(F.col("span") / F.greatest(degrees * (1 + 1e-9), F.lit(1e-12))))
     # stored once (one small row per location): it feeds both the level list and the search
-    asking = cut_lineage(bounds.withColumn("level", F.coalesce(
-        F.least(F.greatest(level, F.lit(0)), F.lit(_FINEST)), F.lit(0)).cast("int")))
+    reach = F.when(F.col("radius").isNull(), F.lit(0)).otherwise(F.least(F.greatest(level, F.lit(0)), F.lit(_FINEST)))
+    asking = cut_lineage(bounds.withColumn("level", reach.cast("int")))
     asked = asking.select(
         "level", "qlon", "qlat", "radius",
         _neighbour_cells(_ancestor("fx", F.col("level")), _ancestor("fy", F.col("level"))).alias("c"),
