@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import clip, clip_norm, log_norm
-from .running import forward_fill, with_halo
+from ..session import broadcast_if_small
+from .running import forward_fill, ordinal, with_halo
+
+MAX_BROADCAST_SNAPSHOTS = 100_000
 
 # The twelve model features, in order, and the two targets.
 FEATURES = (
@@ -19,13 +22,14 @@ WINDOW = 8
 def with_snapshot_index(history: DataFrame, ts: str = "snapshot_ts", name: str = "snapshot_idx") -> DataFrame:
     """Position of each row's timestamp among the distinct timestamps.
 
-    Only distinct timestamps are ordered. They are few (one per snapshot), however many rows a snapshot has.
+    Only the distinct timestamps are ordered, in blocks of a day, so even a fine-grained history never meets in one
+    task. The index is usually small enough to be broadcast; then the history itself is not shuffled.
     """
     if name in history.columns:
         return history
     stamps = history.select(ts).distinct()
-    index = (F.row_number().over(Window.orderBy(ts)) - 1).cast("long")
-    return history.join(stamps.withColumn(name, index), ts)
+    indexed = ordinal(stamps, [], [ts], F.date_trunc("day", F.col(ts)), name)
+    return history.join(broadcast_if_small(indexed, MAX_BROADCAST_SNAPSHOTS), ts)
 
 
 def normalise_snapshot(df: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import broadcast_if_small
+
+MAX_BROADCAST_METRICS = 10_000
+
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Pearson correlation per named pair in one row; undefined becomes null."""
@@ -15,16 +19,17 @@ def population_stability(
 ) -> DataFrame:
     """PSI per metric between two long tables, over equal-width bins of their shared range.
 
-    Both sides are binned in one pass and reduced to counts per (metric, bin). All bins take part, because an empty bin
-    still contributes through the 1e-6 floor.
+    Two scans: one for the range of each metric (a row per metric, kept), one that bins both sides and reduces them
+    map-side to counts per (metric, bin). All bins take part, because an empty bin still contributes through the 1e-6
+    floor.
     """
     both = expected.select(metric, F.col(value).cast("double").alias("v"), F.lit(0).alias("side")).unionByName(
         actual.select(metric, F.col(value).cast("double").alias("v"), F.lit(1).alias("side"))
     ).filter(F.col("v").isNotNull())
-    ranges = both.groupBy(metric).agg(
+    ranges = broadcast_if_small(both.groupBy(metric).agg(
         F.min("v").alias("lo"), (F.max("v") + 1e-6).alias("hi"),
         F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"),
-    ).filter((F.col("n0") > 0) & (F.col("n1") > 0))
+    ).filter((F.col("n0") > 0) & (F.col("n1") > 0)), MAX_BROADCAST_METRICS)
     width = (F.col("hi") - F.col("lo")) / bins
     guess = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
     below = F.col("v") < F.col("lo") + guess * width
@@ -91,12 +96,13 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: list[float], ac
         F.when((F.col("t.p") <= slack) | few, F.col("vmin")).otherwise(F.col("t.lo")).alias("lo"),
         F.when((F.col("t.p") >= 1.0 - slack) | few, F.col("vmax")).otherwise(F.col("t.hi")).alias("hi"),
     )
-    # counts per distinct value: a value shared by many rows is one row from here on
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    # one row per wanted percentile, so this side is as long as the argument list
-    placed = counts.join(F.broadcast(targets), F.col("v") <= F.col("hi"))
-    below = placed.filter(F.col("v") < F.col("lo")).groupBy("p").agg(F.sum("c").alias("skipped"))
-    inside = placed.filter(F.col("v") >= F.col("lo")).join(below, "p", "left")
+    # the brackets are one array constant (as long as the argument list), so no row is shuffled to meet them
+    constant = targets.agg(F.collect_list(F.struct("p", "pos", "lo", "hi"))).scalar()
+    met = values.withColumn("t", F.explode(constant)).select("v", "t.*").filter(F.col("v") <= F.col("hi"))
+    below = met.filter(F.col("v") < F.col("lo")).groupBy("p").agg(F.count(F.lit(1)).alias("skipped"))
+    # only values inside a bracket are grouped; a value shared by many rows is one row from here on
+    inside = met.filter(F.col("v") >= F.col("lo")).groupBy("p", "pos", "v").agg(F.count(F.lit(1)).alias("c"))
+    inside = inside.join(below, "p", "left")
     upto = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = inside.withColumn("last", F.coalesce("skipped", F.lit(0)) + upto - 1)
     floor, ceiling = F.floor("pos"), F.ceil("pos")

@@ -16,8 +16,11 @@ def live_ward_weather(grid: DataFrame, wards: DataFrame, snapshot: DataFrame) ->
     """
     placed = wards.withColumn("_g", nearest_grid_point(F.col("centroid_lon"), F.col("centroid_lat"))).select(
         *wards.columns, F.col("_g.grid_lat").alias("weather_grid_lat"), F.col("_g.grid_lon").alias("weather_grid_lon"))
-    # the parsed grid has at most twenty rows by construction of the payload reader
-    points = F.broadcast(grid.withColumnsRenamed({"grid_lat": "weather_grid_lat", "grid_lon": "weather_grid_lon"}))
+    # one row per grid point, hence at most twenty: the payload reader only emits the points of the constant grid
+    values = [c for c in grid.columns if c not in ("grid_lat", "grid_lon")]
+    points = F.broadcast(grid.groupBy(
+        F.col("grid_lat").alias("weather_grid_lat"), F.col("grid_lon").alias("weather_grid_lon")
+    ).agg(F.max(F.struct(*values)).alias("v")).select("weather_grid_lat", "weather_grid_lon", "v.*"))
     joined = placed.join(points, ["weather_grid_lat", "weather_grid_lon"], "left")
     for name, default in ABSENT_POINT.items():
         joined = joined.withColumn(name, F.coalesce(name, F.lit(default)))
