@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import history, nested
 from ..plans import scoring, training
+from ..session import cut_lineage
 from .registry import query
 from .views import Tables
 
@@ -21,7 +22,11 @@ _VALUES = ["lst_celsius", "rainfall_mm_24h"]
 
 
 def _dense(t: Tables) -> DataFrame:
-    return history.densify(history.with_snapshot_index(t.snapshots), _VALUES)
+    return cut_lineage(history.densify(_indexed(t), _VALUES))
+
+
+def _indexed(t: Tables) -> DataFrame:
+    return cut_lineage(history.with_snapshot_index(t.snapshots))
 
 
 @query("W4 U7", "snapshots", "lst_celsius", f"""
@@ -43,7 +48,7 @@ SELECT g.ward_id, g.snapshot_idx, coalesce(last_value(i.lst_celsius IGNORE NULLS
 FROM grid g LEFT JOIN indexed i USING (ward_id, snapshot_idx)
 WINDOW w AS (PARTITION BY g.ward_id ORDER BY g.snapshot_idx)""")
 def filled_history(t: Tables) -> DataFrame:
-    return history.densify(history.with_snapshot_index(t.snapshots), _VALUES, "ffill")
+    return history.densify(_indexed(t), _VALUES, "ffill")
 
 
 @query("W5 N1", "snapshots", "temperature rain target", f"""
@@ -69,7 +74,7 @@ FROM (SELECT DISTINCT ward_id FROM indexed) w CROSS JOIN range(0, 40) r(k) CROSS
 LEFT JOIN indexed i ON i.ward_id = w.ward_id AND i.snapshot_idx = last - 39 + k""")
 def padded_history(t: Tables) -> DataFrame:
     """A window of 40 over 30 days: ten steps of left padding."""
-    latest = history.padded_latest(history.with_snapshot_index(t.snapshots), ["lst_celsius"], 40)
+    latest = history.padded_latest(_indexed(t), ["lst_celsius"], 40)
     return latest.select("ward_id", F.posexplode("x_seq").alias("step", "x")).select(
         "ward_id", "step", F.col("x")[0].alias("temperature"))
 

@@ -8,6 +8,7 @@ from ..operators import aggregates, joins, ranking, running, series
 from ..plans import dashboard
 from ..schemas import RAW_IOT
 from ..sources.messages import parse_sensor_messages, valid_json
+from ..session import cut_lineage
 from .registry import query
 from .views import Tables, sensor_k
 
@@ -143,7 +144,7 @@ def _counter(t: Tables) -> DataFrame:
     daily = running.running(
         per_minute.withColumn("day", F.to_date("ts")), ["event_type", "day"], ["ts"], F.date_trunc("hour", F.col("ts")),
         {"value": ("sum", F.col("n"))})
-    return daily.select("event_type", "ts", "value")
+    return cut_lineage(daily.select("event_type", "ts", "value"))
 
 
 _COUNTER_SQL = """

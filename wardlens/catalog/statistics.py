@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregates, running, statistics as stats
 from ..plans import quality
+from ..session import cut_lineage
 from .registry import query
 from .views import Tables
 
@@ -245,5 +246,5 @@ SELECT run, episode, reward, improved, least(reward, before) AS best, streak, st
 def early_stopping(t: Tables) -> DataFrame:
     rows = t.base("orders").select((F.col("o_custkey") % 500).alias("run"), F.col("o_orderkey").alias("step"),
                                    (F.col("o_totalprice") / 1000).alias("reward"))
-    epochs = running.ordinal(rows, ["run"], ["step"], F.floor(F.col("step") / 1000), "episode").drop("step")
+    epochs = cut_lineage(running.ordinal(rows, ["run"], ["step"], F.floor(F.col("step") / 1000), "episode").drop("step"))
     return running.early_stop(epochs, "run", "episode", "reward", 10, block=16)

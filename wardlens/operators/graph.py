@@ -43,7 +43,8 @@ def normalise_weights(edges: DataFrame) -> DataFrame:
 def ward_graph(nodes: DataFrame, k: int = 6, max_km: float = 3.5, self_loops: bool = False) -> DataFrame:
     """Edges (src, dst, weight): kNN or within max_km, inverse-distance weights summing to 1 per source."""
     edges = build_edges(nodes, k, max_km, self_loops)
-    return normalise_weights(inverse_distance_weights(edges, nodes))
+    # stored, because the weights are read for the totals and again for the division
+    return normalise_weights(cut_lineage(inverse_distance_weights(edges, nodes)))
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:

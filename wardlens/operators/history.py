@@ -140,10 +140,15 @@ def replicated_snapshot(snapshot: DataFrame, features: list[str], window: int =
     return snapshot.select("ward_id", F.array_repeat(vector, window).alias("x_seq"))
 
 
-def chronological_split(samples: DataFrame, fraction: float = 0.2, name: str = "split") -> DataFrame:
-    """Last max(1, int(fraction * n)) of the n distinct snapshot positions are validation."""
-    positions = samples.select("snapshot_idx").distinct()
-    bounds = positions.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("snapshot_idx").alias("last"))).scalar()
+def chronological_split(
+    samples: DataFrame, fraction: float = 0.2, name: str = "split", positions: DataFrame | None = None
+) -> DataFrame:
+    """Last max(1, int(fraction * n)) of the n distinct snapshot positions are validation.
+
+    ``positions`` may give the samples' snapshot_idx values from a cheaper source than the samples themselves.
+    """
+    source = samples if positions is None else positions
+    bounds = source.select("snapshot_idx").distinct().agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("snapshot_idx").alias("last"))).scalar()
     held = F.greatest(F.lit(1), F.floor(F.col("_b.n") * fraction))
     return (
         samples.withColumn("_b", bounds)

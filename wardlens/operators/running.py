@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -32,6 +34,7 @@ def running(
 ) -> DataFrame:
     """Running sum/min/max over ROWS UNBOUNDED PRECEDING .. CURRENT (or .. 1 PRECEDING).
 
+    The input is read twice (block totals, rows), so a chain of running computations stores each step's result first.
     ``aggs`` maps an output name to (kind, value); sums come back as double. ``order`` must be unique per key.
     ``max`` over a struct whose first field is the order gives "last value so far".
     """
@@ -121,10 +124,10 @@ def early_stop(
     chunk = F.floor(F.col(epoch) / block)
     best = running(metrics, [key], [epoch], chunk, {"best_before": ("min", F.col(value))}, include_current=False)
     improved = F.col("best_before").isNull() | (F.col(value) < F.col("best_before"))
-    flagged = best.withColumn("improved", improved).withColumn("best", F.least(value, "best_before"))
-    marked = running(
+    flagged = cut_lineage(best).withColumn("improved", improved).withColumn("best", F.least(value, "best_before"))
+    marked = cut_lineage(running(
         flagged, [key], [epoch], chunk, {"_last": ("max", F.when(F.col("improved"), F.col(epoch)))}
-    ).withColumn("streak", (F.col(epoch) - F.col("_last")).cast("long"))
+    ).withColumn("streak", (F.col(epoch) - F.col("_last")).cast("long")))
     stops = marked.groupBy(key).agg(F.min(F.when(F.col("streak") >= patience, F.col(epoch))).alias("stop_epoch"))
     return (
         marked.join(stops, key)
@@ -153,11 +156,11 @@ def arrival_order_windows(
     )
     opens = F.col("_prev").isNull() | (F.col("_prev.w") != F.col("window_start"))
     islands = running(
-        previous.withColumn("_opens", opens.cast("int")), ["ward_id"], [arrival], chunk,
+        cut_lineage(previous.withColumn("_opens", opens.cast("int")).drop("_prev")), ["ward_id"], [arrival], chunk,
         {"part": ("sum", F.col("_opens"))},
     )
-    parts = islands.groupBy("ward_id", F.col("part").cast("long").alias("part"), "window_start", "window_end").agg(
-        *window_measures()
-    )
+    parts = cut_lineage(islands.groupBy(
+        "ward_id", F.col("part").cast("long").alias("part"), "window_start", "window_end"
+    ).agg(*window_measures()))
     last = parts.groupBy("ward_id").agg(F.max("part").alias("_max"))
     return parts.join(last, "ward_id").withColumn("open", F.col("part") == F.col("_max")).drop("_max")

@@ -9,17 +9,23 @@ from ..operators.history import (
     FEATURES, TARGETS, WINDOW, chronological_split, densify, normalise_snapshot, sliding_samples, with_snapshot_index,
 )
 from ..operators.statistics import regression_metrics, standard_scale
+from ..session import cut_lineage
 
 
 def training_windows(
     history: DataFrame, features: tuple[str, ...] = FEATURES, targets: tuple[str, ...] = TARGETS,
     window: int = WINDOW, fill: str = "zero", validation: float = 0.2,
 ) -> DataFrame:
-    """Indexed, normalised, densified, scaled history as sliding samples with a chronological split."""
-    indexed = normalise_snapshot(with_snapshot_index(history))
-    dense = densify(indexed, [*features, *targets], fill)
+    """Indexed, normalised, densified, scaled history as sliding samples with a chronological split.
+
+    Densifying, scaling and splitting each read their input more than once, so the history is stored before the first
+    and the dense grid after it.
+    """
+    indexed = cut_lineage(normalise_snapshot(with_snapshot_index(history)))
+    dense = cut_lineage(densify(indexed, [*features, *targets], fill))
     scaled = standard_scale(dense, list(features))
-    return chronological_split(sliding_samples(scaled, list(features), list(targets), window), validation)
+    samples = sliding_samples(scaled, list(features), list(targets), window)
+    return chronological_split(samples, validation, positions=dense.filter(F.col("snapshot_idx") >= window))
 
 
 def lag_features(
