@@ -8,7 +8,7 @@ from .registry import REGISTRY, Query
 
 MODULES = (
     "readings", "formulas", "dashboards", "keyed_tables", "risk_jobs", "statistics", "geography", "histories",
-    "citizen", "streams",
+    "citizen", "streams", "round_trips",
 )
 
 

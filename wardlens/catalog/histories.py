@@ -139,7 +139,7 @@ def _importance(t: Tables) -> DataFrame:
         F.slice(size, 33, 32).alias("flood_importance"))
 
 
-@query("W7 X22", "", "importance", f"""
+@query("W7 X22 N5", "", "importance", f"""
 WITH {_IMPORTANCE}
 SELECT ward_id, CAST(rn - 1 AS INTEGER) AS rank, feature, share AS importance FROM (
   SELECT *, c / (sum(c) OVER (PARTITION BY ward_id) + 1e-12) AS share,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.nested import feature_collection_lines
+from ..operators.nested import JSON_TIMES, feature_collection_lines
+from ..sources.files import CSV_TIMES
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -16,7 +17,7 @@ def overwrite_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).options(**CSV_TIMES).csv(path)
 
 
 def write_snapshot(df: DataFrame, csv_path: str, parquet_path: str) -> None:
@@ -40,7 +41,7 @@ def export(df: DataFrame, path: str, fmt: str, geometry: str | None = None, orde
     if fmt == "csv":
         write_csv(df, path, "overwrite")
     elif fmt == "json":
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").options(**JSON_TIMES).json(path)
     elif fmt == "geojson":
         lines = feature_collection_lines(df, geometry, order)
         ordered = lines.repartitionByRange("part", "pos").sortWithinPartitions("part", "pos")

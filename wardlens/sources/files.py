@@ -8,8 +8,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..schemas import RAW_IOT, conform
 
 
+# Spark's default CSV timestamps stop at milliseconds; both sides of a round trip use these.
+CSV_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).options(**CSV_TIMES).csv(path)
 
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -38,6 +45,7 @@ def follow_csv(spark: SparkSession, folder: str, schema: StructType, files_per_t
     return (
         spark.readStream.schema(schema)
         .option("header", True)
+        .options(**CSV_TIMES)
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(folder)
     )
