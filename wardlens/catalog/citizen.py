@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import SERVICE_BBOX
 from ..operators import aggregates, filters, images
+from ..operators.ranking import most_recent
 from ..plans import reports as jobs
 from .registry import query
 from .views import Tables
@@ -162,3 +163,9 @@ def feedback_after_delete(t: Tables) -> DataFrame:
     toxic = t.base("labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
     _, feedback = jobs.delete(t.reports, t.feedback, toxic)
     return feedback.select("report_id", "label")
+
+
+@query("L6 X20", "feedback", "", """
+SELECT report_id, label, flagged_at FROM feedback ORDER BY flagged_at DESC, report_id DESC LIMIT 20""")
+def recent_feedback(t: Tables) -> DataFrame:
+    return most_recent(t.feedback, "flagged_at", 20, "report_id")

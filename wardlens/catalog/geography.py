@@ -62,6 +62,19 @@ def nearest_neighbours(t: Tables) -> DataFrame:
     return spatial.nearest_neighbours(t.nodes, 6)
 
 
+@query("J7 P25", "wards", "distance", """
+SELECT src, dst, distance, rank FROM (
+  SELECT src, dst, distance, CAST(row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS INTEGER) AS rank FROM (
+    SELECT a.ward_id AS src, b.ward_id AS dst,
+           2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.centroid_lat - a.centroid_lat) / 2), 2)
+             + cos(radians(a.centroid_lat)) * cos(radians(b.centroid_lat))
+             * pow(sin(radians(b.centroid_lon - a.centroid_lon) / 2), 2)))) AS distance
+    FROM wards a JOIN wards b ON a.ward_id != b.ward_id AND abs(a.centroid_lon - b.centroid_lon) < 0.4
+                              AND abs(a.centroid_lat - b.centroid_lat) < 0.4)) WHERE rank <= 4""")
+def great_circle_neighbours(t: Tables) -> DataFrame:
+    return spatial.nearest_neighbours(t.nodes, 4, "haversine")
+
+
 @query("J8", "wards", "km", f"WITH {_NEAR} SELECT src, dst, km FROM near")
 def pairs_within(t: Tables) -> DataFrame:
     return spatial.pairs_within(t.nodes, 3.5)

@@ -165,7 +165,8 @@ SELECT event_type, window_start, count(*) AS samples,
          / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000000 AS rate
 FROM steps GROUP BY event_type, window_start HAVING count(*) > 1""")
 def counter_rates(t: Tables) -> DataFrame:
-    return series.counter_rate(_counter(t), ["event_type"], 3600)
+    rates = series.counter_rate(_counter(t), ["event_type"], 3600)
+    return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("W14", "", "quantile", """

@@ -63,7 +63,7 @@ def hourly_forecast(t: Tables) -> DataFrame:
 
 
 @query("X16 W3 L2 F4", "risks", "heat_stress_score composite_risk", """
-SELECT row_number() OVER (ORDER BY composite_risk DESC, ward_id) AS priority_rank, * FROM (
+SELECT CAST(row_number() OVER (ORDER BY composite_risk DESC, ward_id) AS INTEGER) AS priority_rank, * FROM (
   SELECT ward_id, ward_name, heat_stress_score, 0.6 * heat_stress_score + 0.4 * flood_risk_score AS composite_risk,
          risk_level
   FROM risks WHERE heat_stress_score >= 30 ORDER BY composite_risk DESC, ward_id LIMIT 25)""")

@@ -29,7 +29,7 @@ def merge_alerts(
     flood alert of one instant both stay.
     """
     keys = ["ward_id", "ts_ms"] + (["alert_type"] if by_type else [])
-    tagged = current.withColumn("_new", F.lit(1 if current is None else 0)).unionByName(
+    tagged = current.withColumn("_new", F.lit(0)).unionByName(
         incoming.withColumn("_new", F.lit(1))
     ).withColumn("ts_ms", F.unix_millis(F.col("timestamp").cast("timestamp")))
     row = F.struct(*current.columns)
