@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from wardlens.operators import aggregates, history, images, ranking, statistics as stats
-from wardlens.plans import interventions as iv, quality, reports, risk, scoring, training, wards
+from wardlens.plans import attribution, interventions as iv, quality, reports, risk, scoring, training, wards
 
 SCORES = "ward_id INT, heat_stress_score DOUBLE, flood_risk_score DOUBLE"
 NOW = dt.datetime(2024, 5, 1)
@@ -264,3 +264,11 @@ def test_report_lifecycle(spark):
     alerts = {r["report_id"]: r for r in reports.citizen_alerts(accepted, names, F.lit(NOW)).collect()}
     assert alerts[1]["severity"] == "critical" and "Five (AI confidence: 80%)" in alerts[1]["message"]
     assert alerts[2]["severity"] == "high" and "Ward-6" in alerts[2]["message"]
+
+
+def test_importance_falls_back_to_the_static_table(spark):
+    fallback = attribution.feature_importance(spark).collect()
+    assert len(fallback) == 8 and {r["source"] for r in fallback} == {"static_fallback"}
+    data = spark.createDataFrame([(1, [1.0, 3.0], [0.0, 0.0])], "ward_id INT, heat_importance ARRAY<DOUBLE>, flood_importance ARRAY<DOUBLE>")
+    live = rows(attribution.feature_importance(spark, data, ["a", "b"]).select("feature", "importance"))
+    assert [(f, round(x, 9)) for f, x in live] == [("b", 0.75), ("a", 0.25)]

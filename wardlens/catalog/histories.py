@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import history, nested
-from ..plans import scoring, training
+from ..plans import attribution, scoring, training
 from ..session import cut_lineage
 from .registry import query
 from .views import Tables
@@ -156,6 +156,17 @@ def global_importance(t: Tables) -> DataFrame:
     return history.global_importance(_importance(t), _NAMES)
 
 
+@query("X22 N5 W7", "scores", "heat_stress importance", f"""
+WITH {_IMPORTANCE}
+SELECT s.ward_id, heat_stress_score AS heat_stress, feature, share AS importance FROM (
+  SELECT *, c / (sum(c) OVER (PARTITION BY ward_id) + 1e-12) AS share,
+         row_number() OVER (PARTITION BY ward_id ORDER BY c DESC, i) AS rn FROM imp) i JOIN scores s USING (ward_id) WHERE rn = 1""")
+def main_feature_of_wards(t: Tables) -> DataFrame:
+    report = attribution.ward_report(t.scores, _importance(t), _NAMES, 1)
+    top = F.get("top_contributing_features", F.lit(0))
+    return report.select("ward_id", "heat_stress", top["feature"].alias("feature"), top["importance"].alias("importance"))
+
+
 @query("N6", "", "value", "SELECT vec_id, i AS pos, CAST(embedding[i + 1] AS DOUBLE) * 2 AS value FROM embeddings, range(0, 64) r(i)")
 def reassembled_vectors(t: Tables) -> DataFrame:
     cells = nested.explode_vector(t.base("embeddings"), "vec_id", "embedding")
