@@ -59,19 +59,19 @@ def _damaged(t: Tables) -> DataFrame:
 
 def _verdicts(t: Tables) -> DataFrame:
     key = F.col("event_id")
-    return t.base("events").filter("event_id % 2 = 0").select(
+    return t.base("events").filter("event_type IN ('error', 'view', 'click')").select(
         F.concat(F.lit("img-"), key.cast("string")).alias("image_url"), (F.col("value") > 20).alias("is_flood"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
 
 
 @query("X19 P35 K7", "reports", "flood_confidence", f"""
 WITH {_RULES}
-SELECT c.id, CASE WHEN c.id % 2 = 0 AND e.value > 20 THEN 'flood' ELSE report_type END AS report_type,
-       c.id % 2 = 0 AND e.value > 20 AS flood_predicted,
-       CASE WHEN c.id % 2 = 0 THEN least(e.value / 100, 1.0) END AS flood_confidence
+SELECT c.id, CASE WHEN event_type IN ('error', 'view', 'click') AND e.value > 20 THEN 'flood' ELSE report_type END AS report_type,
+       event_type IN ('error', 'view', 'click') AND e.value > 20 AS flood_predicted,
+       CASE WHEN event_type IN ('error', 'view', 'click') THEN least(e.value / 100, 1.0) END AS flood_confidence
 FROM checked c JOIN events e ON e.event_id = c.id WHERE NOT bad_place AND NOT bad_severity""")
 def accepted_reports(t: Tables) -> DataFrame:
-    """Reports with image verdicts for every second one."""
+    """Reports, three types of which come with an image verdict."""
     with_images = _damaged(t).withColumn("image_url", F.concat(F.lit("img-"), F.col("id").cast("string")))
     accepted, _ = jobs.intake(with_images, _verdicts(t))
     return accepted.select("id", "report_type", "flood_predicted", "flood_confidence")
@@ -84,7 +84,7 @@ SELECT id AS report_id, c.ward_id, CASE WHEN least(e.value / 100, 1.0) >= 0.75 T
          || CAST(round_even(least(e.value / 100, 1.0) * 100, 0) AS INTEGER) || '%)' AS message,
        least(e.value / 100, 1.0) * 100 AS value, 52.0 AS threshold
 FROM checked c JOIN events e ON e.event_id = c.id JOIN wards w ON w.ward_id = c.ward_id
-WHERE NOT bad_place AND NOT bad_severity AND id % 2 = 0 AND e.value > 20""")
+WHERE NOT bad_place AND NOT bad_severity AND event_type IN ('error', 'view', 'click') AND e.value > 20""")
 def citizen_alerts(t: Tables) -> DataFrame:
     with_images = _damaged(t).withColumn("image_url", F.concat(F.lit("img-"), F.col("id").cast("string")))
     accepted, _ = jobs.intake(with_images, _verdicts(t))
@@ -126,7 +126,7 @@ def pixel_classes(t: Tables) -> DataFrame:
 @query("X20 A20 A21", "feedback", _IMAGE_DOUBLES, f"""
 WITH {_PIXEL_CLASSES},
 w AS (SELECT label, CASE WHEN floor((epoch_us(TIMESTAMP '2024-02-01 12:00:00') - epoch_us(flagged_at)) / 86400000000) < 3
-                         THEN 2.0 ELSE 1.0 END AS weight FROM feedback WHERE report_id % 20 < 2),
+                         THEN 2.0 ELSE 1.0 END AS weight FROM feedback),
 bias AS (SELECT least(greatest(coalesce(sum(weight) FILTER (WHERE label = 'real'), 0) * 0.01
                 - coalesce(sum(weight) FILTER (WHERE label = 'fake'), 0) * 0.03, -0.25), 0.15)::DOUBLE AS bias_applied FROM w),
 raw AS (SELECT c.*, least(greatest(water * 0.45 + mud * 0.30 + dark * 0.10 + green * -0.15 + dry * -0.10, 0.0), 1.0) AS raw_flood_score,
@@ -134,8 +134,7 @@ raw AS (SELECT c.*, least(greatest(water * 0.45 + mud * 0.30 + dark * 0.10 + gre
 conf AS (SELECT *, 1.0 / (1.0 + exp(-(least(greatest(raw_flood_score + bias_applied, 0.0), 1.0) * 10.0 - 2.5))) AS confidence FROM raw)
 SELECT *, confidence >= 0.52 AS is_flood, CASE WHEN confidence >= 0.52 THEN 'flood' ELSE 'no_flood' END AS label FROM conf""")
 def image_verdicts(t: Tables) -> DataFrame:
-    feedback = t.feedback.filter(F.col("report_id") % 20 < 2)
-    return images.score_images(_image_pixels(t), feedback, _at("2024-02-01 12:00:00"))
+    return images.score_images(_image_pixels(t), t.feedback, _at("2024-02-01 12:00:00"))
 
 
 @query("X19 K11 U8", "reports feedback", "", """

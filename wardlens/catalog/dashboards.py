@@ -92,10 +92,10 @@ def all_risk_scores(t: Tables) -> DataFrame:
 
 @query("J1", "scores wards", "heat_stress_score", """
 SELECT r.ward_id, coalesce(w.ward_name, 'Ward-' || r.ward_id) AS ward_name, heat_stress_score
-FROM scores r LEFT JOIN (SELECT * FROM wards WHERE ward_id % 7 != 0) w USING (ward_id)""")
+FROM scores r LEFT JOIN (SELECT * REPLACE (ward_id + 5 AS ward_id) FROM wards) w USING (ward_id)""")
 def named_scores(t: Tables) -> DataFrame:
-    """Every seventh ward is absent from the ward table."""
-    known = t.wards.filter(F.col("ward_id") % 7 != 0)
+    """The first five wards are absent from the shifted ward table."""
+    known = t.wards.withColumn("ward_id", F.col("ward_id") + 5)
     return joins.with_ward_names(t.scores, known).select("ward_id", "ward_name", "heat_stress_score")
 
 

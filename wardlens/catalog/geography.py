@@ -146,19 +146,19 @@ def symmetric_edges(t: Tables) -> DataFrame:
 
 
 def _cells(t: Tables) -> DataFrame:
-    """A diamond polygon around every tenth ward site; large enough to overlap some of its neighbours."""
-    lon, lat, r = F.col("centroid_lon"), F.col("centroid_lat"), F.lit(0.0901237)
+    """A diamond polygon around every ward site, large enough to overlap its neighbours."""
+    lon, lat, r = F.col("centroid_lon"), F.col("centroid_lat"), F.lit(0.0151237)
     ring = F.array(F.array(lon - r, lat), F.array(lon, lat - r), F.array(lon + r, lat), F.array(lon, lat + r),
                    F.array(lon - r, lat))
-    return t.wards.filter(F.col("ward_id") % 10 == 0).select(
+    return t.wards.select(
         F.col("ward_id").alias("feature_order"), "ward_id", ring.alias("ring"))
 
 
 @query("J13", "wards reports", "", """
 WITH p AS (SELECT id, latitude + (id % 700) * 0.0003::DOUBLE AS lat, longitude + (id % 1300) * 0.0011::DOUBLE AS lon FROM reports),
-poly AS (SELECT ward_id, centroid_lon AS x, centroid_lat AS y FROM wards WHERE ward_id % 10 = 0)
+poly AS (SELECT ward_id, centroid_lon AS x, centroid_lat AS y FROM wards)
 SELECT p.id, min(poly.ward_id) AS ward_id FROM p LEFT JOIN poly
-  ON abs(p.lon - poly.x) + abs(p.lat - poly.y) < 0.0901237::DOUBLE GROUP BY p.id""")
+  ON abs(p.lon - poly.x) + abs(p.lat - poly.y) < 0.0151237::DOUBLE GROUP BY p.id""")
 def located_reports(t: Tables) -> DataFrame:
     """Reports spread over the sites and located in overlapping diamonds (inside: |dx| + |dy| < r)."""
     points = t.reports.select(

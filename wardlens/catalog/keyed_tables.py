@@ -55,19 +55,18 @@ scored AS (
   SELECT ward_id, least(100.0, least(greatest((temperature_2m - 28.0) / 14.0 * 100.0, 0.0), 100.0)
            + least(greatest((humidity_pct - 30.0) / 70.0 * 15.0, 0.0), 15.0)) AS h,
          least(greatest(precipitation_mm / 20.0 * 100.0, 0.0), 100.0) AS f, temperature_2m AS lst
-  FROM latest WHERE ward_id % 2 = 0)
+  FROM latest)
 SELECT coalesce(s.ward_id, x.ward_id) AS ward_id, coalesce(x.h, s.heat_stress_score) AS heat_stress_score,
        coalesce(x.f, s.flood_risk_score) AS flood_risk_score, coalesce(x.lst, s.lst_pred_celsius) AS lst_pred_celsius,
        s.ndvi, CASE WHEN x.ward_id IS NULL THEN s.risk_level
          WHEN 0.6 * h + 0.4 * f >= 75 THEN 'critical' WHEN 0.6 * h + 0.4 * f >= 50 THEN 'high'
          WHEN 0.6 * h + 0.4 * f >= 25 THEN 'medium' ELSE 'low' END AS risk_level,
        CASE WHEN x.ward_id IS NULL THEN s.updated_at ELSE TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
-FROM (SELECT * FROM scores WHERE ward_id % 3 != 0) s FULL OUTER JOIN scored x ON s.ward_id = x.ward_id""")
+FROM (SELECT * REPLACE (ward_id + 25 AS ward_id) FROM scores) s FULL OUTER JOIN scored x ON s.ward_id = x.ward_id""")
 def refreshed_scores(t: Tables) -> DataFrame:
-    """Readings of even wards refresh the scores of wards whose id is no multiple of three."""
-    stored = t.scores.filter(F.col("ward_id") % 3 != 0)
-    readings = t.weather.filter(F.col("ward_id") % 2 == 0)
-    refreshed = risk_jobs.refresh_scores(stored, readings, _at("2024-02-01 00:00:00"), ["ts", "id"])
+    """Readings refresh stored scores whose wards are shifted: some are new, some have no reading."""
+    stored = t.scores.withColumn("ward_id", F.col("ward_id") + 25)
+    refreshed = risk_jobs.refresh_scores(stored, t.weather, _at("2024-02-01 00:00:00"), ["ts", "id"])
     return refreshed.select("ward_id", "heat_stress_score", "flood_risk_score", "lst_pred_celsius", "ndvi",
                             "risk_level", "updated_at")
 
@@ -249,12 +248,12 @@ WITH {_LATEST_WEATHER}
 SELECT w.ward_id, temperature_2m AS temperature_c, precipitation_mm AS rainfall_mm_24h, ts AS obs_time,
        coalesce(s.lst_pred_celsius, temperature_2m) AS lst_pred_celsius, coalesce(s.ndvi, 0.3) AS ndvi,
        coalesce(s.impervious_pct, 40.0) AS impervious_pct, 35.0 AS pm25
-FROM latest w LEFT JOIN (SELECT * FROM scores WHERE ward_id % 4 != 0) s USING (ward_id)""")
+FROM latest w LEFT JOIN (SELECT * REPLACE (ward_id + 40 AS ward_id) FROM scores) s USING (ward_id)""")
 def weather_features(t: Tables) -> DataFrame:
-    """Every fourth ward has no stored score."""
+    """The first forty wards have no stored score."""
     from ..operators.joins import weather_with_scores
 
     latest = ranking.latest_per_key(t.weather, ["ward_id"], ["ts", "id"]).select(
         "ward_id", F.col("temperature_2m").alias("temperature_c"), F.col("precipitation_mm").alias("rainfall_mm_24h"),
         F.col("ts").alias("obs_time"))
-    return weather_with_scores(latest, t.scores.filter(F.col("ward_id") % 4 != 0))
+    return weather_with_scores(latest, t.scores.withColumn("ward_id", F.col("ward_id") + 40))

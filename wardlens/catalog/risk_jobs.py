@@ -38,17 +38,17 @@ def threshold_alerts(t: Tables) -> DataFrame:
 @query("U3 L6 T7", "risks", "value", f"""
 WITH alerts AS ({_ALERTS_SQL}),
 tagged AS (
-  SELECT *, 0 AS new FROM alerts WHERE ward_id % 2 = 0
+  SELECT *, 0 AS new FROM alerts
   UNION ALL SELECT * REPLACE (timestamp + to_minutes(ward_id % 3) AS timestamp), 1 FROM alerts),
 one AS (SELECT *, row_number() OVER (PARTITION BY ward_id, timestamp ORDER BY new, alert_type, value) AS rn FROM tagged)
 SELECT ward_id, alert_type, severity, value, timestamp FROM one WHERE rn = 1
 ORDER BY timestamp DESC, ward_id DESC LIMIT 50""")
 def newest_alerts(t: Tables) -> DataFrame:
-    """Known alerts (even wards) merged with new ones of all wards, a third of them at the same instant."""
+    """Known alerts merged with new ones, a third of which are at the same instant."""
     alerts = jobs.threshold_alerts(t.risks, _at("2024-02-01 00:00:00"))
     shift = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("ward_id") % 3).cast("int"))
     incoming = alerts.withColumn("timestamp", F.col("timestamp") + shift)
-    merged = sets.merge_alerts(alerts.filter(F.col("ward_id") % 2 == 0), incoming, 50)
+    merged = sets.merge_alerts(alerts, incoming, 50)
     return merged.select("ward_id", "alert_type", "severity", "value", "timestamp")
 
 
@@ -235,7 +235,7 @@ def city_scenarios(t: Tables) -> DataFrame:
 @query("X17 J14 P33", "risks interventions", "composite_risk expected_heat_reduction expected_flood_reduction roi_score "
        "lon lat", """
 WITH first_iv AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY ward_id ORDER BY id) AS rn FROM interventions WHERE id % 2 = 0) WHERE rn = 1)
+  SELECT *, row_number() OVER (PARTITION BY ward_id ORDER BY id) AS rn FROM interventions) WHERE rn = 1)
 SELECT r.ward_id, ward_name, 0.6 * heat_stress_score + 0.4 * flood_risk_score AS composite_risk, risk_level,
        intervention_type AS recommended_intervention, coalesce(expected_heat_reduction, 0.0) AS expected_heat_reduction,
        coalesce(expected_flood_reduction, 0.0) AS expected_flood_reduction, coalesce(nullif(cost - 1, 0), 1) AS cost,
@@ -245,20 +245,20 @@ SELECT r.ward_id, ward_name, 0.6 * heat_stress_score + 0.4 * flood_risk_score AS
        round(12.77 + (13.18::DOUBLE - 12.77::DOUBLE) * (((r.ward_id - 1) // 14) / 14.0::DOUBLE), 5) AS lat
 FROM risks r LEFT JOIN first_iv USING (ward_id)""")
 def roi_table(t: Tables) -> DataFrame:
-    """Logged interventions with even ids as recommendations; a cost of zero occurs."""
-    recommendations = t.interventions.filter(F.col("id") % 2 == 0).withColumn("cost", F.col("cost") - 1).withColumn(
+    """Logged interventions as recommendations; a cost of zero occurs."""
+    recommendations = t.interventions.withColumn("cost", F.col("cost") - 1).withColumn(
         "priority_rank", F.col("id"))
     return iv.roi_table(t.risks, recommendations).drop("heat_stress_score", "flood_risk_score")
 
 
 @query("X15 F5", "scores", "heat_stress_score", """
 SELECT ward_id, heat_stress_score, 'live_weather' AS data_source FROM scores
-WHERE ward_id % 2 = 1 AND ward_id IN (SELECT s_suppkey + 1 FROM supplier)""")
+WHERE heat_stress_score >= 20 AND ward_id IN (SELECT s_suppkey + 1 FROM supplier)""")
 def resolved_tier(t: Tables) -> DataFrame:
     """The stored tier has none of the wanted wards, so the live tier answers as a whole."""
     base = t.scores.select("ward_id", "heat_stress_score")
     tiers = [("postgresql_live", base.filter(F.col("heat_stress_score") < -1)),
-             ("live_weather", base.filter(F.col("ward_id") % 2 == 1)), ("model_generated", base)]
+             ("live_weather", base.filter(F.col("heat_stress_score") >= 20)), ("model_generated", base)]
     wanted = t.base("supplier").select((F.col("s_suppkey") + 1).alias("ward_id"))
     return jobs.resolve_tiers(tiers, wanted)
 
@@ -336,16 +336,16 @@ near AS (SELECT * FROM (
            + (grid_lon - centroid_lon) * (grid_lon - centroid_lon), grid_lat, grid_lon) AS rn FROM wards, grid) WHERE rn = 1),
 filled AS (SELECT n.*, coalesce(f.ndvi, 0.30) AS ndvi, coalesce(f.impervious_pct, 55.0) AS imp,
                   coalesce(f.industrial_weight, 0.2) AS ind
-           FROM near n LEFT JOIN (SELECT * FROM ward_features WHERE ward_id % 6 != 0) f USING (ward_id))
+           FROM near n LEFT JOIN (SELECT * REPLACE (ward_id + 30 AS ward_id) FROM ward_features) f USING (ward_id))
 SELECT ward_id, ward_name, temperature_c, humidity_pct, ndvi, 1.5 + imp / 100.0 * 4.5 + ind * 2.0 AS uhi_offset,
        temperature_c + (1.5 + imp / 100.0 * 4.5 + ind * 2.0) - ndvi * 3.0 AS lst_celsius,
        CASE WHEN current_precip > 0 THEN greatest(rainfall_mm, current_precip * 4.0) ELSE rainfall_mm END AS rainfall_mm
 FROM filled""")
 def live_ward_weather(t: Tables) -> DataFrame:
-    """The newest payload on all wards; every sixth ward has no static features."""
+    """The newest payload on all wards; the first thirty wards have no static features."""
     payload = _payload(t)
     newest = payload.agg(F.max_by("value", "day").alias("value"))
-    static = t.ward_features.filter(F.col("ward_id") % 6 != 0)
+    static = t.ward_features.withColumn("ward_id", F.col("ward_id") + 30)
     live = live_weather.live_ward_weather(grid_weather(newest), t.wards, static)
     return live.select("ward_id", "ward_name", "temperature_c", "humidity_pct", "ndvi", "uhi_offset", "lst_celsius",
                        "rainfall_mm")

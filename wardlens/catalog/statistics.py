@@ -184,15 +184,16 @@ def scaled_features(t: Tables) -> DataFrame:
 
 
 @query("A29 S7", "", "", """
-SELECT l_suppkey AS scene_id, count(DISTINCT l_linenumber) AS band_count FROM lineitem
-WHERE NOT (l_linenumber = 7 AND l_suppkey % 3 = 0) GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 7""")
+SELECT l_suppkey AS scene_id, count(DISTINCT CASE WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 THEN NULL ELSE l_linenumber END)
+         AS band_count FROM lineitem GROUP BY 1 HAVING band_count = 7""")
 def complete_scenes(t: Tables) -> DataFrame:
     """Line items as band samples; a third of the scenes lack the thermal band."""
     from ..sources.rasters import BANDS, complete_scenes
 
     band = F.get(F.array(*[F.lit(b) for b in BANDS]), F.col("l_linenumber") - 1)
-    samples = t.base("lineitem").filter("NOT (l_linenumber = 7 AND l_suppkey % 3 = 0)").select(
-        F.col("l_suppkey").alias("scene_id"), band.alias("band"))
+    mislabelled = (F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 3 == 0)
+    samples = t.base("lineitem").select(
+        F.col("l_suppkey").alias("scene_id"), F.when(mislabelled, "qa").otherwise(band).alias("band"))
     return complete_scenes(samples).withColumn("band_count", F.col("band_count").cast("bigint"))
 
 
