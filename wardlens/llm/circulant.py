@@ -7,6 +7,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,7 +19,9 @@ UNIVERSE_BITS = 20
 # 40 bands of 6: a pair at Jaccard 0.8 shares no band with probability (1 - 0.8^6)^40 < 6e-6; pairs below 0.3 seldom do.
 BANDS, ROWS = 40, 6
 SEED = 20_241
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
+# Bounds of a tile of members whose sets are compared in one step.
+TILE_MEMBERS, TILE_SHINGLES = 256, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -106,16 +109,107 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     )
 
 
+def _links_of_tiles(a: dict, b: dict | None, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of two tiles (or inside one), one per pair of trees at most.
+
+    Every such pair whose sizes allow the similarity is compared on its full sets.
+    """
+    other = a if b is None else b
+    ids, place = np.unique(
+        np.concatenate([a["hashes"], other["hashes"]]), return_inverse=True)
+    left, right = place[: len(a["hashes"])], place[len(a["hashes"]) :]
+    starts = np.concatenate([[0], np.cumsum(other["sizes"])[:-1]])
+    begin = np.concatenate([[0], np.cumsum(a["sizes"])])
+    mark = np.zeros(len(ids), bool)
+    tree: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while tree.setdefault(x, x) != x:
+            tree[x] = x = tree[tree[x]]
+        return x
+
+    found = []
+    for k, (node, component, n) in enumerate(zip(a["nodes"].tolist(), a["components"].tolist(), a["sizes"].tolist())):
+        own = left[begin[k] : begin[k + 1]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[right], starts, dtype=np.int64)
+        mark[own] = False
+        fits = (100 * shared >= percent * (n + other["sizes"] - shared)) & (other["components"] != component)
+        for j in np.flatnonzero(fits):
+            p, q = root(component), root(int(other["components"][j]))
+            if p != q:
+                tree[max(p, q)] = min(p, q)
+                found.append((node, int(other["nodes"][j])))
+    return found
+
+
+def across_components(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components that share a bucket, without listing their pairs.
+
+    ``open_`` has h, node, n, c, low: the members of buckets that span several components. A member goes to a tile of
+    the least component it meets, tiles hold a bounded number of members and shingles, and each pair of tiles that meet
+    in a bucket is compared in one step on the members' full sets (64-bit hashes of all shingles).
+    """
+    homes = open_.groupBy("node", "n", "c").agg(F.min("low").alias("home"))
+    parts = homes.groupBy("home").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / TILE_MEMBERS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long").alias("_parts"))
+    tiled = stored(homes.join(parts, "home").select(
+        "node", "c", F.col("home"), F.pmod(F.xxhash64("node"), F.col("_parts")).alias("part")), "tiled")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(words_of(t.as_py()), size) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array([len(x) for x in found], pa.int64()),
+                 pa.array([x.tobytes() for x in found], pa.binary())], ["home", "part", "node", "c", "n", "hashes"])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "home": rows["home"].iloc[:1], "part": rows["part"].iloc[:1],
+            "nodes": [rows["node"].to_numpy(np.int64).tobytes()], "components": [rows["c"].to_numpy(np.int64).tobytes()],
+            "sizes": [rows["n"].to_numpy(np.int64).tobytes()], "hashes": [b"".join(rows["hashes"])]})
+
+    tiles = stored(
+        tiled.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+        .select("home", "part", "node", "c", "text")
+        .mapInArrow(sets, "home long, part long, node long, c long, n long, hashes binary")
+        .groupBy("home", "part").applyInPandas(
+            pack, "home long, part long, nodes binary, components binary, sizes binary, hashes binary"), "tiles")
+    spots = open_.select("h", "node").join(tiled.select("node", "home", "part"), "node").select("h", "home", "part").distinct()
+    spots = stored(spots, "spots")
+    meet = stored(
+        spots.join(spots.select("h", F.col("home").alias("_home"), F.col("part").alias("_part")), "h")
+        .filter("home < _home or (home = _home and part <= _part)").select("home", "part", "_home", "_part").distinct(), "meets")
+    joined = meet.join(tiles, ["home", "part"]).join(
+        tiles.select(*[F.col(c).alias(f"_{c}") for c in tiles.columns]), ["_home", "_part"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tile(line: dict, mark: str) -> dict:
+            kinds = {"nodes": np.int64, "components": np.int64, "sizes": np.int64, "hashes": np.uint64}
+            return {k: np.frombuffer(line[mark + k], kind) for k, kind in kinds.items()}
+
+        for whole in batches:
+            for k in range(whole.num_rows):
+                line = {name: v[0] for name, v in whole.slice(k, 1).to_pydict().items()}
+                same = (line["home"], line["part"]) == (line["_home"], line["_part"])
+                found = _links_of_tiles(tile(line, ""), None if same else tile(line, "_"), percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return joined.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Rows with equal shingle sets form a class with the smallest doc_id as its representative; only representatives are
-    banded. Buckets do not emit all their pairs: every member is first compared with its bucket's least member, and
-    only where a bucket still spans several components are further members compared, last of all every pair that is
-    not in one component yet. A pair whose set sizes already rule out the similarity is left out. Every link is
-    confirmed on the full sets of the whole texts. No bucket or class is gathered in one task.
+    banded. Buckets do not emit all their pairs: every member is first compared with the least member of its buckets,
+    and where a bucket still spans several components, with the least member of its least component. What is left is
+    compared tile by tile: all pairs of different components, of which only links come out. A pair whose set sizes
+    already rule out the similarity is left out. Every link is confirmed on the full sets of the whole texts. No bucket
+    or class is gathered in one task.
 
     Null, empty and blank texts have n_shingles 0 and stand alone (component_id = doc_id, kept). Repeated rows are
     copies of each other; rows that share a doc_id take the component of their own text. A row without doc_id is kept
@@ -151,22 +245,14 @@ def near_duplicates(
         if open_.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            # the members outside the bucket's least component against that component's least (or greatest) member
-            pick = F.min if turn % 2 == 0 else F.max
-            hubs = open_.filter("c = low").groupBy("h").agg(pick(F.struct("node", "n")).alias("_hub"))
-            pairs = open_.filter("c <> low").join(hubs, "h").select(
-                F.col("_hub.node").alias("u"), F.col("_hub.n").alias("un"), F.col("node").alias("v"),
-                F.col("n").alias("vn"))
+            # the members outside a bucket's least component against that component's least member
+            hubs = open_.filter("c = low").groupBy("h").agg(F.min(F.struct("node", "n")).alias("_hub"))
+            fits = 100 * F.least("_hub.n", "n") >= percent * F.greatest("_hub.n", "n")
+            pairs = stored(open_.filter("c <> low").join(hubs, "h").filter(fits).select(
+                F.least("_hub.node", "node").alias("a"), F.greatest("_hub.node", "node").alias("b")).distinct(), "pairs")
+            links = links.union(stored(confirmed(pairs, texts, size, percent), "links"))
         else:
-            other = open_.select("h", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"))
-            pairs = open_.join(other, "h").filter("c < vc").select(
-                F.col("node").alias("u"), F.col("n").alias("un"), "v", "vn")
-        fits = 100 * F.least("un", "vn") >= percent * F.greatest("un", "vn")
-        pairs = stored(
-            pairs.filter(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "pairs")
-        more = stored(confirmed(pairs, texts, size, percent), "links")
-        links = links.union(more)
-        if turn == STAR_ROUNDS:
+            links = links.union(stored(across_components(open_, texts, size, percent), "links"))
             found = components(links)
     reps = classes.join(found, classes["rep"] == found["node"], "left").select(
         "fingerprint", F.coalesce("component", "rep").alias("_component"))
