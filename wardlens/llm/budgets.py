@@ -39,9 +39,8 @@ def leaf_budgets(
     table = F.create_map(*[
         x for key, weight in weights.items()
         for x in (F.lit(_BETWEEN.join(key)), F.lit(float(weight)))]) if weights else None
-    budgets = leaves.groupBy(F.lit(1).alias("_root")).agg(F.sum("capacity").cast("double").alias("_room")).select(
-        "_root", F.least(total.cast("double"), F.col("_room")).alias("_budget"))
-    above = ["_root"]
+    room = leaves.agg(F.coalesce(F.sum("capacity"), F.lit(0)).cast("double")).scalar()
+    budgets, above = None, ["_root"]
     for depth in range(1, len(path) + 1):
         keys = ["_root", *path[:depth]]
         weight = F.coalesce(F.element_at(table, _path_text(path[:depth])), F.lit(1.0)) if weights else F.lit(1.0)
@@ -53,8 +52,10 @@ def leaf_budgets(
         order = parent.orderBy(F.col("_cap") / F.col("_w"), path[depth - 1])
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         ahead = order.rowsBetween(0, Window.unboundedFollowing)
+        given = nodes.withColumn("_budget", F.least(total.cast("double"), room)) if budgets is None \
+            else nodes.join(budgets, above)
         level = (
-            nodes.join(budgets, above)
+            given
             .withColumn("_left", F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
             .withColumn("_weights", F.sum("_w").over(ahead))
             .withColumn("_full", F.col("_cap") * F.col("_weights") <= F.col("_left") * F.col("_w"))
