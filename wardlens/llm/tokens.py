@@ -21,6 +21,9 @@ _PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _OTHER_SPACE = re.compile(
     "[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
+# Texts with single spaces and line ends alone are cut by plain splitting.
+_UNEVEN = re.compile(r"[ \n][ \n]|[\t\r]|\A[ \n]|[ \n]\Z")
+
 # The pre-token patterns of the two kinds of vocabulary files.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,7 +91,9 @@ class Encoder:
         self.pre_tokens = regex.compile(_BYTE_PATTERN if spaced else _WORD_PATTERN).findall
         self.split = _PIECES.findall if spaced else str.split
         self.parts = _Memo(self._model_ids, MEMO_PIECES // 3)
-        self.memo = _Memo(self._plain if known else self._chain, MEMO_PIECES)
+        compute = self._plain if known else self._chain
+        self.memo = _Memo(compute, MEMO_PIECES)
+        self.after_space = _Memo(lambda word: compute(" " + word), MEMO_PIECES)
 
     def _chain(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -118,7 +123,13 @@ class Encoder:
             return b""
         if _OTHER_SPACE.search(text):
             return self._chain(text)
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        if not self.spaced or _UNEVEN.search(text):
+            return b"".join(map(self.memo.__getitem__, self.split(text)))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.memo[words[0]] + b"".join(map(self.after_space.__getitem__, words[1:])))
+        return self.memo["\n"].join(lines)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

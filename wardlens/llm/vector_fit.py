@@ -18,8 +18,10 @@ LENGTH = 2048
 GROUP = 4096
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, spaced: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids, ids_crc32) of every row of ``docs`` (doc_id, text).
+def pieces_of(
+    docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, spaced: bool = True, with_ids: bool = True
+) -> DataFrame:
+    """(doc_id, piece, start, length, ids, ids_crc32) of every row of ``docs`` (doc_id, text); ids is null on request.
 
     A document is its ids and the end id. Only a longer one than ``length`` is cut, into full pieces after a first piece
     of the rest. A null or empty text is the end id alone.
@@ -38,7 +40,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGT
                     starts = [0, *range(count % length or length, count, length)]
                     for number, (a, b) in enumerate(zip(starts, [*starts[1:], count])):
                         cut = ids[4 * a : 4 * b]
-                        out.append((key, number, a, b - a, cut, zlib.crc32(cut)))
+                        out.append((key, number, a, b - a, cut if with_ids else None, zlib.crc32(cut)))
                 columns = list(zip(*out))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
@@ -135,7 +137,7 @@ def packed_documents(
     told apart by a number of the copy, so each is packed whole.
     """
     digests = stored(
-        pieces_of(docs, vocabulary, end_id, capacity).select(
+        pieces_of(docs, vocabulary, end_id, capacity, with_ids=False).select(
             "doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("_key")), "pieces")
     places = packed(
         digests.select(F.col("_key").alias("doc_id"), "piece", "length"), capacity, **limits
