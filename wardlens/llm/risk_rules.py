@@ -159,12 +159,12 @@ def cutoffs(
         .agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),
              F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("junk"))
     )
-    # a document that is above the first j cutoffs is rejected by each of them
+    # cutoffs fall from step to step: a document above j of them is above the last j
     per_rule = counted.groupBy("stratum", "rule", "steps").agg(
         F.sum("good").alias("n"), F.collect_list(F.struct("passed", "good", "junk")).alias("_at"))
 
     def above(what: str, step: Column) -> Column:
-        return F.aggregate("_at", F.lit(0).cast("long"), lambda s, x: s + F.when(x["passed"] > step, x[what]).otherwise(0))
+        return F.aggregate("_at", F.lit(0).cast("long"), lambda s, x: s + F.when(x["passed"] >= F.col("steps") - step, x[what]).otherwise(0))
 
     strata = F.greatest(F.lit(1), counted.select("stratum").distinct().agg(F.count(F.lit(1))).scalar())
     tried = per_rule.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).select(
