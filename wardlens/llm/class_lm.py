@@ -138,7 +138,7 @@ def exchange(
 
     Codes come in descending order of frequency and start in class code % classes; other words and the end have a class
     of their own each. In each step the words of one part are tried in parallel against the same state and those that
-    gain move together; a step that lowers the likelihood is undone. The table stays distributed, one row per word with
+    gain move together; should that lower the likelihood, only the better half of them moves, and so on. The table stays distributed, one row per word with
     its neighbours; the driver holds a class per lexicon word and the classes' transitions, both bounded by parameters.
     """
     width = classes + 2
@@ -178,11 +178,12 @@ def exchange(
                         sides.append((np.bincount(now[ids], size, width), float(size[ids == w].sum())))
                     target, gain = best_class(int(now[w]), counts, sides[0][0], sides[1][0], sides[0][1], classes)
                     if gain > 1e-6:
-                        rows.append((w, target))
-                yield pd.DataFrame(rows, columns=["w", "target"]).astype({"w": "int32", "target": "int32"})
+                        rows.append((w, target, gain))
+                yield pd.DataFrame(rows, columns=["w", "target", "gain"]).astype(
+                    {"w": "int32", "target": "int32", "gain": "float64"})
 
         return lines.filter((F.col("w") < n_words) & (F.col("w") % parts == part)).mapInPandas(
-            run, "w int, target int").toPandas()
+            run, "w int, target int, gain double").toPandas().sort_values(["gain", "w"], ascending=[False, True])
 
     def value(counts: np.ndarray) -> float:
         t = counts.astype(np.float64)
@@ -199,13 +200,15 @@ def exchange(
         if found.empty:
             idle += 1
             continue
-        trial = state.copy()
-        trial[found["w"].to_numpy()] = found["target"].to_numpy()
-        after = transitions(trial)
-        if value(after) > best:
-            state, counts, best, idle = trial, after, value(after), 0
-        else:
-            idle += 1
+        idle += 1
+        while len(found):
+            trial = state.copy()
+            trial[found["w"].to_numpy()] = found["target"].to_numpy()
+            after = transitions(trial)
+            if value(after) > best:
+                state, counts, best, idle = trial, after, value(after), 0
+                break
+            found = found.head(len(found) // 2)
     return state, counts
 
 
