@@ -59,19 +59,18 @@ def _damaged(t: Tables) -> DataFrame:
 
 def _verdicts(t: Tables) -> DataFrame:
     key = F.col("event_id")
-    return t.base("events").filter("event_type IN ('error', 'view', 'click')").select(
+    return t.base("events").select(
         F.concat(F.lit("img-"), key.cast("string")).alias("image_url"), (F.col("value") > 20).alias("is_flood"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
 
 
 @query("X19 P35 K7", "reports", "flood_confidence", f"""
 WITH {_RULES}
-SELECT c.id, CASE WHEN event_type IN ('error', 'view', 'click') AND e.value > 20 THEN 'flood' ELSE report_type END AS report_type,
-       event_type IN ('error', 'view', 'click') AND e.value > 20 AS flood_predicted,
-       CASE WHEN event_type IN ('error', 'view', 'click') THEN least(e.value / 100, 1.0) END AS flood_confidence
+SELECT c.id, CASE WHEN e.value > 20 THEN 'flood' ELSE report_type END AS report_type,
+       e.value > 20 AS flood_predicted, least(e.value / 100, 1.0) AS flood_confidence
 FROM checked c JOIN events e ON e.event_id = c.id WHERE NOT bad_place AND NOT bad_severity""")
 def accepted_reports(t: Tables) -> DataFrame:
-    """Reports, three types of which come with an image verdict."""
+    """Reports with the verdict on their image."""
     with_images = _damaged(t).withColumn("image_url", F.concat(F.lit("img-"), F.col("id").cast("string")))
     accepted, _ = jobs.intake(with_images, _verdicts(t))
     return accepted.select("id", "report_type", "flood_predicted", "flood_confidence")
@@ -84,7 +83,7 @@ SELECT id AS report_id, c.ward_id, CASE WHEN least(e.value / 100, 1.0) >= 0.75 T
          || CAST(round_even(least(e.value / 100, 1.0) * 100, 0) AS INTEGER) || '%)' AS message,
        least(e.value / 100, 1.0) * 100 AS value, 52.0 AS threshold
 FROM checked c JOIN events e ON e.event_id = c.id JOIN wards w ON w.ward_id = c.ward_id
-WHERE NOT bad_place AND NOT bad_severity AND event_type IN ('error', 'view', 'click') AND e.value > 20""")
+WHERE NOT bad_place AND NOT bad_severity AND e.value > 20""")
 def citizen_alerts(t: Tables) -> DataFrame:
     with_images = _damaged(t).withColumn("image_url", F.concat(F.lit("img-"), F.col("id").cast("string")))
     accepted, _ = jobs.intake(with_images, _verdicts(t))

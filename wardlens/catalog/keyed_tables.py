@@ -146,12 +146,12 @@ def flagged_reports(t: Tables) -> DataFrame:
 @query("U8 K11", "feedback", "", """
 WITH entries AS (
   SELECT doc_id AS report_id, CASE doc_id % 3 WHEN 0 THEN 'clear' WHEN 1 THEN 'fake' ELSE 'real' END AS label,
-         TIMESTAMP '2024-02-02 00:00:00' AS flagged_at FROM documents WHERE n_chars < 2000)
+         TIMESTAMP '2024-02-02 00:00:00' AS flagged_at FROM documents)
 SELECT * FROM feedback WHERE report_id NOT IN (SELECT report_id FROM entries)
 UNION ALL SELECT * FROM entries WHERE label != 'clear'""")
 def updated_feedback(t: Tables) -> DataFrame:
     key = F.col("doc_id")
-    entries = t.base("documents").filter("n_chars < 2000").select(
+    entries = t.base("documents").select(
         key.alias("report_id"), F.when(key % 3 == 0, "clear").when(key % 3 == 1, "fake").otherwise("real").alias("label"),
         _at("2024-02-02 00:00:00").alias("flagged_at"))
     return sets.record_feedback(t.feedback, entries)
@@ -159,11 +159,11 @@ def updated_feedback(t: Tables) -> DataFrame:
 
 @query("U6 A12", "", "", """
 SELECT CAST(i AS BIGINT) AS ward_id FROM range(0, 1 + (SELECT max(o_custkey) FROM orders)) r(i)
-WHERE i NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000)""")
+WHERE i NOT IN (SELECT o_custkey FROM orders)""")
 def missing_wards(t: Tables) -> DataFrame:
-    """Customers without a large finished order; the expected ids run to the table's own maximum."""
+    """Customers without an order; the expected ids run to the table's own maximum."""
     orders = t.base("orders")
-    seen = orders.filter("o_orderstatus = 'F' AND o_totalprice > 250000").select(F.col("o_custkey").alias("ward_id"))
+    seen = orders.select(F.col("o_custkey").alias("ward_id"))
     last = orders.agg(F.max("o_custkey")).first()[0]
     return sets.missing_keys(seen, "ward_id", 0, last)
 

@@ -112,3 +112,32 @@ def stored_baseline_drift(t: Tables) -> DataFrame:
 
     quality.check_drift(prices(1.0), "risk", path)
     return quality.check_drift(prices(1.3), "risk", path)
+
+
+def _psi_of(model: str, factor: str) -> str:
+    return f"""SELECT '{model}' AS model, sum((a - e) * ln(a / e)) AS psi FROM (
+  SELECT greatest(c0 / (n + 1e-8), 1e-6) AS e, greatest(c1 / (n + 1e-8), 1e-6) AS a FROM (
+    SELECT k, count(*) FILTER (WHERE side = 0 AND v >= lo + k * w AND (v < lo + (k + 1) * w OR k = 9)) AS c0,
+           count(*) FILTER (WHERE side = 1 AND v >= lo + k * w AND (v < lo + (k + 1) * w OR k = 9)) AS c1, any_value(n) AS n
+    FROM (SELECT o_totalprice AS v, 0 AS side FROM orders UNION ALL SELECT o_totalprice * {factor}::DOUBLE, 1 FROM orders) b,
+         (SELECT least(min(o_totalprice), min(o_totalprice * {factor}::DOUBLE)) AS lo,
+                 (greatest(max(o_totalprice), max(o_totalprice * {factor}::DOUBLE)) + 1e-6
+                  - least(min(o_totalprice), min(o_totalprice * {factor}::DOUBLE))) / 10 AS w, count(*) AS n FROM orders) r,
+         range(0, 10) t(k) GROUP BY k))"""
+
+
+@query("S12 K12 X7 A14", "", "psi", _psi_of("flood", "1.6") + " UNION ALL " + _psi_of("risk", "1.3"))
+def two_model_drift(t: Tables) -> DataFrame:
+    """Two models keep their baselines in one table; each is compared with its own."""
+    path = scratch_path(t.spark, "baselines")
+
+    def prices(factor: float) -> DataFrame:
+        return t.base("orders").select(F.lit("price").alias("metric"), (F.col("o_totalprice") * factor).alias("value"))
+
+    for model in ("risk", "flood"):
+        quality.check_drift(prices(1.0), model, path)
+    reports = [
+        quality.check_drift(prices(factor), model, path).select(F.lit(model).alias("model"), "psi")
+        for model, factor in (("flood", 1.6), ("risk", 1.3))
+    ]
+    return reports[0].union(reports[1])

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import SERVICE_BBOX, WARD_COUNT, inside_bbox
 
-IN_LIST_LIMIT = 1000
-
 
 def equals_if(df: DataFrame, column: str, value: str | None) -> DataFrame:
     return df if value is None else df.filter(F.col(column) == value)
@@ -21,13 +19,11 @@ def at_least(df: DataFrame, column: str, minimum: float) -> DataFrame:
 
 
 def only_ids(df: DataFrame, ids: list[int] | DataFrame | None, key: str = "ward_id") -> DataFrame:
-    """Keep the given ids. A short list becomes a pushed-down IN; a frame of ids becomes a semi join."""
+    """Keep the given ids. A list of any length becomes a pushed-down IN; a frame of ids becomes a semi join."""
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
         return df.join(ids.select(key), key, "left_semi")
-    if len(ids) > IN_LIST_LIMIT:
-        raise ValueError("pass long id lists as a DataFrame")
     return df.filter(F.col(key).isin(ids)) if ids else df
 
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import clip, clip_norm, log_norm
-from ..session import broadcast_if_small
+from ..session import cut_lineage
 from .running import forward_fill, ordinal, with_halo
 
-MAX_BROADCAST_SNAPSHOTS = 100_000
-
 # The twelve model features, in order, and the two targets.
 FEATURES = (
     "ndvi", "ndbi", "impervious_norm", "lst_norm", "rainfall_log", "pm25_log", "pop_log", "area_norm",
@@ -23,13 +21,13 @@ def with_snapshot_index(history: DataFrame, ts: str = "snapshot_ts", name: str =
     """Position of each row's timestamp among the distinct timestamps.
 
     Only the distinct timestamps are ordered, in blocks of a day, so even a fine-grained history never meets in one
-    task. The index is usually small enough to be broadcast; then the history itself is not shuffled.
+    task. The index is stored; whether it is broadcast is left to the planner and its measured size.
     """
     if name in history.columns:
         return history
     stamps = history.select(ts).distinct()
     indexed = ordinal(stamps, [], [ts], F.date_trunc("day", F.col(ts)), name)
-    return history.join(broadcast_if_small(indexed, MAX_BROADCAST_SNAPSHOTS), ts)
+    return history.join(cut_lineage(indexed), ts)
 
 
 def normalise_snapshot(df: DataFrame) -> DataFrame:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import broadcast_if_small
-
-MAX_BROADCAST_METRICS = 10_000
+from ..session import cut_lineage
 
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -26,10 +24,10 @@ def population_stability(
     both = expected.select(metric, F.col(value).cast("double").alias("v"), F.lit(0).alias("side")).unionByName(
         actual.select(metric, F.col(value).cast("double").alias("v"), F.lit(1).alias("side"))
     ).filter(F.col("v").isNotNull())
-    ranges = broadcast_if_small(both.groupBy(metric).agg(
+    ranges = cut_lineage(both.groupBy(metric).agg(
         F.min("v").alias("lo"), (F.max("v") + 1e-6).alias("hi"),
         F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"),
-    ).filter((F.col("n0") > 0) & (F.col("n1") > 0)), MAX_BROADCAST_METRICS)
+    ).filter((F.col("n0") > 0) & (F.col("n1") > 0)))
     width = (F.col("hi") - F.col("lo")) / bins
     guess = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
     below = F.col("v") < F.col("lo") + guess * width

@@ -117,20 +117,24 @@ def needs_retraining(drift: DataFrame) -> DataFrame:
     return drift.agg(F.coalesce(F.max(F.col("psi") > 0.1), F.lit(False)).alias("retrain"))
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored baseline, or None before the first save."""
+def load_baseline(spark: SparkSession, path: str, model: str) -> DataFrame | None:
+    """The model's stored (metric, value) rows, or None before its first save; anything but a missing path raises."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        stored = spark.read.schema("metric STRING, value DOUBLE, model STRING").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    own = stored.filter(F.col("model") == model).select("metric", "value")
+    return None if own.isEmpty() else own
 
 
 def check_drift(current: DataFrame, model: str, baseline_path: str) -> DataFrame:
-    """Drift of (metric, value) rows against the model's baseline; the first call stores it and reports nothing."""
-    baseline = load_baseline(current.sparkSession, baseline_path)
+    """Drift of (metric, value) rows against the model's own baseline; a model's first call stores it, reports nothing."""
+    baseline = load_baseline(current.sparkSession, baseline_path, model)
     if baseline is None:
         save_baseline(current.withColumn("model", F.lit(model)), baseline_path)
         return current.sparkSession.createDataFrame([], "metric STRING, psi DOUBLE, level STRING")
-    return drift_report(baseline.filter(F.col("model") == model).select("metric", "value"), current)
+    return drift_report(baseline, current)

@@ -47,12 +47,12 @@ def lag_features(
 
 
 def fit_baseline(samples: DataFrame, inputs: list[str], target: str):
-    """Least squares with Spark ML; fits on the rows marked "train"."""
+    """Least squares with Spark ML; fits on the rows marked "train". A null input is an error, no row is left out."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
     regression = LinearRegression(featuresCol="features", labelCol=target, predictionCol="prediction")
     return Pipeline(stages=[assembler, regression]).fit(samples.filter(F.col("split") == "train"))
 

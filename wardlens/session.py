@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="wardlens-")
     if not sc.getCheckpointDir():
@@ -60,14 +60,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that later steps neither recompute it nor lose it with an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` stored in the shared folder, with a broadcast hint only if it turns out to have at most ``limit`` rows.
-
-    Meant for small reductions of large tables (a row per metric, a row per snapshot). The planner's estimate for those
-    is the large table's size, so without the hint the other side would be shuffled by a handful of keys. Beyond the
-    limit the keys are many and the shuffle join is the right plan.
-    """
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= limit else stored

@@ -27,8 +27,9 @@ def write_snapshot(df: DataFrame, csv_path: str, parquet_path: str) -> None:
 
 
 def save_baseline(df: DataFrame, path: str) -> None:
-    """Long form (model, metric, value), replacing the stored baseline."""
-    overwrite_table(df.select("model", "metric", F.col("value").cast("double")), path)
+    """Long form (model, metric, value), one folder per model; replaces the baselines of the models in ``df`` only."""
+    df.select("metric", F.col("value").cast("double"), "model").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

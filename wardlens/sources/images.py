@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import IMAGE_PIXELS
 
 
+def rejected_images(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id) of the files that do not decode."""
+    return spark.read.format("image").option("dropInvalid", False).load(path).filter("image.height <= 0").selectExpr(
+        "image.origin AS image_id")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """The files that decode; rejected_images() lists the others."""
     return (
-        spark.read.format("image").option("dropInvalid", True).load(path)
+        spark.read.format("image").option("dropInvalid", False).load(path).filter("image.height > 0")
         .selectExpr("image.origin AS image_id", "image.height AS height", "image.width AS width",
                     "image.nChannels AS channels", "image.data AS data")
     )

@@ -26,15 +26,21 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def rejected_payloads(payloads: DataFrame) -> DataFrame:
+    """Payloads that are not JSON or name more locations than the grid has."""
+    locations = F.from_json("value", f"ARRAY<{WEATHER_PAYLOAD_DDL}>")
+    return payloads.filter(locations.isNull() | (F.size(locations) > len(GRID_LATS) * len(GRID_LONS)))
+
+
 def grid_weather(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per grid point: position i of the response is (lat[i div 4], lon[i mod 4]); ``keep`` passes columns on.
 
-    A response for a single location is an object instead of an array; ``from_json`` reads it as one element.
+    A response for a single location is an object instead of an array; ``from_json`` reads it as one element. A payload
+    with more locations than the grid has points belongs to another grid: rejected_payloads() lists it.
     """
     locations = F.from_json("value", f"ARRAY<{WEATHER_PAYLOAD_DDL}>")
-    points = payloads.select(*(keep or []), F.posexplode(locations).alias("i", "loc")).filter(
-        F.col("i") < len(GRID_LATS) * len(GRID_LONS)
-    )
+    points = payloads.filter(F.size(locations) <= len(GRID_LATS) * len(GRID_LONS)).select(
+        *(keep or []), F.posexplode(locations).alias("i", "loc"))
 
     def field(path: str, name: str) -> Column:
         return F.coalesce(F.col(path), F.lit(DEFAULTS[name])).alias(name)

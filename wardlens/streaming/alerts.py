@@ -30,9 +30,10 @@ def dedupe_stream(alerts: DataFrame, lateness: str = "10 minutes", by_type: bool
 def publish_newest(
     alerts: DataFrame, path: str, checkpoint: str, keep: int = 50, once: bool = False
 ) -> StreamingQuery:
-    """The newest alerts of each micro-batch, one folder per batch."""
+    """The newest alerts of each micro-batch, one folder per batch; all of its alerts are kept in ``path``.all."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(f"{path.rstrip('/')}.all", f"batch={batch_id}"))
         newest = most_recent(batch, "timestamp", keep, "ward_id")
         newest.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
