@@ -31,5 +31,7 @@ def test_every_query_has_sql():
 
 def test_entry_point_imports_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) == set(e.queries())"
+    # the training-data queries (opN_..., pipeline) are beyond SQL and tested against brute force in tests/llm
+    code = ("import __spark_entry__ as e; q, s = set(e.queries()), set(e.oracle_sql()); assert s <= q; "
+            "assert all(n == 'pipeline' or n.startswith('op') for n in q - s), q - s")
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
