@@ -19,6 +19,8 @@ from .zip_archive import Writer, members
 DATA, INDEX = "archive/records.warc.gz", "indexes/index.jsonl"
 # Bytes of records that a reading task row covers.
 RANGE_BYTES = 8 << 20
+# Bytes that a reading task is given at most on average.
+TASK_BYTES = 128 << 20
 
 _MANIFEST = "path string, n_records long"
 _RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, " \
@@ -212,5 +214,8 @@ def read_records(spark: SparkSession, packages: DataFrame, range_bytes: int = RA
                 if rows:
                     yield flush(rows)
 
-    ranges = record_ranges(packages, range_bytes)
-    return ranges.repartition("path", "offset").mapInArrow(run, _RECORD)
+    # A row of a range is small but stands for much to read: the number of tasks follows the bytes, not the rows' size.
+    ranges = stored(record_ranges(packages, range_bytes), "ranges")
+    count, total = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(count, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-total // TASK_BYTES))
+    return ranges.repartition(tasks, "path", "offset").mapInArrow(run, _RECORD)
