@@ -121,3 +121,39 @@ def test_self_loops_and_isolated_nodes(spark):
     features = spark.createDataFrame([(1, 10.0), (2, 4.0)], "ward_id BIGINT, x DOUBLE")
     assert rows(graph.neighbour_mean(edges, features, ["x"]), "ward_id") == [(1, 0.0), (2, 5.0)]
     assert rows(graph.neighbour_mean(edges, features, ["x"], residual=True), "ward_id") == [(1, 10.0), (2, 9.0)]
+
+
+def test_great_circle_neighbours_cross_date_line_and_poles(spark):
+    points = [(179.99, 0.0), (-179.99, 0.0), (179.0, 0.0), (-179.0, 0.0), (10.0, 89.9), (-170.0, 89.9), (10.0, 88.0)]
+    found: dict[int, list[int]] = {}
+    for src, dst, _, _ in rows(spatial.nearest_neighbours(nodes(spark, points), 1, "haversine"), "src", "rank"):
+        found.setdefault(src, []).append(dst)
+    assert found == brute(points, 1, haversine)
+    assert found[0] == [1] and found[1] == [0] and found[4] == [5]
+
+
+@pytest.mark.parametrize("metric", ["degrees", "haversine"])
+def test_a_stray_point_does_not_coarsen_the_cells(spark, metric):
+    city = [(77 + x * 1e-5, 12 + y * 1e-5) for x, y in scattered(1500, 8)]
+    points = [*city, (-179.0, -89.0)]
+    measure = haversine if metric == "haversine" else (
+        lambda a, b: math.sqrt((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2))
+    found: dict[int, list[float]] = {}
+    for src, _, distance, _ in rows(spatial.nearest_neighbours(nodes(spark, points), 3, metric), "src", "rank"):
+        found.setdefault(src, []).append(distance)
+    for i in (0, 700, 1499, 1500):
+        expected = sorted(measure(points[i], q) for j, q in enumerate(points) if j != i)[:3]
+        assert found[i] == pytest.approx(expected, rel=1e-6)
+    assert len(found) == len(points)
+
+
+def test_one_large_polygon_among_small_ones(spark):
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+    small = [(i + 2, i + 2, square(i % 60 * 0.01, i // 60 * 0.01, 0.001)) for i in range(3000)]
+    polygons = spark.createDataFrame(
+        [(5000, 1, square(-5.0, -5.0, 10.0)), (6000, 7, []), *small], "feature_order INT, ward_id INT, ring ARRAY<ARRAY<DOUBLE>>")
+    points = spark.createDataFrame(
+        [(1, 0.0105, 0.0005), (2, 0.005, 0.005), (3, 4.9, -4.9), (4, 6.0, 0.0), (5, None, 0.0)], "id INT, lon DOUBLE, lat DOUBLE")
+    assert rows(spatial.locate_points(points, polygons, "id").select("id", "ward_id"), "id") == [
+        (1, 3), (2, 1), (3, 1), (4, None), (5, None)]
+    assert rows(spatial.locate_points(points, polygons.limit(0), "id").select("id", "ward_id"), "id")[0] == (1, None)

@@ -5,19 +5,26 @@ Every spatial join is an equi-join on grid cells followed by an exact test.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geo import GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, inside_edges, planar_km, ring_edges
+from ..functions.geo import (
+    EARTH_RADIUS_KM, GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, inside_edges, planar_km, ring_edges,
+)
 from ..session import cut_lineage
 
-_FINEST = 20  # 2^20 cells per axis at the deepest level
-_STEP = 2  # counted levels 0, 2, ..., _FINEST
-EARTH_KM_PER_DEGREE = 111.19
+# 2^39 cells per axis at the deepest level: cells of a city stay apart when a stray point widens the box to the globe.
+_FINEST = 39
+_STEP = 3  # counted levels 0, 3, ..., _FINEST
+_LEAST_DEGREES = 1e-9  # boxes of rings count as this wide at least
 
 
-def _neighbour_cells(x: Column, y: Column) -> Column:
+def _neighbour_cells(cells: dict[str, Column]) -> Column:
+    """The cell and all that touch it, one struct each."""
     return F.explode(F.array(*[
-        F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)
+        F.struct(*[(c + d).alias(name) for (name, c), d in zip(cells.items(), shift)])
+        for shift in product((-1, 0, 1), repeat=len(cells))
     ]))
 
 
@@ -27,84 +34,93 @@ def _ancestor(column: str, level: Column) -> Column:
 
 
 def _used_levels(rows: DataFrame) -> Column:
-    """The levels that occur, as an array of a one-row aggregate (21 integers at most)."""
+    """The levels that occur, as an array of a one-row aggregate (a few dozen integers at most)."""
     return rows.agg(F.sort_array(F.collect_set("level"))).scalar()
 
 
 def nearest_neighbours(nodes: DataFrame, k: int = 6, metric: str = "degrees") -> DataFrame:
     """The k nearest other nodes of every node: (src, dst, distance, rank). Exact; ties go to the smaller id.
 
-    ``nodes`` has ward_id, lon, lat. ``metric`` is "degrees" (planar) or "haversine" (km).
+    ``nodes`` has ward_id, lon, lat. ``metric`` is "degrees" (planar: both sides of the date line are far apart) or
+    "haversine" (km on the sphere, across the date line and the poles; cells are cubes around the unit vectors, whose
+    straight distance orders like the great circle's).
 
     1. Nodes that share a location are one query, and at most k+1 of them (smallest ids) are candidates, which is all
        any answer can use. A pile of copies at one spot therefore stays k+1 rows.
     2. A cell hierarchy counts candidates. Each location looks into the deepest cell around it that holds k+1 of them;
        the distance of the last of those bounds its answer. Dense areas look into small cells, sparse ones into large.
-    3. With that bound as radius, each location asks the 3x3 cells of the level whose cells are just as wide, and keeps
-       what lies within the radius.
+    3. With that bound as radius, each location asks the cell and its neighbours at the level whose cells are just as
+       wide, and keeps what lies within the radius.
     """
     place = nodes.select(F.col("ward_id").cast("long").alias("id"), F.col("lon").cast("double").alias("lon"),
                          F.col("lat").cast("double").alias("lat"))
+    sphere = metric == "haversine"
+    if sphere:
+        lon, lat = F.radians("lon"), F.radians("lat")
+        at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    else:
+        at = {"x": F.col("lon"), "y": F.col("lat")}
+    axes, fine = list(at), [f"f{a}" for a in at]
     box = place.agg(F.struct(
-        F.min("lon").alias("west"), F.min("lat").alias("south"),
-        F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"), F.lit(1e-9)).alias("span"),
-        F.max(F.abs("lat")).alias("top"),
+        *[F.min(v).alias(a) for a, v in at.items()],
+        F.greatest(*[F.max(v) - F.min(v) for v in at.values()], F.lit(1e-9)).alias("span"),
     )).scalar()
 
-    def finest(value: str, origin: str) -> Column:
-        scaled = F.floor((F.col(value) - F.col(f"_b.{origin}")) / F.col("_b.span") * F.lit(float(2**_FINEST)))
-        return F.least(scaled, F.lit(2**_FINEST - 1)).cast("long")
+    def finest(axis: str) -> Column:
+        scaled = F.floor((at[axis] - F.col(f"_b.{axis}")) / F.col("_b.span") * F.lit(float(2**_FINEST)))
+        return F.greatest(F.lit(0), F.least(scaled, F.lit(2**_FINEST - 1))).cast("long")
 
     by_id = Window.partitionBy("lon", "lat").orderBy("id")
     kept = place.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
     gridded = kept.withColumn("_b", box).select(
-        "id", "lon", "lat", finest("lon", "west").alias("fx"), finest("lat", "south").alias("fy"),
-        F.col("_b.span").alias("span"), F.col("_b.top").alias("top"), (F.col("_n") == 1).alias("first"),
+        "id", "lon", "lat", *[finest(a).alias(f) for a, f in zip(axes, fine)], F.col("_b.span").alias("span"),
+        (F.col("_n") == 1).alias("first"),
     )
 
     def distance(lon: str, lat: str) -> Column:
-        if metric == "haversine":
+        if sphere:
             return haversine_km(F.col("qlon"), F.col("qlat"), F.col(lon), F.col(lat))
         dlon, dlat = F.col(lon) - F.col("qlon"), F.col(lat) - F.col("qlat")
         return F.sqrt(dlon * dlon + dlat * dlat)
 
+    def cells_of(level: str = "level") -> dict[str, Column]:
+        return {a: _ancestor(f, F.col(level)) for a, f in zip(axes, fine)}
+
     def at_levels(rows: DataFrame, levels: Column) -> DataFrame:
-        leveled = rows.withColumn("level", F.explode(levels))
-        return leveled.withColumns({"x": _ancestor("fx", F.col("level")), "y": _ancestor("fy", F.col("level"))})
+        return rows.withColumn("level", F.explode(levels)).withColumns(cells_of())
 
     # the deepest counted cell of each occupied finest cell
-    occupied = gridded.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))
+    occupied = gridded.groupBy(*fine).agg(F.count(F.lit(1)).alias("n"))
     counted = F.array(*[F.lit(v) for v in range(0, _FINEST + 1, _STEP)])
     cells = at_levels(occupied, counted)
-    full = cells.groupBy("level", "x", "y").agg(F.sum("n").alias("total")).filter(F.col("total") >= k + 1)
-    deepest = cells.join(full, ["level", "x", "y"]).groupBy("fx", "fy").agg(F.max("level").alias("level"))
-    located = gridded.join(deepest, ["fx", "fy"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    full = cells.groupBy("level", *axes).agg(F.sum("n").alias("total")).filter(F.col("total") >= k + 1)
+    deepest = cells.join(full, ["level", *axes]).groupBy(*fine).agg(F.max("level").alias("level"))
+    located = gridded.join(deepest, fine, "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
     # bound: distance of the (k+1)-th candidate of that cell (the location's own nodes count)
-    homes = located.withColumns({"x": _ancestor("fx", F.col("level")), "y": _ancestor("fy", F.col("level"))})
+    homes = located.withColumns(cells_of())
     queries = homes.filter("first").select(
-        "level", "x", "y", "fx", "fy", "span", "top", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    shared = at_levels(gridded.select("id", "lon", "lat", "fx", "fy"), _used_levels(located)).drop("fx", "fy")
+        "level", *axes, *fine, "span", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
+    shared = at_levels(gridded.select("id", "lon", "lat", *fine), _used_levels(located)).drop(*fine)
     order = Window.partitionBy("qlon", "qlat").orderBy("distance", "id")
-    inside = queries.join(shared, ["level", "x", "y"]).withColumn("distance", distance("lon", "lat"))
+    inside = queries.join(shared, ["level", *axes]).withColumn("distance", distance("lon", "lat"))
     bounds = inside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy(
-        "qlon", "qlat", "fx", "fy", "span", "top"
+        "qlon", "qlat", *fine, "span"
     ).agg(F.when(F.count(F.lit(1)) == k + 1, F.max("distance")).alias("radius"))
 
-    # the level whose cells are at least as wide as the bound; without a bound everything is within reach
-    degrees = F.col("radius")
-    if metric == "haversine":
-        degrees = degrees / (EARTH_KM_PER_DEGREE * F.cos(F.radians(F.least(F.col("top"), F.lit(89.0)))))
-    level = F.floor(F.log2(F.col("span") / F.greatest(degrees * (1 + 1e-9), F.lit(1e-12))))
+    # the level whose cells are at least as wide as the bound and the rounding of coordinates; without a bound
+    # everything is within reach
+    width = F.col("radius")
+    if sphere:
+        width = 2.0 * F.sin(width / (2.0 * EARTH_RADIUS_KM)) + 4e-15
+    level = F.floor(F.log2(F.col("span") / (width * (1 + 1e-9) + F.col("span") * 2.0**-48)))
     # stored once (one small row per location): it feeds both the level list and the search
     reach = F.when(F.col("radius").isNull(), F.lit(0)).otherwise(F.least(F.greatest(level, F.lit(0)), F.lit(_FINEST)))
     asking = cut_lineage(bounds.withColumn("level", reach.cast("int")))
-    asked = asking.select(
-        "level", "qlon", "qlat", "radius",
-        _neighbour_cells(_ancestor("fx", F.col("level")), _ancestor("fy", F.col("level"))).alias("c"),
-    ).select("level", "c.x", "c.y", "qlon", "qlat", "radius")
-    offered = at_levels(gridded.select("id", "lon", "lat", "fx", "fy"), _used_levels(asking)).drop("fx", "fy")
-    near = asked.join(offered, ["level", "x", "y"]).withColumn("distance", distance("lon", "lat")).filter(
+    asked = asking.select("level", "qlon", "qlat", "radius", _neighbour_cells(cells_of()).alias("c")).select(
+        "level", "c.*", "qlon", "qlat", "radius")
+    offered = at_levels(gridded.select("id", "lon", "lat", *fine), _used_levels(asking)).drop(*fine)
+    near = asked.join(offered, ["level", *axes]).withColumn("distance", distance("lon", "lat")).filter(
         F.col("radius").isNull() | (F.col("distance") <= F.col("radius")))
     nearest = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
     answers = nearest.groupBy("qlon", "qlat").agg(
@@ -123,7 +139,9 @@ def nearest_neighbours(nodes: DataFrame, k: int = 6, metric: str = "degrees") ->
 def pairs_within(nodes: DataFrame, max_km: float = 3.5) -> DataFrame:
     """Pairs src < dst whose planar distance is at most ``max_km``.
 
-    Cells are as wide as the threshold, so candidates stay within a constant factor of the result; AQE splits a hot cell.
+    The plane has one longitude scale, that of the mean latitude, and ends at the date line: it is meant for nodes of
+    one region. Cells are as wide as the threshold, so candidates stay within a constant factor of the result; AQE
+    splits a hot cell.
     """
     place = nodes.select(F.col("ward_id").cast("long").alias("id"), "lon", "lat")
     mean_lat = place.agg(F.avg("lat")).scalar()
@@ -133,7 +151,7 @@ def pairs_within(nodes: DataFrame, max_km: float = 3.5) -> DataFrame:
         "y", F.floor(F.col("lat") / lat_size))
     left = gridded.select(
         F.col("id").alias("src"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "_mean",
-        _neighbour_cells(F.col("x"), F.col("y")).alias("c"),
+        _neighbour_cells({"x": F.col("x"), "y": F.col("y")}).alias("c"),
     ).select("src", "lon1", "lat1", "_mean", "c.x", "c.y")
     right = gridded.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "x", "y")
     distance = planar_km(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), F.col("_mean"))
@@ -152,8 +170,9 @@ def pair_distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def locate_points(points: DataFrame, polygons: DataFrame, point_key: str) -> DataFrame:
     """First polygon (by feature_order) that contains each point: ``points`` + ward_id, null where none does.
 
-    ``points`` has lon, lat and a unique key; ``polygons`` has feature_order, ward_id and ring. Rings are indexed by the
-    cells of their boxes, with cells as large as the average box.
+    ``points`` has lon, lat and a unique key; ``polygons`` has feature_order, ward_id and ring. A ring's level is the
+    power of two that is at least as wide as its own box, so it is entered in four cells at most, and one large ring
+    among many small ones costs no more than they do. Points are looked up at the levels that occur.
     """
     boxed = polygons.select(
         "feature_order", "ward_id", "ring",
@@ -162,22 +181,21 @@ def locate_points(points: DataFrame, polygons: DataFrame, point_key: str) -> Dat
         F.array_min(F.transform("ring", lambda p: p[1])).alias("s"),
         F.array_max(F.transform("ring", lambda p: p[1])).alias("n"),
     )
-    size = boxed.agg(F.greatest(
-        F.avg(F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))), F.lit(1e-9))).scalar()
-    sized = boxed.withColumn("_size", size)
+    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(_LEAST_DEGREES))
+    leveled = boxed.withColumn("level", F.ceil(F.log2(extent)).cast("int"))
 
     def cell(column: str) -> Column:
-        return F.floor(F.col(column) / F.col("_size"))
+        return F.floor(F.col(column) / F.pow(F.lit(2.0), F.col("level")))
 
     indexed = (
-        sized.withColumn("x", F.explode(F.sequence(cell("w"), cell("e"))))
+        leveled.withColumn("x", F.explode(F.sequence(cell("w"), cell("e"))))
         .withColumn("y", F.explode(F.sequence(cell("s"), cell("n"))))
-        .select("x", "y", "feature_order", F.col("ward_id").alias("_ward"), ring_edges(F.col("ring")).alias("edges"),
-                "w", "e", "s", "n")
+        .select("level", "x", "y", "feature_order", F.col("ward_id").alias("_ward"),
+                ring_edges(F.col("ring")).alias("edges"), "w", "e", "s", "n")
     )
-    placed = points.withColumn("_size", size).withColumn("x", cell("lon")).withColumn("y", cell("lat"))
+    placed = points.withColumn("level", F.explode(_used_levels(leveled))).withColumn("x", cell("lon")).withColumn("y", cell("lat"))
     in_box = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
-    hits = placed.join(indexed, ["x", "y"]).filter(
+    hits = placed.join(indexed, ["level", "x", "y"]).filter(
         in_box & inside_edges(F.col("lon"), F.col("lat"), F.col("edges"))
     )
     first = hits.groupBy(point_key).agg(F.min_by("_ward", "feature_order").alias("ward_id"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.risk import metric_passes
-from ..operators.ranking import best_run
 
 # The gated metric, its threshold and direction per model.
 MODEL_GATES = {
@@ -18,17 +15,22 @@ MODEL_GATES = {
 
 
 def gate_decisions(runs: DataFrame, gates: dict[str, tuple[str, float, bool]], experiments: dict[str, str] | None = None):
-    """Best finished run per gated model and whether it passes. Experiment names default to the model names."""
-    parts = []
-    for model, (metric, threshold, higher) in gates.items():
-        experiment = (experiments or {}).get(model, model)
-        best = best_run(runs.filter(F.col("experiment") == experiment), metric, higher)
-        passes = metric_passes(F.col("metric_value"), F.lit(threshold), F.lit(higher))
-        parts.append(best.select(
-            F.lit(model).alias("model"), "run_id", F.lit(metric).alias("metric"), "metric_value",
-            F.lit(threshold).alias("threshold"), passes.alias("passes"),
-        ))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Best finished run per gated model and whether it passes. Experiment names default to the model names.
+
+    One scan of ``runs``: each run meets the few gates of its experiment and metric, and the best run of a model is an
+    aggregate; run_id breaks ties.
+    """
+    table = F.array(*[
+        F.struct(F.lit(model).alias("model"), F.lit((experiments or {}).get(model, model)).alias("experiment"),
+                 F.lit(metric).alias("metric"), F.lit(float(threshold)).alias("threshold"), F.lit(higher).alias("higher"))
+        for model, (metric, threshold, higher) in gates.items()])
+    own = F.filter(table, lambda g: (g["experiment"] == F.col("experiment")) & (g["metric"] == F.col("metric_name")))
+    met = runs.filter((F.col("status") == "FINISHED") & F.col("metric_value").isNotNull()).select(
+        "run_id", "metric_value", F.explode(own).alias("g"))
+    signed = F.when(F.col("g.higher"), -F.col("metric_value")).otherwise(F.col("metric_value"))
+    best = met.groupBy("g").agg(F.min(F.struct(signed.alias("_at"), "run_id", "metric_value")).alias("b"))
+    passes = metric_passes(F.col("b.metric_value"), F.col("g.threshold"), F.col("g.higher"))
+    return best.select("g.model", "b.run_id", "g.metric", "b.metric_value", "g.threshold", passes.alias("passes"))
 
 
 def promote(registry: DataFrame, decisions: DataFrame) -> DataFrame:

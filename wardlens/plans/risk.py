@@ -105,12 +105,13 @@ def freshness(risks: DataFrame) -> DataFrame:
 def resolve_tiers(tiers: list[tuple[str, DataFrame]], ids: list[int] | DataFrame | None = None) -> DataFrame:
     """The first non-empty tier as a whole, tagged ``data_source``.
 
-    Emptiness is a one-row count per tier inside the plan; the losing tiers are filtered out by that constant.
+    One row per tier tells inside the plan whether it has any; the losing tiers are filtered out by that constant.
     """
     tagged = [
         only_ids(df, ids).withColumn("data_source", F.lit(name)).withColumn("_tier", F.lit(i))
         for i, (name, df) in enumerate(tiers)
     ]
     everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    winner = everything.agg(F.min("_tier")).scalar()
+    present = reduce(lambda a, b: a.unionByName(b), [df.select("_tier").limit(1) for df in tagged])
+    winner = present.agg(F.min("_tier")).scalar()
     return everything.filter(F.col("_tier") == winner).drop("_tier")
