@@ -223,8 +223,8 @@ def class_scores(
     raised by DELTA and one more word stands for all unknown ones. ``base_score`` is the add-one unigram score.
 
     Every training word counts, however rare. Words below the lexicon's frequency meet their counts by a join: a
-    task lists, for a block of documents, each rare word once with the places it occurs in, and the joined words give
-    sums per document. Only the lexicon (at most ``lexicon`` words) and class tables go to every task. Null and empty
+    task lists, for a block of documents, each rare word once with the places it occurs in, and the joined words return
+    to their block and give one row of sums per document. Only the lexicon (at most ``lexicon`` words) and class tables go to every task. Null and empty
     texts are the end alone. Rows with null ``held_out`` count as held out. Repeated rows are learned from and scored
     each. Without training rows all words are unknown, and an empty table gives an empty result.
     """
@@ -332,10 +332,12 @@ def class_scores(
     postings = passed.filter("word is not null").select("word", "block", "places")
     met = (
         postings.join(vocabulary.select("word", "n"), "word", "left")
-        .select("block", "places", F.coalesce("n", F.lit(0)).cast("double").alias("n")).sortWithinPartitions("block")
-        .mapInArrow(spread, "key long, known long, base double, score double")
+        .select("block", "places", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+        .repartition("block").sortWithinPartitions("block")
     )
-    sums = met.groupBy("key").agg(F.sum("known").alias("_k"), F.sum("base").alias("_b"), F.sum("score").alias("_s"))
+    # a block is whole in one task, so each document has one row of sums however many partitions its words came from
+    sums = met.mapInArrow(spread, "key long, known long, base double, score double").select(
+        "key", F.col("known").alias("_k"), F.col("base").alias("_b"), F.col("score").alias("_s"))
     return passed.filter("key is not null").drop("word", "block", "places").join(sums, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
