@@ -114,7 +114,7 @@ def test_quality_report_passes_and_fails(spark):
     assert row["status"] == "fail"
     assert set(row["issues"]) == {
         "ward_id contains duplicates", "ward_id sequence is incomplete", "Missing required column: pm25_ugm3",
-        "Null values in ndvi: 1", "ndvi has 1 value(s) outside its range"}
+        "Null values in ndvi: 1", "ndvi has 1 value(s) outside [0, 1]"}
 
 
 def test_gates(spark):

@@ -64,7 +64,7 @@ def _verdicts(t: Tables) -> DataFrame:
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
 
 
-@query("X19 P35 K7", "reports", "flood_confidence", f"""
+@query("X19 P35", "reports", "flood_confidence", f"""
 WITH {_RULES}
 SELECT c.id, CASE WHEN e.value > 20 THEN 'flood' ELSE report_type END AS report_type,
        e.value > 20 AS flood_predicted, least(e.value / 100, 1.0) AS flood_confidence

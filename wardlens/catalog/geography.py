@@ -167,7 +167,7 @@ def located_reports(t: Tables) -> DataFrame:
     return spatial.locate_points(points, _cells(t), "id").select("id", "ward_id")
 
 
-@query("N3 P17 S8", "", "west south east north", """
+@query("N3 P17", "", "west south east north", """
 SELECT ward_id, 5 AS vertices, 77.45 + c * dx AS west, 12.83 + r * dy AS south, 77.45 + c * dx + dx AS east,
        12.83 + r * dy + dy AS north
 FROM (SELECT c_custkey + 1 AS ward_id, c_custkey // 14 AS r, c_custkey % 14 AS c,

@@ -6,13 +6,15 @@ import os
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import ranking
 from ..operators.nested import point_geometry
-from ..plans import quality
+from ..plans import interventions, quality
 from ..session import scratch_path
 from ..sinks import files as sinks, messages as message_sinks
-from ..sources import files, messages
+from ..sources import files, messages, rasters
 from ..streaming import windows as window_jobs
 from .registry import query
+from .risk_jobs import _greedy_sql
 from .streams import _finish
 from .views import Tables
 
@@ -85,6 +87,52 @@ def geojson_export(t: Tables) -> DataFrame:
     return lines.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"))
 
 
+@query("X17 X5 K15 N4", "risks scores", "roi_score lon lat", f"""
+WITH rec AS ({_greedy_sql(500, 198)})
+SELECT r.ward_id, ward_name, intervention_type AS recommended_intervention, CAST(coalesce(cost, 1) AS INTEGER) AS cost,
+       (coalesce(expected_heat_reduction, 0.0) + coalesce(expected_flood_reduction, 0.0)) / coalesce(cost, 1) AS roi_score,
+       round(77.35 + (77.82::DOUBLE - 77.35::DOUBLE) * (((r.ward_id - 1) % 14) / 13.0::DOUBLE), 5) AS lon,
+       round(12.77 + (13.18::DOUBLE - 12.77::DOUBLE) * (((r.ward_id - 1) // 14) / 14.0::DOUBLE), 5) AS lat
+FROM risks r LEFT JOIN rec USING (ward_id)""")
+def roi_map(t: Tables) -> DataFrame:
+    """The greedy plan for a budget of 500, its map exported as GeoJSON and read back."""
+    out = scratch_path(t.spark, "roi")
+    recommendations = ranking.greedy_recommendations(t.scores, 500, 198)
+    sinks.export(interventions.roi_map(t.risks, recommendations), out, "geojson", "geometry")
+    feature = F.from_json(F.regexp_replace("value", "^,", ""), (
+        "type STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<DOUBLE>>, properties STRUCT<ward_id: BIGINT, "
+        "ward_name: STRING, recommended_intervention: STRING, cost: INT, roi_score: DOUBLE>"))
+    lines = t.spark.read.text(out).select(feature.alias("f")).filter(F.col("f.type") == "Feature")
+    return lines.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"),
+                        F.col("f.geometry.coordinates")[1].alias("lat"))
+
+
+@query("S8", "wards", "lon lat east", """
+SELECT ward_id, ward_name, centroid_lon AS lon, centroid_lat AS lat, centroid_lon + 0.001::DOUBLE AS east FROM wards""")
+def ward_geojson(t: Tables) -> DataFrame:
+    """Wards with a square outline as a feature collection, read back by the ward geometry source."""
+    out = scratch_path(t.spark, "wards")
+    lon, lat, half = F.col("centroid_lon"), F.col("centroid_lat"), 0.001
+    corners = ((-half, -half), (half, -half), (half, half), (-half, half), (-half, -half))
+    outline = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[
+        F.array(lon + x, lat + y) for x, y in corners])).alias("coordinates"))
+    sinks.export(t.wards.select("ward_id", "ward_name", "centroid_lon", "centroid_lat").withColumn("geometry", outline),
+                 out, "geojson", "geometry")
+    return rasters.read_ward_lines(t.spark, out).select(
+        "ward_id", "ward_name", F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat"),
+        F.array_max(F.transform("ring", lambda corner: corner[0])).alias("east"))
+
+
+@query("K7", "readings", "temperature_c rainfall_mm", _READINGS_SQL)
+def appended_readings(t: Tables) -> DataFrame:
+    """A stored table that grows by two appends, read back."""
+    out, rows = scratch_path(t.spark, "appended"), _readings(t)
+    early = F.col("event_id") % 3 == 0
+    sinks.append_table(rows.filter(early), out)
+    sinks.append_table(rows.filter(~early), out)
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
 @query("P41 T11 K1", "scores", "", """
 SELECT 'control' AS key, '{"event_type":"ward_features_updated","pipeline_run":"daily","ds":"2024-02-01","timestamp":"2024-02-01T06:00:00Z","ward_count":'
   || (SELECT count(*) FROM scores) || '}' AS value""")

@@ -32,13 +32,26 @@ def quality_counts(t: Tables) -> DataFrame:
         "row_count", "null_pm25_ugm3", "null_ward_name", *[f"bad_{c}" for c in _BAD])
 
 
-@query("X8 A11 A12 A13 U6 K13", "ward_features", "", f"""
+_STATS = [(c, s) for c in _SUMMARY for s in ("min", "mean", "max")]
+
+
+@query("X8 A11 A12 A13 U6", "ward_features", " ".join([*quality.PAIRS, *(f"{c}_{s}" for c, s in _STATS)]), f"""
 WITH f AS (SELECT * FROM ward_features),
 v AS (SELECT unnest([{', '.join(f"'{c}'" for c in _BAD)}]) AS c,
-      unnest([{', '.join(f"(SELECT count(*) FROM f WHERE {c} < {lo} OR {c} > {hi})" for c, (lo, hi) in _BAD.items())}]) AS n)
+      unnest([{', '.join(f"'[{lo}, {hi}]'" for lo, hi in _BAD.values())}]) AS bounds,
+      unnest([{', '.join(f"(SELECT count(*) FROM f WHERE {c} < {lo} OR {c} > {hi})" for c, (lo, hi) in _BAD.items())}]) AS n),
+i AS (SELECT 'Expected 198 wards, found ' || count(*) AS x FROM f HAVING count(*) <> 198
+      UNION ALL SELECT 'ward_id contains duplicates' FROM f HAVING count(*) > count(DISTINCT ward_id)
+      UNION ALL SELECT 'ward_id sequence is incomplete' FROM f
+        HAVING count(DISTINCT ward_id) FILTER (WHERE ward_id BETWEEN 1 AND 198) < 198
+      UNION ALL SELECT 'Null values in pm25_ugm3: ' || count(*) FROM f WHERE pm25_ugm3 IS NULL HAVING count(*) > 0
+      UNION ALL SELECT c || ' has ' || n || ' value(s) outside ' || bounds FROM v WHERE n > 0)
 SELECT 'fail' AS status, (SELECT count(*) FROM f) AS row_count, 13 AS column_count,
        'pm25_ugm3:' || (SELECT count(*) FROM f WHERE pm25_ugm3 IS NULL) AS nulls,
-       (SELECT string_agg(c || ':' || n, ',' ORDER BY c) FROM v WHERE n > 0) AS violations""")
+       (SELECT string_agg(c || ':' || n, ',' ORDER BY c) FROM v WHERE n > 0) AS violations,
+       (SELECT string_agg(x, '|' ORDER BY x) FROM i) AS issues,
+       {', '.join(f"(SELECT round(corr({a}, {b}), 4) FROM f) AS {n}" for n, (a, b) in quality.PAIRS.items())},
+       {', '.join(f"(SELECT {'avg' if s == 'mean' else s}({c}) FROM f) AS {c}_{s}" for c, s in _STATS)}""")
 def quality_report(t: Tables) -> DataFrame:
     """The nested report flattened to comparable columns."""
     report = quality.quality_report(t.ward_features, 198)
@@ -48,7 +61,9 @@ def quality_report(t: Tables) -> DataFrame:
             x["column"], F.lit(":"), x["n"].cast("string")))), ",")
 
     return report.select("status", "row_count", "column_count", flat("null_counts").alias("nulls"),
-                         flat("range_violations").alias("violations"))
+                         flat("range_violations").alias("violations"),
+                         F.array_join(F.array_sort("issues"), "|").alias("issues"), "correlations.*",
+                         *[F.col(f"summary_stats.{c}.{s}").alias(f"{c}_{s}") for c, s in _STATS])
 
 
 @query("A13", "ward_features", "heat_vs_lst flood_vs_rain heat_vs_impervious", """
@@ -108,8 +123,8 @@ def retraining_gate(t: Tables) -> DataFrame:
 
 @query("A25", "", "", f"""
 WITH {_PSI} SELECT severity, count(*) AS alerts FROM (
-  SELECT CASE WHEN psi > 0.0002 THEN 'critical' WHEN psi > 0.0001 THEN 'warning' END AS severity FROM
-  (SELECT psi / 1000 AS psi FROM psi)) WHERE severity IS NOT NULL GROUP BY severity""")
+  SELECT CASE WHEN psi > 0.2 THEN 'critical' WHEN psi > 0.1 THEN 'warning' END AS severity FROM psi)
+WHERE severity IS NOT NULL GROUP BY severity""")
 def drift_alert_counts(t: Tables) -> DataFrame:
     return aggregates.drift_alert_counts(quality.drift_report(*_drift_sides(t)))
 
@@ -123,13 +138,13 @@ def regression_metrics(t: Tables) -> DataFrame:
     return stats.regression_metrics(t.predictions, "prediction", "target")
 
 
-@query("A15 P44", "predictions", "combined_rmse combined_mae", """
-SELECT 0.6 * sqrt(avg(pow(prediction - target, 2))) + 0.4 * sqrt(avg(pow(flood_prediction - flood_target, 2))) AS combined_rmse,
+@query("A15 P44", "predictions", "dual_loss combined_rmse combined_mae", """
+SELECT 0.6 * avg(pow(prediction - target, 2)) + 0.4 * avg(pow(flood_prediction - flood_target, 2)) AS dual_loss,
+       0.6 * sqrt(avg(pow(prediction - target, 2))) + 0.4 * sqrt(avg(pow(flood_prediction - flood_target, 2))) AS combined_rmse,
        0.6 * avg(abs(prediction - target)) + 0.4 * avg(abs(flood_prediction - flood_target)) AS combined_mae
 FROM predictions""")
 def dual_loss(t: Tables) -> DataFrame:
-    return stats.dual_loss(t.predictions, ("prediction", "target"), ("flood_prediction", "flood_target")).select(
-        "combined_rmse", "combined_mae")
+    return stats.dual_loss(t.predictions, ("prediction", "target"), ("flood_prediction", "flood_target"))
 
 
 @query("A16", "predictions", "value", """

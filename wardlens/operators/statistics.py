@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
+# Equal ranges that the bracket of a percentile is cut into; only the one that holds the rank is ordered.
+RANGES = 4096
+
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Pearson correlation per named pair in one row; undefined becomes null."""
@@ -73,8 +76,9 @@ def dual_loss(df: DataFrame, heat: tuple[str, str], flood: tuple[str, str], weig
 def exact_percentiles(df: DataFrame, column: str, probabilities: list[float], accuracy: int = 10_000) -> DataFrame:
     """Percentiles with linear interpolation, exact, without sorting the table in one task.
 
-    An approximate pass brackets each wanted rank between two values; only values inside the brackets are ordered, and
-    the values below them are only counted. The bracket's rank error is bounded, so the bracket always holds the rank.
+    An approximate pass brackets each wanted rank between two values. A second pass counts the values in equal ranges of
+    each bracket; the third orders only the range that holds the rank. The bracket's rank error is bounded, so the rank
+    lies inside it or, after rounding, on the row next to it, which is the extreme value on that side.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     slack = 2.0 / accuracy
@@ -84,31 +88,45 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: list[float], ac
         F.percentile_approx("v", lows, accuracy).alias("lo"), F.percentile_approx("v", highs, accuracy).alias("hi"),
         F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
     )
-    few = F.col("n") <= accuracy
     targets = brackets.select(
         F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in probabilities]).alias("p"), "lo", "hi")).alias("t"),
         "n", "vmin", "vmax",
     ).select(
         F.col("t.p").alias("p"), ((F.col("n") - 1) * F.col("t.p")).alias("pos"),
-        # opened to the extreme value at the ends of the order, and when so few rows exist that the slack is no rank
-        F.when((F.col("t.p") <= slack) | few, F.col("vmin")).otherwise(F.col("t.lo")).alias("lo"),
-        F.when((F.col("t.p") >= 1.0 - slack) | few, F.col("vmax")).otherwise(F.col("t.hi")).alias("hi"),
+        # opened to the extreme value at the ends of the order
+        F.when(F.col("t.p") <= slack, F.col("vmin")).otherwise(F.col("t.lo")).alias("lo"),
+        F.when(F.col("t.p") >= 1.0 - slack, F.col("vmax")).otherwise(F.col("t.hi")).alias("hi"),
     )
-    # the brackets are one array constant (as long as the argument list), so no row is shuffled to meet them
+    # brackets and ranges are array constants (as long as the argument list), so no row is shuffled to meet them
     constant = targets.agg(F.collect_list(F.struct("p", "pos", "lo", "hi"))).scalar()
-    met = values.withColumn("t", F.explode(constant)).select("v", "t.*").filter(F.col("v") <= F.col("hi"))
-    below = met.filter(F.col("v") < F.col("lo")).groupBy("p").agg(F.count(F.lit(1)).alias("skipped"))
-    # only values inside a bracket are grouped; a value shared by many rows is one row from here on
-    inside = met.filter(F.col("v") >= F.col("lo")).groupBy("p", "pos", "v").agg(F.count(F.lit(1)).alias("c"))
-    inside = inside.join(below, "p", "left")
-    upto = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = inside.withColumn("last", F.coalesce("skipped", F.lit(0)) + upto - 1)
-    floor, ceiling = F.floor("pos"), F.ceil("pos")
-    ends = ranked.groupBy("p", "pos").agg(
-        F.min(F.when(F.col("last") >= floor, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("last") >= ceiling, F.col("v"))).alias("b"),
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    part = F.coalesce(F.floor(F.try_divide(v - lo, hi - lo) * RANGES), F.lit(0))
+    slot = F.when(v < lo, -1).when(v > hi, RANGES).otherwise(F.least(part, F.lit(RANGES - 1))).cast("int")
+    ranges = values.withColumn("t", F.explode(constant)).select("v", "t.*").groupBy("p", "pos", slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+    before = Window.partitionBy("p").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    rank, start = F.col("rank"), F.col("start")
+    holding = (
+        ranges.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
+        .filter((start <= rank) & (rank < start + F.col("c")))
     )
-    return ends.select("p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - floor)).alias("value"))
+    # outside the bracket the rank is the row next to it
+    outside = F.col("slot").isin(-1, RANGES)
+    holding = holding.select(
+        "p", "pos", "rank", F.when(outside, rank).otherwise(start).alias("start"),
+        F.when(F.col("slot") == -1, F.col("most")).otherwise(F.col("least")).alias("least"),
+        F.when(F.col("slot") == RANGES, F.col("least")).otherwise(F.col("most")).alias("most"))
+    wanted = holding.agg(F.collect_list(F.struct("p", "pos", "rank", "start", "least", "most"))).scalar()
+    # a value shared by many rows is one row from here on
+    inside = values.withColumn("t", F.explode(wanted)).select("v", "t.*").filter(
+        (v >= F.col("least")) & (v <= F.col("most"))).groupBy("p", "pos", "rank", "start", "v").agg(
+        F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("p", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = inside.withColumn("upto", upto).filter(start + F.col("upto") > rank).groupBy("p", "pos", "rank").agg(
+        F.min("v").alias("v"))
+    ends = hit.groupBy("p", "pos").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return ends.select("p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("value"))
 
 
 def node_error_percentiles(

@@ -61,7 +61,8 @@ def quality_report(df: DataFrame, expected_rows: int = 198, ranges: dict[str, tu
         F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("n")) for c in columns])
         .alias("nulls"),
         F.array(*[F.struct(F.lit(c).alias("column"),
-                           F.count_if((F.col(c) < ranges[c][0]) | (F.col(c) > ranges[c][1])).alias("n"))
+                           F.count_if((F.col(c) < ranges[c][0]) | (F.col(c) > ranges[c][1])).alias("n"),
+                           F.lit(f"[{ranges[c][0]}, {ranges[c][1]}]").alias("bounds"))
                   for c in present]).alias("ranges"),
         F.struct(*[F.round(F.nanvl(F.corr(a, b), F.lit(None).cast("double")), 4).alias(n)
                    for n, (a, b) in pairs.items()]).alias("correlations"),
@@ -73,6 +74,7 @@ def quality_report(df: DataFrame, expected_rows: int = 198, ranges: dict[str, tu
     counted = row.withColumn("duplicates", duplicates).withColumn("missing", missing)
     found = counted.withColumn("null_counts", F.filter("nulls", lambda x: x["n"] > 0)).withColumn(
         "range_violations", F.filter("ranges", lambda x: x["n"] > 0))
+    # The texts of the issues.
     issues = F.concat(
         F.array_compact(F.array(
             F.when(F.col("row_count") != expected_rows,
@@ -83,12 +85,14 @@ def quality_report(df: DataFrame, expected_rows: int = 198, ranges: dict[str, tu
         )),
         F.transform("null_counts", lambda x: F.format_string("Null values in %s: %d", x["column"], x["n"])),
         F.transform("range_violations", lambda x: F.format_string(
-            "%s has %d value(s) outside its range", x["column"], x["n"])),
+            "%s has %d value(s) outside %s", x["column"], x["n"], x["bounds"])),
     )
     return found.withColumn("issues", issues).select(
         F.when(F.size("issues") == 0, "pass").otherwise("fail").alias("status"),
-        "row_count", F.lit(len(columns)).alias("column_count"), "null_counts", "range_violations", "correlations",
-        "issues", "summary_stats",
+        "row_count", F.lit(len(columns)).alias("column_count"), "null_counts",
+        F.transform("range_violations", lambda x: F.struct(x["column"].alias("column"), x["n"].alias("n"))).alias(
+            "range_violations"),
+        "correlations", "issues", "summary_stats",
     )
 
 

@@ -47,11 +47,12 @@ def least_cloudy(scenes: DataFrame, group: list[str] | None = None) -> DataFrame
     return scenes.groupBy(*(group or [])).agg(best).filter(F.col("best").isNotNull()).select("best.*")
 
 
-FEATURE_COLLECTION_DDL = (
-    "features ARRAY<STRUCT<type: STRING, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>, "
+FEATURE_DDL = (
+    "STRUCT<type: STRING, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>, "
     "properties: STRUCT<ward_id: INT, ward_code: STRING, ward_name: STRING, centroid_lon: DOUBLE, "
-    "centroid_lat: DOUBLE>>>"
+    "centroid_lat: DOUBLE>>"
 )
+FEATURE_COLLECTION_DDL = f"features ARRAY<{FEATURE_DDL}>"
 
 
 def read_ward_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -65,5 +66,15 @@ def read_ward_geojson(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_ward_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Features of a document that ``sinks.files.export`` wrote line by line; any number of tasks reads it."""
+    feature = F.from_json(F.regexp_replace("value", "^,", ""), FEATURE_DDL)
+    return spark.read.text(path).select(feature.alias("f")).filter(F.col("f.type") == "Feature").select(
+        "f.properties.*",
+        F.col("f.geometry.type").alias("geometry_type"),
+        F.get(F.col("f.geometry.coordinates"), F.lit(0)).alias("ring"),
+    )
+
+
 def ward_coordinates(features: DataFrame) -> DataFrame:
     return features.select("ward_id", F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat"))
