@@ -167,6 +167,60 @@ def test_best_class_gain_is_the_change_of_the_likelihood():
         assert value(moved)[0] - before == pytest.approx(gain)
 
 
+def test_rare_words_get_the_class_of_the_highest_likelihood():
+    rng = np.random.default_rng(3)
+    n, classes = 30, 3
+    pairs = rng.integers(0, 4, (n, n)) * rng.integers(0, 2, (n, n)) * rng.integers(1, 30, (n, 1)).astype(float)
+    state = np.concatenate([np.arange(14) % classes, np.full(15, classes), [classes + 1]])  # fifteen rare words, one end
+
+    def table_of(now):
+        table = np.zeros((classes + 2, classes + 2))
+        np.add.at(table, (now[:, None], now[None, :]), pairs)
+        return table
+
+    h = class_lm._entropy
+    fixed = class_lm.FixedTable(table_of(state), classes)
+    for w in np.flatnonzero(state == classes):
+        values = []
+        for k in range(classes):
+            moved = state.copy()
+            moved[w] = k
+            table = table_of(moved)
+            values.append(h(table).sum() - h(table.sum(0)).sum() - h(table.sum(1)).sum())
+        other = np.arange(n) != w
+        out, into = (np.bincount(state[other], x[other], classes + 2) for x in (pairs[w], pairs[:, w]))
+        assert fixed.best(out[None], into[None], pairs[w, w][None])[0] == np.argmax(values)
+
+
+def test_words_below_the_lexicon_have_classes(spark):
+    rng = random.Random(4)
+    nouns, verbs = [f"n{k}" for k in range(4)], [f"v{k}" for k in range(4)]
+    rare = [(f"rn{k}", f"rv{k}") for k in range(150)]
+    texts = [" ".join(x for _ in range(6) for x in (rng.choice(nouns), rng.choice(verbs))) for _ in range(300)]
+    texts += [f"{noun} {rng.choice(verbs)} {rng.choice(nouns)} {verb}" for noun, verb in rare for _ in range(2)]
+    held = [f"{a} {d} {b} {c}" for (a, c), (b, d) in zip(rare, rare[1:])]
+    swapped = [" ".join(reversed(t.split())) for t in held]
+    rows = [(k, t, False) for k, t in enumerate(texts)] + [(1000 + k, t, True) for k, t in enumerate(held)] \
+        + [(2000 + k, t, True) for k, t in enumerate(swapped)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    found = {r.doc_id: r for r in class_lm.class_scores(docs, F.col("held"), lexicon=60, classes=4).collect()}
+    assert all(found[k].n_known == 5 for k in found if k >= 1000)
+    # only rare words, in pairs never seen: with one class for all of them both orders would score alike
+    assert all(found[1000 + k].score > found[2000 + k].score + 2 for k in range(len(held)))
+
+
+def test_class_scores_are_a_distribution():
+    rng = np.random.default_rng(5)
+    full = rng.integers(0, 9, (2, 5, 2, 5)).astype(float)
+    full[:, 3], full[:, :, :, 3] = 0, 0
+    full[1, 4], full[:, :, 1, 4] = 0, 0
+    n_class = full.sum(axis=(0, 1, 2))
+    for each, sizes in ((full, n_class), (np.zeros_like(full), np.zeros(5))):
+        step = 10 ** class_lm.transition_scores(each, sizes, 3)
+        words = np.where(np.arange(5) < 3, np.maximum(sizes, 1), 1)  # what all words of a class have together
+        assert (step * words).sum(axis=1) == pytest.approx(np.ones(5))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

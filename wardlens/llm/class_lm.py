@@ -14,15 +14,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
 
-# A word enters the exchange when it makes up at least one in so many training tokens, so there are at most so many.
+# A word takes part in the exchange's steps when it makes up at least one in so many training tokens, so there are at
+# most so many; every other training word is put in the best class of the exchange's outcome.
 LEXICON = 20_000
 CLASSES = 64
 SWEEPS, PARTS = 4, 4
 # Documents whose words share one table in a task. Places of documents inside a block fit into 13 bits.
 BLOCK_BITS = 13
 SLICE = 512
-# Added to every count of a rare word, and to one more word that stands for all unknown ones.
+# Count of the one word that stands for all unknown ones.
 DELTA = 0.5
+# Counts whose change of the likelihood is looked up, and words whose classes are compared at a time.
+SMALL, CHUNK = 32, 1024
 
 
 class _Blocks:
@@ -212,6 +215,86 @@ def exchange(
     return state, counts
 
 
+class FixedTable:
+    """Class transitions against which words of the class ``classes`` are put in one of the classes before it."""
+
+    def __init__(self, counts: np.ndarray, classes: int) -> None:
+        self.t, self.classes = counts.astype(np.float64), classes
+        step = np.arange(SMALL + 1)[:, None, None]
+        self.known = []  # change of the likelihood by (count, other class), class
+        for table in (self.t, self.t.T):
+            change = (_entropy(table + step) - _entropy(table))[:, :classes].transpose(0, 2, 1)
+            self.known.append(np.ascontiguousarray(change).reshape(-1, classes))
+
+    def best(self, out: np.ndarray, into: np.ndarray, self_n: np.ndarray) -> np.ndarray:
+        """The class of the highest likelihood for every word, as best_class has it for one.
+
+        ``out`` and ``into`` are (words x width) without the pairs ``self_n`` of a word with itself. Only cells that a
+        word's pairs touch are looked at.
+        """
+        t, classes, width = self.t, self.classes, len(self.t)
+        k = np.arange(classes)
+        cell, o, i, s = t[k, k], out[:, :classes], into[:, :classes], self_n[:, None]
+        gain = _entropy(cell + o + i + s) - _entropy(cell + o) - _entropy(cell + i) + _entropy(cell)
+        for side, other, table, known in ((out, into, t, self.known[0]), (into, out, t.T, self.known[1])):
+            cells = side.copy()
+            cells[:, classes] = 0
+            w, j = np.nonzero(cells)
+            n = cells[w, j].astype(np.int64)
+            changes = known[np.minimum(n, SMALL) * width + j]
+            large = np.flatnonzero(n > SMALL)
+            column = table[:classes, j[large]].T
+            changes[large] = _entropy(column + n[large, None]) - _entropy(column)
+            if len(w):
+                starts = np.flatnonzero(np.diff(w, prepend=-1))
+                gain[w[starts]] += np.add.reduceat(changes, starts)
+            left = table[:classes, classes] - other[:, :classes]  # the word's pairs with a class have left its old class
+            gain += _entropy(left + side[:, classes, None]) - _entropy(left)
+        for side, total in ((out, t.sum(axis=1)[k]), (into, t.sum(axis=0)[k])):
+            gain -= _entropy(total + side.sum(axis=1)[:, None] + s) - _entropy(total)
+        return gain.argmax(axis=1)
+
+
+def word_classes(contexts: DataFrame, counts: np.ndarray, classes: int) -> DataFrame:
+    """(word, n, class) of every word of ``contexts`` (word, before, after), each put in its best class of ``counts``.
+
+    ``before`` and ``after`` list the classes around a word's occurrences as bytes or pairs of bytes; len(counts) stands
+    for the word itself. Each word is judged from its own row against the fixed table, so the words stay distributed.
+    """
+    width = len(counts)
+    kind = np.min_scalar_type(2 * width)
+
+    def table_of(column: pa.ListArray) -> np.ndarray:
+        cells, offsets = column.flatten(), column.offsets.to_numpy()
+        ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+        lengths = np.diff(ends[offsets - offsets[0]]) // kind.itemsize
+        flat = np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).astype(np.int64)
+        owner = np.repeat(np.arange(len(column)), lengths)
+        return np.bincount(owner * (width + 1) + flat, minlength=len(column) * (width + 1)).reshape(-1, width + 1).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = FixedTable(counts, classes)
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                into, out = table_of(batch.column(1)), table_of(batch.column(2))
+                best = fixed.best(out[:, :width], into[:, :width], out[:, width])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(into.sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))],
+                    ["word", "n", "class"])
+
+    return contexts.groupBy("word").agg(
+        F.collect_list("before").alias("before"), F.collect_list("after").alias("after")).mapInArrow(
+        run, "word binary, n long, class int")
+
+
+def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``flat`` cut into one value of bytes per size."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * flat.itemsize)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
 def class_scores(
     docs: DataFrame, held_out: F.Column, lexicon: int = LEXICON, classes: int = CLASSES
 ) -> DataFrame:
@@ -219,14 +302,16 @@ def class_scores(
 
     Tokens are the words with A-Z lower-cased and one end per text. The model learns from rows that are not held out:
     P(token | before) = P(class | class before) * P(token | class). Class transitions are smoothed by the classes' own
-    frequencies. A lexicon word has its relative frequency in its class; all rarer words are one class, where counts are
-    raised by DELTA and one more word stands for all unknown ones. ``base_score`` is the add-one unigram score.
-
-    Every training word counts, however rare. Words below the lexicon's frequency meet their counts by a join: a
-    task lists, for a block of documents, each rare word once with the places it occurs in, and the joined words return
-    to their block and give one row of sums per document. Only the lexicon (at most ``lexicon`` words) and class tables go to every task. Null and empty
-    texts are the end alone. Rows with null ``held_out`` count as held out. Repeated rows are learned from and scored
-    each. Without training rows all words are unknown, and an empty table gives an empty result.
+    frequencies. Every training word has one of ``classes`` classes and its relative frequency there: words of the
+    lexicon by exchange, every rarer one, however rare, by the best class for its own pairs given the outcome of the
+    exchange. One word that stands for all unknown ones has a count of DELTA; what comes before and after it is learned
+    from the words seen once. ``base_score`` is the add-one unigram score.
+
+    A task lists, for a block of documents, each rare word once with its number in the block; the words' classes and
+    counts are joined to them and return to the block. Only the lexicon (at most ``lexicon`` words) and class tables go
+    to every task. Null and empty texts are the end alone. Rows with null ``held_out`` count as held out. Repeated rows
+    are learned from and scored each. Without training rows all words are unknown, and an empty table gives an empty
+    result.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -242,104 +327,183 @@ def class_scores(
     rare, end = len(words), len(words) + 1
     state, counts = exchange(stored(bigrams(training, words), "bigrams"), len(words), classes)
 
-    n_class = np.bincount(state[: rare], word_n, classes + 2)
-    n_rare, v_rare = n_words - word_n.sum(), v_words - len(words)
-    n_class[classes], n_class[classes + 1] = n_rare, n_ends
-    prior = (n_class + 1.0) / (n_class.sum() + len(n_class))
-    strength = float(classes)
-    step = np.log10((counts + strength * prior) / (counts.sum(axis=1, keepdims=True) + strength))
-    emission = np.zeros(end + 1)
-    emission[: rare] = np.log10(word_n / n_class[state[: rare]]) if rare else 0
-    base = np.zeros(end + 1)
-    base[: rare] = np.log10((word_n + 1) / (n_all + v_all + 1))
-    base[end] = np.log10((n_ends + 1) / (n_all + v_all + 1))
-    schema = "word binary, block long, places array<int>, key long, doc_id long, held_out boolean, n_tokens long, " \
-        "n_known long, base double, score double"
+    width, unknown, last = classes + 2, classes, classes + 1
+    kind = np.min_scalar_type(2 * width)  # words seen once have their class plus width
+    unit = n_all + v_all + 1
+    base, own = np.zeros(end + 1), np.zeros(end + 1)
+    base[: rare], own[: rare] = np.log10((word_n + 1) / unit), np.log10(word_n)
+    base[end] = np.log10((n_ends + 1) / unit)
+    schema = "word binary, block long, place int, before binary, after binary, doc_id long, held_out boolean, " \
+        "n_known long, base double, own double, line array<int>"
     names = [field.split()[0] for field in schema.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
-             pa.float64(), pa.float64()]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(),
+             pa.float64(), pa.float64(), pa.list_(pa.int32())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, table, parts in _Blocks(words).walk(batches, 1):
             block = (task << 20) + number
-            first, places, rare_codes = 0, [], []
+            found, befores, afters = [], [], []
             for batch, codes, lengths in parts:
                 size = len(lengths)
-                owner = np.repeat(np.arange(size), lengths)
-                is_rare = codes >= rare
-                rare_codes.append(codes[is_rare] - rare)
-                places.append((owner[is_rare] + first).astype(np.int32))
-                line = _with_ends(np.minimum(codes, rare), lengths, end)
-                owners = np.repeat(np.arange(size), lengths + 1)
-                now, kept = line[1:], state[line]
-                values = step[kept[:-1], kept[1:]] + emission[now]
-                known = np.bincount(owners, (now < rare) | ((now == end) & (n_ends > 0)), size)
-                columns = [
-                    pa.nulls(size, kinds[0]), pa.nulls(size, kinds[1]), pa.nulls(size, kinds[2]),
-                    pa.array((block << BLOCK_BITS) + first + np.arange(size)), batch.column(0), batch.column(2),
-                    pa.array(lengths + 1), pa.array(known.astype(np.int64)),
-                    pa.array(np.bincount(owners, base[now], size)), pa.array(np.bincount(owners, values, size))]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                first += size
-            codes, where = np.concatenate(rare_codes), np.concatenate(places)
+                short = np.minimum(codes, rare)
+                owners = np.repeat(np.arange(size), lengths)
+                # a lexicon word is its class, a rare one width plus its number in the block
+                line = np.where(codes < rare, state[short], codes - rare + width).astype(np.int32)
+                known = np.bincount(owners, codes < rare, size) + (n_ends > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(size, kinds[0]), pa.array(np.full(size, block)), *(pa.nulls(size, k) for k in kinds[2:5]),
+                     batch.column(0), batch.column(2), pa.array(known.astype(np.int64)),
+                     pa.array(np.bincount(owners, base[short], size) + base[end]),
+                     pa.array(np.bincount(owners, own[short], size)),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(line))],
+                    names)
+                whole = _with_ends(codes, lengths, -1)
+                at = np.flatnonzero((whole >= rare) & np.concatenate([[False], np.repeat(
+                    ~batch.column(2).to_numpy(zero_copy_only=False), lengths + 1)]))
+                around = np.where(whole < 0, last, state[np.clip(whole, 0, rare)])
+                found.append(whole[at] - rare)
+                for side, other in ((befores, at - 1), (afters, at + 1)):
+                    side.append(np.where(whole[other] == whole[at], width, around[other]).astype(kind))
+            codes, listed = np.concatenate(found), list(table)[rare:]
             order = np.argsort(codes, kind="stable")
-            sizes = np.bincount(codes, minlength=len(table) - rare)
-            listed = list(table)[rare:]
-            where, starts = where[order], np.concatenate([[0], np.cumsum(sizes)])
+            sizes = np.bincount(codes, minlength=len(listed))
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            before, after = np.concatenate(befores)[order], np.concatenate(afters)[order]
             for a in range(0, len(listed), 20_000):
                 b = min(a + 20_000, len(listed))
-                held = pa.ListArray.from_arrays(
-                    pa.array((starts[a : b + 1] - starts[a]).astype(np.int32)), pa.array(where[starts[a] : starts[b]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(listed[a:b], pa.binary()), pa.array(np.full(b - a, block)), held,
-                     *(pa.nulls(b - a, k) for k in kinds[3:])], names)
-
-    passed = stored(rows.mapInArrow(run, schema), "scored")
-    unit_base, unit_score = n_all + v_all + 1, n_rare + DELTA * (v_rare + 1)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sums = None, None
-
-        def flush() -> pa.RecordBatch:
-            hit = np.flatnonzero(sums[3])
-            return pa.RecordBatch.from_arrays(
-                [pa.array((current << BLOCK_BITS) + hit), pa.array(sums[0][hit].astype(np.int64)), pa.array(sums[1][hit]),
-                 pa.array(sums[2][hit])], ["key", "known", "base", "score"])
-
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            n = batch.column(2).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                    [pa.array(listed[a:b], pa.binary()), pa.array(np.full(b - a, block)),
+                     pa.array(np.arange(a, b, dtype=np.int32)),
+                     *(_binaries(x[starts[a] : starts[b]], sizes[a:b]) for x in (before, after)),
+                     *(pa.nulls(b - a, k) for k in kinds[5:])], names)
+
+    passed = stored(rows.mapInArrow(encode, schema), "encoded")
+    listed = passed.filter("word is not null")
+    # a block lists words of held-out rows too; those without training occurrences have no class
+    classed = stored(word_classes(
+        listed.filter(F.length("before") > 0).select("word", "before", "after"), counts, classes), "word_classes")
+    n_class = np.bincount(state[: rare], word_n, width)
+    for row in classed.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        n_class[row["class"]] += row["n"]
+    n_class[last] = n_ends
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, of, n = None, None, None
+        for whole in batches:
+            blocks = whole.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
                 if current != int(blocks[a]):
-                    if current is not None:
-                        yield flush()
-                    current, sums = int(blocks[a]), np.zeros((4, 1 << BLOCK_BITS))
-                places = values[offsets[a] : offsets[b]]
-                times = np.diff(offsets[a : b + 1])
-                for k, each in enumerate((
-                        n[a:b] > 0, np.log10((n[a:b] + 1) / unit_base), np.log10((n[a:b] + DELTA) / unit_score),
-                        np.ones(b - a))):
-                    sums[k] += np.bincount(places, np.repeat(each, times), 1 << BLOCK_BITS)
-        if current is not None:
-            yield flush()
-
-    postings = passed.filter("word is not null").select("word", "block", "places")
-    met = (
-        postings.join(vocabulary.select("word", "n"), "word", "left")
-        .select("block", "places", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
-        .repartition("block").sortWithinPartitions("block")
-    )
-    # a block is whole in one task, so each document has one row of sums however many partitions its words came from
-    sums = met.mapInArrow(spread, "key long, known long, base double, score double").select(
-        "key", F.col("known").alias("_k"), F.col("base").alias("_b"), F.col("score").alias("_s"))
-    return passed.filter("key is not null").drop("word", "block", "places").join(sums, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_k", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"))
+                    current, of, n = int(blocks[a]), np.full(0, unknown), np.zeros(0)
+                batch = whole.slice(a, b - a)
+                is_word = batch.column(4).to_numpy(zero_copy_only=False)
+                if is_word.any():
+                    place = batch.column(1).to_numpy(zero_copy_only=False)[is_word].astype(np.int64)
+                    grow = int(place.max()) + 1 - len(of)
+                    if grow > 0:
+                        of = np.concatenate([of, np.full(max(grow, len(of)), unknown)])
+                        n = np.concatenate([n, np.zeros(max(grow, len(n)))])
+                    times = batch.column(3).to_numpy(zero_copy_only=False)[is_word]
+                    kept = batch.column(2).to_numpy(zero_copy_only=False)[is_word].astype(np.int64)
+                    of[place], n[place] = kept + width * (times == 1), times
+                lines = batch.filter(pa.array(~is_word))
+                for start in range(0, lines.num_rows, SLICE):
+                    part = lines.slice(start, SLICE)
+                    column = part.column(10)
+                    lengths = np.diff(column.offsets.to_numpy())
+                    line = column.flatten().to_numpy().astype(np.int64)
+                    owners = np.repeat(np.arange(len(lengths)), lengths)
+                    at = np.flatnonzero(line >= width)
+                    place = line[at] - width
+                    fits = place < len(of)
+                    place = place[fits]
+                    times = np.zeros(len(at))
+                    line[at] = unknown
+                    line[at[fits]], times[fits] = of[place], n[place]
+                    sums = [np.bincount(owners[at], x, len(lengths)) for x in (
+                        times > 0, np.log10((times + 1) / unit), np.log10(np.maximum(times, 1)))]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(5), part.column(6), pa.array(lengths.astype(np.int64) + 1),
+                         pa.array(part.column(7).to_numpy() + sums[0].astype(np.int64)),
+                         pa.array(part.column(8).to_numpy() + sums[1]), pa.array(part.column(9).to_numpy() + sums[2]),
+                         _binaries(line.astype(kind), lengths)],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "line"])
+
+    none = [F.lit(None).cast(t).alias(c) for c, t in (
+        ("doc_id", "long"), ("held_out", "boolean"), ("n_known", "long"), ("base", "double"), ("own", "double"),
+        ("line", "array<int>"))]
+    met = listed.select("word", "block", "place").join(classed, "word").select(
+        "block", "place", "class", F.col("n").cast("double").alias("n"), F.lit(True).alias("is_word"), *none)
+    texts = passed.filter("word is null").select(
+        "block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("class"),
+        F.lit(None).cast("double").alias("n"), F.lit(False).alias("is_word"), "doc_id", "held_out", "n_known", "base",
+        "own", "line")
+    # a block is whole in one task, its words before its documents
+    settled = stored(
+        met.union(texts).repartition("block").sortWithinPartitions("block", F.col("is_word").desc())
+        .mapInArrow(settle, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, line binary"),
+        "settled")
+
+    def ended(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = column.to_pylist()
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) // kind.itemsize
+        return _with_ends(np.frombuffer(b"".join(texts), kind), lengths, last), lengths
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 * width * width, np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                line, _ = ended(whole.slice(start, SLICE).column(0))
+                total += np.bincount(line[:-1].astype(np.int64) * (2 * width) + line[1:], minlength=len(total))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["pair", "n"])
+
+    full = np.zeros(4 * width * width)
+    for row in settled.filter("not held_out").select("line").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(
+            F.sum("n").alias("n")).collect():
+        full[row["pair"]] = row["n"]
+    step = transition_scores(full.reshape(2, width, 2, width), n_class, unknown)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                line, lengths = ended(batch.column(6))
+                line %= width
+                sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths + 1), step[line[:-1], line[1:]], len(lengths))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:4], pa.array(np.full(len(lengths), n_all, np.int64)), batch.column(4),
+                     pa.array(batch.column(5).to_numpy() + sums)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return settled.mapInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def transition_scores(full: np.ndarray, n_class: np.ndarray, unknown: int) -> np.ndarray:
+    """log10 of P(class | class before) over the class's count, so that adding log10 of a word's count gives the score.
+
+    ``full`` holds the training pairs of (seen once, class, seen once, class). After each class the unknown word has a
+    probability of DELTA over all tokens, raised or lowered as words seen once are frequent there; what follows it is
+    what follows words seen once.
+    """
+    width = len(n_class)
+    counts, after, before = full.sum(axis=(0, 2)), full[1].sum(axis=(0, 1)), full[:, :, 1].sum(axis=(0, 2))
+    real = np.arange(width) != unknown
+    strength, n_all, n_once = float(width - 2), n_class.sum(), full[1].sum()
+    prior = np.where(real, n_class + 1.0, 0)
+    prior /= prior.sum()
+    rows = counts.sum(axis=1)
+    p = (counts + strength * prior) / (rows[:, None] + strength)
+    p[unknown] = (after + strength * prior) / (n_once + strength)
+    u = np.full(width, DELTA / (n_all + 1))
+    if n_once:
+        share = n_once / n_all
+        u *= np.where(real, (before + strength * share) / (rows + strength) / share, 1)
+    p *= (1 - u)[:, None]
+    p[:, unknown] = u
+    ends = np.arange(width) == width - 1  # the end is the one word of its class
+    return np.log10(p / np.where(real & ~ends, np.maximum(n_class, 1), 1))
