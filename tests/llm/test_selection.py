@@ -221,6 +221,16 @@ def test_class_scores_are_a_distribution():
         assert (step * words).sum(axis=1) == pytest.approx(np.ones(5))
 
 
+def test_pipeline_mixture_keeps_every_clean_document(spark):
+    import corpus_pipeline
+
+    rows = [(k, "word " * (1 + k % 90), "en" if k % 5 else "de", f"s{k % 3 if k % 4 else 0}") for k in range(300)]
+    rows += [(300, "long " * 5000, "en", "s0"), (301, "", "fr", "s1"), (302, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.source_mixture(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(303))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

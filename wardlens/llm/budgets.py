@@ -58,7 +58,8 @@ def leaf_budgets(
             given
             .withColumn("_left", F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
             .withColumn("_weights", F.sum("_w").over(ahead))
-            .withColumn("_full", F.col("_cap") * F.col("_weights") <= F.col("_left") * F.col("_w"))
+            .withColumn("_full", (F.sum("_cap").over(parent) <= F.col("_budget")) | (  # a whole parent is whole to the token
+                F.col("_cap") * F.col("_weights") <= F.col("_left") * F.col("_w")))
             .withColumn("_rank", F.row_number().over(order))
             .withColumn("_rate", F.min(F.when(~F.col("_full"), F.struct(
                 "_rank", (F.col("_left") / F.col("_weights")).alias("rate")))).over(parent))
