@@ -80,6 +80,23 @@ def test_wrappers_extract_articles(spark):
     assert wrappers.extract(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("names", ["page has-sidebar", "no-sidebar", "comments-open", "layout widget"])
+def test_containers_named_like_furniture_keep_their_article(spark, names):
+    page = """<body><div class="top">Site</div><div class="%s"><article><h1>Head</h1><p>Body %d</p></article>
+    <div class="comments"><article class="comment"><p>%s</p></article></div><div class="sidebar">side</div></div></body>"""
+    plain = """<body><p>Top</p><div class="%s"><div class="text"><p>The text of page %d is here.</p></div>
+    <div class="share">Share</div></div></body>"""
+    bare = """<body><div class="text"><p>The long text of page %d is here.</p></div><div class="related"><p>Other</p></div></body>"""
+    rows = [(k, f"http://a/{k}", page % (names, k, "nice " * k)) for k in range(6)]
+    rows += [(10 + k, f"http://b/{k}", plain % (names, k)) for k in range(6)]
+    rows += [(20 + k, f"http://c/{k}", bare % k) for k in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in wrappers.extract(frame).collect()}
+    assert [found[k] for k in range(6)] == [f"Head\nBody {k}" for k in range(6)]
+    assert [found[10 + k] for k in range(6)] == [f"The text of page {k} is here." for k in range(6)]
+    assert [found[20 + k] for k in range(6)] == [f"The long text of page {k} is here." for k in range(6)]
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     def wrapper(html):
         return wrappers.skeleton(wrappers.tree(html))

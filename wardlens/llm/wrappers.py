@@ -45,11 +45,14 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 def _label(tag: str, attributes: str) -> str:
-    """The tag with its first class or id words; "!" marks an element whose whole content is furniture."""
+    """The tag with its first class or id words; "!" marks an element whose whole content is furniture.
+
+    "?" marks one that only its class, id or role calls furniture: what it holds decides.
+    """
     if not attributes or attributes.isspace():
         return "!" + tag if tag in DROPPED else tag
     words: list[str] = []
-    drop = tag in DROPPED
+    drop, named = tag in DROPPED, False
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -59,8 +62,8 @@ def _label(tag: str, attributes: str) -> str:
         else:
             words += _WORD.findall(value)
     if tag not in ("html", "body", "main", "article"):
-        drop = drop or not FURNITURE.isdisjoint(words)
-    mark = "!" if drop else ""
+        named = not FURNITURE.isdisjoint(words)
+    mark = "!" if drop else "?" if named else ""
     return mark + ".".join([tag, *words[:2]])
 
 
@@ -132,9 +135,63 @@ def tree(html: str) -> list:
     if at < end:
         held.append(unescape(html[at:end]))
     flush()
+    _decide(root)
     return root[2]
 
 
+def _kept(node: list) -> tuple[int, bool]:
+    """(characters outside links, is there an article, main or content-named element) in the open part."""
+    chars, found = 0, False
+    for child in node[2]:
+        if child[0] == "#":
+            chars += len(child[1]) - child[2]
+        elif child[0][0] not in "!?":
+            n, inside = _kept(child)
+            tag, *words = child[0].split(".")
+            chars, found = chars + n, found or inside or n > 0 and (
+                tag in ("article", "main") or not MAIN.isdisjoint(words))
+    return chars, found
+
+
+def _questioned(node: list) -> Iterator[list]:
+    """The outermost elements below a node that wait for a decision."""
+    for child in node[2]:
+        if child[0][0] == "?":
+            yield child
+        elif child[0] != "#" and child[0][0] != "!":
+            yield from _questioned(child)
+
+
+def _inner(node: list) -> tuple[int, bool]:
+    """(characters outside links, is there an article or main) with all that waits for a decision."""
+    chars, tagged = 0, False
+    for child in node[2]:
+        if child[0] == "#":
+            chars += len(child[1]) - child[2]
+        elif child[0][0] != "!":
+            n, t = _inner(child)
+            chars, tagged = chars + n, tagged or t or n > 0 and child[0].split(".")[0] in ("article", "main")
+    return chars, tagged
+
+
+def _decide(root: list) -> None:
+    """Turn every "?" into furniture or not.
+
+    While the open part of a page has no article, main or content-named element, the element that holds an article or
+    main, or else more prose outside links than is open, loses its mark: the one with most prose first. Furniture inside
+    it is judged anew, so a layout container opens and the comments beside the article stay closed.
+    """
+    while waiting := list(_questioned(root)):
+        chars, found = _kept(root)
+        fit = [(tagged, n, x) for x in waiting for n, tagged in [_inner(x)] if tagged or n > chars]
+        if found or not fit:
+            break
+        best = max(fit, key=lambda x: x[:2])[2]
+        best[0] = best[0][1:]
+    for node in waiting:
+        node[0] = "!" + node[0][1:]
+
+
 def skeleton(nodes: list) -> list:
     """A page's stream as a regular expression: items [label, optional, repeated, children], "#" for a text slot."""
     return fold([
