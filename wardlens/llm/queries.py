@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import (
-    budgets, circulant, class_lm, quantised, risk_rules, token_files, trie_counts, vector_fit, warc, wrappers,
+    budgets, circulant, class_lm, quantised, redirects, risk_rules, token_files, trie_counts, vector_fit, warc, wrappers,
 )
 
 # Word-level ids end a document with 2, byte-level ids with 0.
@@ -23,6 +23,11 @@ MIX_WEIGHTS = {
 }
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 9
 
+# Rules on urls (host, path, verdict).
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -99,10 +104,63 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+def op13_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found, name = redirects.judged(pages.select("page_id", "url"), redirects.page_links(pages), rules)
+    return found.select("page_id", f"{name}.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_vectors, op3_wrappers, op4_unigram_counts, op5_token_files, op6_circulant, op7_risk_rules,
-        op8_vector_fit, op9_budgets, op10_class_lm)
+        op8_vector_fit, op9_budgets, op10_class_lm, op13_redirects)
 }
 
-ORACLES: dict[str, str] = {}
+# Absolute links only, which is what the tables may hold; page_links itself is tested against a brute-force reading.
+OP13_SQL = r"""
+with recursive rules(rh, rp, verdict) as (
+    values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+tags as (
+    select url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
+        '(?i)<(?:link|meta)\s[^>]*>')) as tag
+    from pages where url is not null),
+links as (
+    select url, case
+        when regexp_matches(tag, '(?i)^<link\s.*\brel\s*=\s*["'']?canonical\b')
+        then regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?(https?://[^"''\s>]+)', 1)
+        when regexp_matches(tag, '(?i)^<meta\s.*\bhttp-equiv\s*=\s*["'']?refresh\b')
+        then regexp_extract(tag, '(?i)\burl\s*=\s*["'']?(https?://[^"''\s>]+)', 1) end as target
+    from tags),
+named as (
+    select distinct url,
+        case when strpos(url, '://') > 0 then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+        case when strpos(url, '://') > 0 then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)
+            else '' end as path,
+        case when strpos(url, '://') > 0 then
+            regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*(\?[^#]*)', 1) end as query
+    from (select url from pages union all select target from links where target <> '')),
+placed as (
+    select *, case when query is not null then
+        lower(split_part(url, '://', 1)) || '://' || regexp_replace(host, case when lower(url) like 'https:%' then ':443$' else ':80$' end, '')
+        || case when path = '' then '/' else path end || query end as node
+    from named),
+fits as (
+    select url, max_by(rh || rp, length(rh || rp)) as rule, max_by(verdict, length(rh || rp)) as verdict
+    from placed join rules on ('.' || host) like ('%.' || rh) and starts_with(path, rp) group by url),
+edges as (
+    select distinct a.node as u, b.node as v from links join placed a on links.url = a.url join placed b on links.target = b.url
+    where a.node <> b.node),
+both_ways as (select u, v from edges union select v, u from edges),
+reach(start, node) as (
+    select u, u from both_ways union select start, v from reach join both_ways on reach.node = both_ways.u),
+aliases as (
+    select start, min(verdict) as verdict from reach join placed on placed.node = reach.node join fits on fits.url = placed.url
+    group by start)
+select page_id, host, path, rule, coalesce(fits.verdict, aliases.verdict, 'allow') as verdict
+from pages left join placed on pages.url is not distinct from placed.url left join fits on placed.url = fits.url
+    left join aliases on aliases.start = placed.node
+"""
+
+ORACLES: dict[str, str] = {"op13_redirects": OP13_SQL}
