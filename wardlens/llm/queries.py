@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import (
-    budgets, circulant, class_lm, quantised, redirects, risk_rules, token_files, trie_counts, vector_fit, warc, wrappers,
+    budgets, circulant, class_lm, dialogue, quantised, redirects, risk_rules, token_files, trie_counts,
+    vector_fit, warc, wrappers,
 )
 
 # Word-level ids end a document with 2, byte-level ids with 0.
@@ -104,6 +105,29 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a hash of conversation and turn."""
+    space = F.lit(" ")
+    code = F.crc32(F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)
+    ).cast("binary")) % 20
+    text = F.coalesce(F.col("text"), space)
+    return turns.withColumn("_code", code).filter("_code <> 0").select(
+        "conv_id", "turn", F.when(F.col("_code") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(F.col("_code") == 1, "").when(F.col("_code") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("_code") == 3, 2).otherwise(1))).alias("copy"))
+
+
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = dialogue.summaries(dialogue.repaired_turns(damaged(turns)))
+    every = turns.select("conv_id").distinct().withColumn("c", dialogue.key_of(F.col("conv_id")))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "c", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -114,7 +138,8 @@ def op13_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_vectors, op3_wrappers, op4_unigram_counts, op5_token_files, op6_circulant, op7_risk_rules,
-        op8_vector_fit, op9_budgets, op10_class_lm, op13_redirects)
+        op8_vector_fit, op9_budgets, op10_class_lm, op11_dialogue,
+        op13_redirects)
 }
 
 # Absolute links only, which is what the tables may hold; page_links itself is tested against a brute-force reading.
