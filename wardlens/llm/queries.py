@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import (
-    budgets, circulant, class_lm, dialogue, quantised, redirects, risk_rules, token_files, trie_counts,
+    budgets, circulant, class_lm, collocations, dialogue, quantised, redirects, risk_rules, token_files, trie_counts,
     vector_fit, warc, wrappers,
 )
 
@@ -128,6 +128,10 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -139,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_vectors, op3_wrappers, op4_unigram_counts, op5_token_files, op6_circulant, op7_risk_rules,
         op8_vector_fit, op9_budgets, op10_class_lm, op11_dialogue,
-        op13_redirects)
+        op12_collocations, op13_redirects)
 }
 
 # Absolute links only, which is what the tables may hold; page_links itself is tested against a brute-force reading.
