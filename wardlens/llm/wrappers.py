@@ -33,6 +33,10 @@ FURNITURE = frozenset(
     "social comment comments commentlist respond reply replies discussion disqus footer contentinfo masthead topbar "
     "toolbar pagination pager search searchbox form dialog".split())
 MAIN = frozenset("content article post entry story main".split())
+# Words that mark an article element as a reader's words.
+COMMENT = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+# Elements nested deeper than this count as children of the element at this depth, as browsers have it.
+DEPTH = 120
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -61,23 +65,59 @@ def _label(tag: str, attributes: str) -> str:
             drop = drop or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         else:
             words += _WORD.findall(value)
-    if tag not in ("html", "body", "main", "article"):
+    if tag == "article":
+        named = not COMMENT.isdisjoint(words) and MAIN.isdisjoint(words)
+    elif tag not in ("html", "body", "main"):
         named = not FURNITURE.isdisjoint(words)
     mark = "!" if drop else "?" if named else ""
     return mark + ".".join([tag, *words[:2]])
 
 
+class _Below:
+    """The open elements below ``DEPTH``, of which only their tags and whether they are furniture matter."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.closed: list[bool] = []
+        self.count: dict[str, int] = {}
+
+    def open(self, tag: str, furniture: bool) -> None:
+        self.tags.append(tag)
+        self.closed.append(furniture or bool(self.closed) and self.closed[-1])
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def leave(self, tag: str) -> bool:
+        """Close the innermost element of that tag, if one is open here."""
+        if not self.count.get(tag):
+            return False
+        while True:
+            last = self.tags.pop()
+            self.closed.pop()
+            self.count[last] -= 1
+            if last == tag:
+                return True
+
+    def clear(self) -> None:
+        self.tags, self.closed, self.count = [], [], {}
+
+    @property
+    def furniture(self) -> bool:
+        return bool(self.closed) and self.closed[-1]
+
+
 def tree(html: str) -> list:
     """The page as nested [label, text, children]; texts of a block come decoded, one entry ["#", text, links] each.
 
-    Inline tags leave no trace, a line break is white space. Comments, declarations, scripts and styles hold no text.
-    End tags without a start are ignored, and what stays open ends with the page.
+    Inline tags leave no trace, a line break is white space; what an inline element holds that is hidden or that its
+    class, id or role calls furniture is left out. Comments, declarations, scripts and styles hold no text. End tags
+    without a start are ignored, and what stays open ends with the page.
     """
     root: list = ["", None, []]
-    stack, names = [root], [""]
+    stack, names, below = [root], [""], _Below()
     held: list[str] = []
     linked = 0
     anchor = False
+    hidden: tuple[str, int, int] | None = None  # an inline element left out: tag, how many are open, depth around it
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -89,26 +129,42 @@ def tree(html: str) -> list:
         linked = 0
 
     def leave(depth: int) -> None:
+        nonlocal hidden
         del stack[depth:], names[depth:]
+        below.clear()
+        if hidden and depth <= hidden[2]:
+            hidden = None
+
+    def add(text: str) -> None:
+        nonlocal linked
+        if hidden or below.furniture:
+            return
+        text = unescape(text)
+        held.append(text)
+        if anchor:
+            linked += len(text.strip())
 
     for match in _TOKEN.finditer(html):
         if match.start() < at:
             continue
         if match.start() > at:
-            text = unescape(html[at : match.start()])
-            held.append(text)
-            if anchor:
-                linked += len(text.strip())
+            add(html[at : match.start()])
         at = match.end()
         closing, tag, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
         if not tag:
             continue
         tag = tag.lower()
+        block = tag in BLOCKS or tag in DROPPED
         if closing:
+            if hidden and tag == hidden[0]:
+                hidden = (tag, hidden[1] - 1, hidden[2]) if hidden[1] > 1 else None
             if tag == "a":
                 anchor = False
-            elif tag in BLOCKS or tag in DROPPED:
-                if tag in names:
+            elif block:
+                if below.count.get(tag):
+                    flush()
+                    below.leave(tag)
+                elif tag in names:
                     flush()
                     leave(len(names) - 1 - names[::-1].index(tag))
             continue
@@ -118,22 +174,41 @@ def tree(html: str) -> list:
             continue
         if tag == "br":
             held.append(" ")
-        elif tag == "a":
-            anchor = True
-        elif tag in BLOCKS or tag in DROPPED and tag not in VOID:
+        elif tag not in VOID and block:
             flush()
-            if "p" in names and tag in BLOCKS and names[-1] == "p":
-                leave(len(names) - 1)
-            ends = _ENDS.get(tag)
-            while ends and names[-1] in ends:
-                leave(len(names) - 1)
-            if tag not in VOID:
-                node = [_label(tag, attributes), None, []]
+            if below.tags:
+                # as above: a paragraph ends where a block starts, an item where its sibling does
+                while below.tags and (below.tags[-1] == "p" and tag in BLOCKS or below.tags[-1] in _ENDS.get(tag, ())):
+                    below.leave(below.tags[-1])
+            if not below.tags:
+                if names[-1] == "p" and tag in BLOCKS:
+                    leave(len(names) - 1)
+                ends = _ENDS.get(tag)
+                while ends and names[-1] in ends:
+                    leave(len(names) - 1)
+            label = _label(tag, attributes)
+            if below.tags or len(stack) > DEPTH:
+                below.open(tag, label[0] in "!?")
+            else:
+                node = [label, None, []]
                 stack[-1][2].append(node)
                 stack.append(node)
                 names.append(tag)
+        elif tag in VOID:
+            if block:
+                flush()
+                if names[-1] == "p" and not below.tags:
+                    leave(len(names) - 1)
+        else:
+            if tag == "a":
+                anchor = True
+            if hidden:
+                if tag == hidden[0]:
+                    hidden = (tag, hidden[1] + 1, hidden[2])
+            elif not attributes.endswith("/") and attributes and _label(tag, attributes)[0] in "!?":
+                hidden = (tag, 1, len(stack) - 1)
     if at < end:
-        held.append(unescape(html[at:end]))
+        add(html[at:end])
     flush()
     _decide(root)
     return root[2]
@@ -250,27 +325,44 @@ def _grouped(items: list, other: list) -> list:
     return items
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, in order.
+
+    One row of the usual table is one number whose bits are the columns where the length does not grow, so thousands of
+    siblings are a few thousand additions.
+    """
+    where: dict[str, int] = {}
+    for j, label in enumerate(b):
+        where[label] = where.get(label, 0) | 1 << j
+    row = whole = (1 << len(b)) - 1
+    rows = []
+    for label in a:
+        met = row & where.get(label, 0)
+        row = (row + met | row - met) & whole
+        rows.append(row)
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
 def align(a: list, b: list) -> list:
     """One expression that covers both: common items in order, merged; an item that only one has becomes optional."""
     if a == b:
         return a
     a, b = _grouped(a, b), _grouped(b, a)
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and _same(a[i], b[j]):
-            out.append(_merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
+    for x, y in [*common([item[0] for item in a], [item[0] for item in b]), (len(a), len(b))]:
+        out += [[item[0], True, *item[2:]] for item in [*a[i:x], *b[j:y]]]
+        if x < len(a):
+            out.append(_merged(a[x], b[y]))
+        i, j = x + 1, y + 1
     return fold(out)
 
 
@@ -302,21 +394,37 @@ def _paths(items: list, above: str = "") -> Iterator[str]:
 def main_paths(wrapper: list, prose: dict[str, int]) -> list[str]:
     """The outermost paths of the wrapper that hold the main text.
 
-    Articles and main elements come first (the innermost of the two kinds), then elements whose class or id names
-    content. Without either it is the deepest element that holds two thirds of the host's prose outside links.
+    Article elements are asked first, then main elements, then elements whose class or id names content: the first kind
+    that holds at least half as much prose outside links as any of the others, so neither a teaser nor a comment stands
+    for the text around it. Without any it is the deepest element that holds two thirds of the host's prose.
     """
     paths = sorted(set(_paths(wrapper)), key=lambda p: (p.count("/"), p))
     last = {p: p.rsplit("/", 1)[1].split(".") for p in paths}
+    mass = dict.fromkeys(paths, 0)
+    for q, n in prose.items():
+        at = q.find("/", 1)
+        while at > 0:
+            if q[:at] in mass:
+                mass[q[:at]] += n
+            at = q.find("/", at + 1)
+        if q in mass:
+            mass[q] += n
 
     def outermost(found: list[str]) -> list[str]:
-        return [p for p in found if not any(p != q and p.startswith(q + "/") for q in found)]
-
-    for wanted in (lambda w: w[0] == "article", lambda w: w[0] == "main", lambda w: not MAIN.isdisjoint(w[1:])):
-        found = outermost([p for p in paths if wanted(last[p]) and any(
-            prose.get(q, 0) for q in paths if q == p or q.startswith(p + "/"))])
-        if found:
+        out: set[str] = set()
+        for p in found:  # shorter ones come first
+            steps = p.split("/")
+            if not any("/".join(steps[:k]) in out for k in range(2, len(steps))):
+                out.add(p)
+        return sorted(out, key=lambda p: (p.count("/"), p))
+
+    kinds = [
+        outermost([p for p in paths if mass[p] and wanted(last[p])])
+        for wanted in (lambda w: w[0] == "article", lambda w: w[0] == "main", lambda w: not MAIN.isdisjoint(w[1:]))]
+    held = [sum(mass[p] for p in found) for found in kinds]
+    for found, n in zip(kinds, held):
+        if found and 2 * n >= max(held):
             return found
-    mass = {p: sum(n for q, n in prose.items() if q == p or q.startswith(p + "/")) for p in paths}
     total = sum(prose.values())
     heavy = [p for p in paths if 3 * mass[p] >= 2 * total and total]
     return heavy[-1:]
