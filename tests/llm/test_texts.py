@@ -11,6 +11,7 @@ from hashlib import sha1
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 from wardlens.llm import queries, token_files, trie_counts, vector_fit, warc, wrappers, zip_archive
 from wardlens.llm.tokens import encoder
 from wardlens.session import scratch_path
@@ -130,12 +131,24 @@ def test_trie_counts_agree_with_the_library(spark):
 
 @pytest.mark.parametrize("path, spaced", [(WORDS, False), (BYTES, True)])
 def test_pieces_encode_like_whole_texts(path, spaced):
-    codec = encoder(path, spaced)
-    for text in TEXTS:
-        ids = codec.whole.encode(text or "", add_special_tokens=False).ids
+    codec, fresh = encoder(path, spaced), Tokenizer.from_file(path)
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b\n c", "<|EndOfText|> <|endoftext", "x " * 500 + "<|endoftext|>"]
+    for text in TEXTS + special:
+        ids = fresh.encode(text or "", add_special_tokens=False).ids
         assert codec.encode(text) == np.asarray(ids, "<u4").tobytes(), text
 
 
+def test_files_are_ordered_by_number(spark, tmp_path):
+    for number, ids in ((99_999, [1, 2]), (100_000, [3]), (100_001, [4, 5, 6])):
+        source = str(tmp_path / f"one-{number}")
+        spark.createDataFrame([(number, len(ids), ids)], token_files.SCHEMA).coalesce(1).write.parquet(source)
+        (tmp_path / "all").mkdir(exist_ok=True)
+        (only,) = (tmp_path / f"one-{number}").glob("part-*.parquet")
+        only.rename(tmp_path / "all" / f"part-{number}-x.parquet")
+    found = token_files.token_ranges(token_files.read_tokens(spark, str(tmp_path / "all"))).collect()
+    assert {r.doc_id: r.start for r in found} == {99_999: 0, 100_000: 2, 100_001: 3}
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_files_round_trip(spark, encoding):
     rows = [(7 * k % 15, t, "x") for k, t in enumerate(TEXTS)] + [(3, "again", "x")]

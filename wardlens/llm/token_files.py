@@ -87,8 +87,9 @@ def token_ranges(stored: DataFrame) -> DataFrame:
 
     named = stored.select(F.col("_metadata.file_name").alias("file"), "doc_id", "n_tokens", "tokens")
     totals = named.groupBy("file").agg(F.sum("n_tokens").alias("_total"))
-    # part files are numbered in the order of their ranges
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # part files are numbered in the order of their ranges, with more than five digits where there are so many
+    number = F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     digests = named.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(

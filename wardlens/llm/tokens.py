@@ -66,8 +66,9 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
     ``spaced`` tells whether white space is part of the tokens (then it stays with the piece after it) or is dropped.
-    Strings of special tokens in a text are ordinary text. The tokenizer's own model is asked directly for pre-tokens
-    of plain pieces, which spares its bookkeeping of offsets; all other pieces go through its whole chain.
+    Ids are those of the tokenizer as its file describes it: a text that holds the string of an added token goes through
+    it whole. In other texts the tokenizer's own model is asked directly for pre-tokens of plain pieces, which spares its
+    bookkeeping of offsets; all other pieces go through its whole chain.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -75,7 +76,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(token.content) for token in self.whole.get_added_tokens_decoder().values() if token.content]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
         self.whole.no_padding()
         self.whole.no_truncation()
         self.tokenize = self.whole.model.tokenize
@@ -121,7 +123,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if _OTHER_SPACE.search(text) or self.added(text):
             return self._chain(text)
         if not self.spaced or _UNEVEN.search(text):
             return b"".join(map(self.memo.__getitem__, self.split(text)))
