@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .store import stored
-from .words import hashes_of, mix
+from .words import mix
 
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words of a candidate
@@ -21,7 +22,7 @@ SCALE = 2_000_000
 # A table of bits has 16 bits a phrase, between these powers of two: 8 kB to 32 MB whatever the corpus holds.
 _LEAST_BITS, _MOST_BITS = 16, 28
 _PAGE = 1 << 13
-_BLOCK = 8 << 20  # bytes of text that are counted together; a longer text is cut between pieces
+_BLOCK = 16 << 20  # bytes of text that are counted together; a longer text is cut between pieces
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes.maketrans(b"\t" + _BREAKS, b" " + b"\n" * len(_BREAKS))
@@ -74,48 +75,62 @@ def _has(table: bytes, hashed: np.ndarray) -> np.ndarray:
     return (np.frombuffer(table, np.uint8)[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _grams(lang: str, data: bytes, n: int, every: tuple[int, bytes] | None, some: tuple[int, bytes] | None) -> tuple[list[bytes], np.ndarray]:
+def _grams(
+    lang: str, data: bytes, n: int, every: tuple[int, bytes] | None, some: tuple[int, bytes] | None
+) -> tuple[pa.Array, np.ndarray]:
     """Distinct phrases of n words inside pieces with their counts.
 
-    All windows of ``every[0]`` words of a phrase must be in its table and one of ``some[0]`` words in its.
+    All windows of ``every[0]`` words of a phrase must be in its table and one of ``some[0]`` words in its. Words are
+    numbered in the block, and so are the phrases of each length, one word after the other.
     """
-    tokens = data.replace(b"\n", b" \n ").split(b" ")
-    words = [b"", b"\n", *(set(tokens) - {b"", b"\n"})]
-    number = {w: k for k, w in enumerate(words)}
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    ids = ids[ids > 0]
+    tokens = pc.split_pattern(pa.array([data.replace(b"\n", b" \n ")], pa.large_binary()), " ").values.dictionary_encode()
+    words, ids = tokens.dictionary, tokens.indices.to_numpy()
     del tokens
+    kind = np.full(len(words), 2, np.int8)
+    for mark, w in enumerate((b"", b"\n")):
+        place = pc.index(words, pa.scalar(w, pa.large_binary())).as_py()
+        if place >= 0:
+            kind[place] = mark
     if n == 1:
-        counts = np.bincount(ids, minlength=len(words))[2:]
-        return words[2:], counts
+        counts = np.bincount(ids, minlength=len(words))
+        return words.filter(pa.array(kind == 2)), counts[kind == 2]
+    ids = ids[kind[ids] > 0].astype(np.int64)
     if len(ids) < n:
-        return [], np.empty(0, np.int64)
-    hashed = hashes_of(words)[ids]
+        return words.slice(0, 0), np.empty(0, np.int64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))[ids]
+    inside = kind[ids] == 2
     starts = len(ids) - n + 1
     valid = np.ones(starts, bool)
     for j in range(n):
-        valid &= ids[j : starts + j] > 1
+        valid &= inside[j : starts + j]
     if every:
         k, table = every
-        inside = _has(table, _hashes(hashed, k, lang))
+        known = _has(table, _hashes(hashed, k, lang))
         for j in range(n - k + 1):
-            valid &= inside[j : starts + j]
+            valid &= known[j : starts + j]
     if some:
         k, table = some
-        inside = _has(table, _hashes(hashed, k, lang))
+        known = _has(table, _hashes(hashed, k, lang))
         touched = np.zeros(starts, bool)
         for j in range(n - k + 1):
-            touched |= inside[j : starts + j]
+            touched |= known[j : starts + j]
         valid &= touched
     at = np.flatnonzero(valid)
-    key = ids[at]
+    del hashed, inside, valid
+    key, shorter = ids[at], []
     for j in range(1, n):
         key = key * len(words) + ids[at + j]
         if j < n - 1:
-            key = np.unique(key, return_inverse=True)[1]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    rows = ids[at[first][:, None] + np.arange(n)]
-    return [b" ".join([words[k] for k in row]) for row in rows.tolist()], counts
+            known, key = np.unique(key, return_inverse=True)
+            shorter.append(known)
+    key, counts = np.unique(key, return_counts=True)
+    columns = []
+    for known in [None, *reversed(shorter)]:
+        key = key if known is None else known[key]
+        columns.append(words.take(pa.array(key % len(words))))
+        key = key // len(words)
+    columns.append(words.take(pa.array(key)))
+    return pc.binary_join_element_wise(*reversed(columns), pa.scalar(b" ", pa.large_binary())), counts
 
 
 def phrase_counts(docs: DataFrame, n: int, every: tuple[int, Broadcast] | None = None, some: tuple[int, Broadcast] | None = None) -> DataFrame:
@@ -129,11 +144,12 @@ def phrase_counts(docs: DataFrame, n: int, every: tuple[int, Broadcast] | None =
         tables = [t and (t[0], t[1].value) for t in (every, some)]
         for lang, data in _blocks(batches):
             phrases, counts = _grams(lang, data, n, *tables)
+            phrases = phrases.cast(pa.binary()).cast(pa.string())
             for start in range(0, len(phrases), 100_000):
-                part = phrases[start : start + 100_000]
+                part = phrases.slice(start, 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
-                     pa.array(counts[start : start + 100_000], pa.int64())], ["lang", "phrase", "f"])
+                    [pa.array([lang] * len(part), pa.string()), part, pa.array(counts[start : start + 100_000], pa.int64())],
+                    ["lang", "phrase", "f"])
 
     return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -151,7 +167,8 @@ def bit_table(spark: SparkSession, phrases: DataFrame) -> Broadcast:
             found: dict[int, bytearray] = {}
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = phrase.encode().split(b" ")
-                place = int(_hashes(hashes_of(words), len(words), lang)[0]) & ((1 << bits) - 1)
+                hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+                place = int(_hashes(hashed, len(words), lang)[0]) & ((1 << bits) - 1)
                 page = found.setdefault(place // _PAGE, bytearray(_PAGE // 8))
                 page[place % _PAGE >> 3] |= 1 << (place & 7)
             yield pa.RecordBatch.from_arrays(
