@@ -22,7 +22,7 @@ SCALE = 2_000_000
 # A table of bits has 16 bits a phrase, between these powers of two: 8 kB to 32 MB whatever the corpus holds.
 _LEAST_BITS, _MOST_BITS = 16, 28
 _PAGE = 1 << 13
-_BLOCK = 16 << 20  # bytes of text that are counted together; a longer text is cut between pieces
+_BLOCK = 5 << 20  # bytes of text that are counted together; a longer text is cut between pieces
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes.maketrans(b"\t" + _BREAKS, b" " + b"\n" * len(_BREAKS))
