@@ -7,9 +7,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from wardlens.llm import budgets, class_lm, risk_rules
+from tokenizers import Tokenizer
+from wardlens.llm import budgets, circulant, class_lm, risk_rules
+from wardlens.llm.words import shingle_set, words_of
 
 
 def plain_measures(text):
@@ -224,11 +227,85 @@ def test_class_scores_are_a_distribution():
 def test_pipeline_mixture_keeps_every_clean_document(spark):
     import corpus_pipeline
 
-    rows = [(k, "word " * (1 + k % 90), "en" if k % 5 else "de", f"s{k % 3 if k % 4 else 0}") for k in range(300)]
-    rows += [(300, "long " * 5000, "en", "s0"), (301, "", "fr", "s1"), (302, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = [(k, "word " * (1 + k % 90), "en" if k % 5 else "de", f"s{k % 3 if k % 4 else 0}", "x", 7) for k in range(300)]
+    rows += [(300, "long " * 5000, "en", "s0", "x", 7), (301, "", "fr", "s1", "x", 7), (302, None, None, None, "x", 7)]
+    rows += [(5, "another text", "en", "s9", "y", 8), (None, "no id", "es", "s2", "y", 8), (None, "no id either", "es", "s2", "y", 8)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, domain string, n_tokens int").repartition(4)
     kept = corpus_pipeline.source_mixture(spark, docs, "")
-    assert sorted(r.doc_id for r in kept.collect()) == list(range(303))
+    assert kept.columns == docs.columns
+    seen = Counter(tuple(r) for r in kept.collect())
+    assert set(seen) == set(rows) and max(seen.values()) <= corpus_pipeline.EPOCHS and max(seen.values()) > 1
+
+
+def test_mixture_moves_towards_its_weights(spark):
+    rows = [(k, "a", "x" if k % 10 else "y", 10) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, side string, size long")
+    found = budgets.mixed(docs, ["side"], F.col("size"), {("x",): 1.0, ("y",): 1.0}, 1.0, 3, 5, at_least_once=True)
+    copies = {r.side: r.n for r in found.groupBy("side").agg(F.sum("n_copies").alias("n")).collect()}
+    assert copies == {"x": 900, "y": 300}  # a tenth catches up as far as three epochs reach
+    assert found.count() == 1000
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(9, text, "a"), (2, text, "b"), (None, text, "c"), (2, "other words that share an id with a copy", "d"),
+            (None, "a text without an id that nothing is like", "e"), (None, "another text of nobody that stays as well", "f"),
+            (4, None, "g"), (4, "", "h"), (None, " ", "i"), (7, text + " ten", "j"), (2, text, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string").repartition(3)
+    kept = sorted(r._kept for r in circulant.one_of_each_group(docs).collect())
+    assert kept in (sorted("bdefghi"), sorted("kdefghi"))  # b and k are the same row but for their mark
+    assert circulant.one_of_each_group(docs.limit(0)).collect() == []
+
+
+def plain_pipeline(rows):
+    """Doc ids each stage must keep, by a plain reading: the base rule, then components of equal five-word sets."""
+    good = []
+    for doc_id, text in rows:
+        n, *_, repeats = plain_measures(text)
+        if n >= 50 and 100 * repeats <= 50 * n:
+            good.append((doc_id, text))
+    sets = [shingle_set(words_of(t), 5) for _, t in good]
+    group = list(range(len(good)))
+    for i in range(len(good)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (doc_id, _), g in zip(good, group):
+        least[g] = min(least.get(g, (True, 0)), (doc_id is None, doc_id or 0))
+    return good, least
+
+
+def test_pipeline_matches_a_plain_reading(spark, tmp_path):
+    """Null and shared ids, clashing names, copies: rows are followed through every stage by their text."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 90))) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:10]] + texts[:5] + ["same " * 80, "", None]
+    rows = [(k % 30 if k % 7 else None, t) for k, t in enumerate(texts)]
+    full = [(i, t, "en" if k % 3 else "de", f"s{k % 5}", 1, "m") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_tokens int, measures string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good, least = plain_pipeline(rows)
+    stage = dict(corpus_pipeline.STAGES)
+    one = stage["quality_rules"](spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or -1, r.text) for r in one.collect()) == sorted((i or -1, t) for i, t in good)
+    two = stage["minhash_dedup"](spark, one, str(tmp_path)).collect()
+    assert len(two) == len(least)
+    assert Counter(r.doc_id for r in two) == Counter(None if none else i for none, i in least.values())
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    codec = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {tuple(codec.encode(r.text, add_special_tokens=False).ids + [0]) for r in two}
+    found = {tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in packed}
+    assert found == expected and all(r.length == len(r.ids) // 4 for r in packed)
+    used = Counter()
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
 
 
 def test_pipeline_stages(spark):

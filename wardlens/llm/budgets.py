@@ -79,7 +79,7 @@ def order_key(doc_id: str, seed: int, epoch: str) -> Column:
 
 def mixed(
     docs: DataFrame, path: Sequence[str], tokens: Column, weights: Mapping[tuple[str, ...], float],
-    share: float, max_epochs: int = 1, seed: int = 1, copies: str = "n_copies",
+    share: float, max_epochs: int = 1, seed: int = 1, copies: str = "n_copies", at_least_once: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, with the number of epochs each is taken in (column ``copies``).
 
@@ -87,6 +87,8 @@ def mixed(
     ``tokens`` is a document's size, ``share`` the part of all tokens that the root hands out, over 1 only with
     ``max_epochs`` over 1: a leaf can be read so many times. A leaf's budget is a number of whole epochs and a prefix of
     the next one, in an order seeded by epoch; the prefix ends before the first document that would pass the budget.
+    ``at_least_once`` raises every leaf's budget to one whole epoch: no document is left out, and leaves below their
+    weight catch up by repeats within ``max_epochs``.
     Documents that share a place (repeated ids) are taken together or not at all. Documents without tokens are taken
     with the prefix they stand in.
 
@@ -104,8 +106,11 @@ def mixed(
         "leaves")
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(share))).scalar()
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    budget = F.greatest("budget", "tokens") if at_least_once else F.col("budget")
+    # a leaf without tokens has no budget to fall short of
+    epochs = F.greatest(epochs, F.lit(1)) if at_least_once else epochs
     plan = stored(
-        leaf_budgets(leaves, names, weights, total).withColumn("_epoch", epochs)
+        leaf_budgets(leaves, names, weights, total).withColumn("budget", budget).withColumn("_epoch", epochs)
         .withColumn("_rest", F.col("budget") - F.col("_epoch") * F.col("tokens")).select(*names, "_epoch", "_rest"), "plan")
 
     placed = narrow.join(plan, names).withColumn("_at", order_key("doc_id", seed, "_epoch")).select(

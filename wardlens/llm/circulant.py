@@ -264,3 +264,20 @@ def near_duplicates(
     blank = sketched.filter("fingerprint is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return grouped.union(blank)
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of ``docs`` (doc_id, text and any others).
+
+    Of a group the row with the smallest doc_id stays, a null doc_id being larger than any, and of rows that share it
+    the one whose text has the least hash. Rows are told apart by a number of their own, so different texts that share a doc_id, or have
+    none, each get their verdict. Null, empty and blank texts are near nothing and all stay. An empty table stays empty.
+    """
+    rows = stored(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), size, percent)
+    named = found.select(F.col("doc_id").alias("key"), "component_id").join(
+        rows.select("key", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash")), "key")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "key")
+    kept = stored(named.groupBy("component_id").agg(F.min_by("key", order).alias("key")).select("key"), "kept")
+    return rows.join(kept, "key", "left_semi").select("row.*")

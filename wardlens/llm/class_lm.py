@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count as counter
+from itertools import count as counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,10 +18,12 @@ from .store import stored
 # most so many; every other training word is put in the best class of the exchange's outcome.
 LEXICON = 20_000
 CLASSES = 64
-SWEEPS, PARTS = 4, 4
-# Documents whose words share one table in a task. Places of documents inside a block fit into 13 bits.
-BLOCK_BITS = 13
-SLICE = 512
+PARTS = 4
+# The exchange ends when a whole sweep over its words raises the likelihood by no more than this part of it.
+TOLERANCE = 1e-4
+# Documents whose words share one table in a task, and words after which such a block ends.
+BLOCK_BITS, BLOCK_WORDS = 13, 4 << 20
+SLICE = 256
 # Count of the one word that stands for all unknown ones.
 DELTA = 0.5
 # Counts whose change of the likelihood is looked up, and words whose classes are compared at a time.
@@ -31,33 +33,45 @@ SMALL, CHUNK = 32, 1024
 class _Blocks:
     """Walks over a task's batches in blocks of documents; each word of a block has a code.
 
-    The given words have the first codes, in their order; a block's other words are numbered after them.
+    The given words have the first codes, in their order; a block's other words are numbered after them. A block ends
+    with its last place for a document or with ``BLOCK_WORDS`` words, so long texts make short blocks.
     """
 
     def __init__(self, words: list[bytes]) -> None:
-        self.words = words
+        self.words, self.codes = words, {w: k for k, w in enumerate(words)}
 
     def walk(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
-        """(block number, codes of its words, list of (batch slice, codes of its words in order, words per row))."""
-        number, table, parts, size = 0, None, [], 0
+        """(block number, its words, list of (batch slice, codes of its words in order, words per row))."""
+        number, held, size, n_words = 0, [], 0, 0
         for whole in batches:
             at = 0
             while at < whole.num_rows:
-                if table is None:
-                    table = defaultdict(counter(len(self.words)).__next__, zip(self.words, range(len(self.words))))
-                take = min(SLICE, (1 << BLOCK_BITS) - size, whole.num_rows - at)
-                batch = whole.slice(at, take)
-                split = [(t.as_py() or "").encode().lower().split() for t in batch.column(column)]
-                lengths = np.fromiter(map(len, split), np.int64, take)
-                flat = chain.from_iterable(split)
-                codes = np.fromiter(map(table.__getitem__, flat), np.int32, int(lengths.sum()))
-                parts.append((batch, codes, lengths))
-                at, size = at + take, size + take
-                if size == 1 << BLOCK_BITS:
-                    yield number, table, parts
-                    number, table, parts, size = number + 1, None, [], 0
-        if parts:
-            yield number, table, parts
+                batch = whole.slice(at, min(SLICE, (1 << BLOCK_BITS) - size, whole.num_rows - at))
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(column)))
+                held.append((batch, lists.flatten(), np.diff(lists.offsets.to_numpy())))
+                at, size, n_words = at + len(batch), size + len(batch), n_words + len(held[-1][1])
+                if size == 1 << BLOCK_BITS or n_words > BLOCK_WORDS:
+                    yield number, *self._coded(held)
+                    number, held, size, n_words = number + 1, [], 0, 0
+        if held:
+            yield number, *self._coded(held)
+
+    def _coded(self, held: list[tuple]) -> tuple[list[bytes], list[tuple]]:
+        numbered = pa.chunked_array([flat for _, flat, _ in held]).combine_chunks().dictionary_encode()
+        words, code_of = list(self.words), np.empty(len(numbered.dictionary), np.int32)
+        for k, word in enumerate(numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)):
+            code = self.codes.get(word, -1)
+            if code < 0 and word:
+                code = len(words)
+                words.append(word)
+            code_of[k] = code
+        codes, parts, start = code_of[numbered.indices.to_numpy()], [], 0
+        for batch, flat, lengths in held:
+            own = codes[start : start + len(flat)]
+            start += len(flat)
+            owners = np.repeat(np.arange(len(lengths)), lengths)[own >= 0]  # white space at the ends splits off nothing
+            parts.append((batch, own[own >= 0], np.bincount(owners, minlength=len(lengths))))
+        return words, parts
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -68,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             totals = np.bincount(np.concatenate([codes for _, codes, _ in parts]), minlength=len(table))
             if len(table):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(table), pa.binary()), pa.array(totals, pa.int64())], ["word", "n"])
+                    [pa.array(table, pa.binary()), pa.array(totals, pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -135,14 +149,15 @@ def best_class(
 
 
 def exchange(
-    table: DataFrame, n_words: int, classes: int = CLASSES, sweeps: int = SWEEPS, parts: int = PARTS
+    table: DataFrame, n_words: int, classes: int = CLASSES, parts: int = PARTS, tolerance: float = TOLERANCE
 ) -> tuple[np.ndarray, np.ndarray]:
     """(class per code, class transitions) from the bigram table.
 
     Codes come in descending order of frequency and start in class code % classes; other words and the end have a class
     of their own each. In each step the words of one part are tried in parallel against the same state and those that
-    gain move together; should that lower the likelihood, only the better half of them moves, and so on. The table stays distributed, one row per word with
-    its neighbours; the driver holds a class per lexicon word and the classes' transitions, both bounded by parameters.
+    gain move together; should that lower the likelihood, only the better half of them moves, and so on. Sweeps go on
+    until one gains no more than ``tolerance``. The table stays distributed, one row per word with its neighbours; the
+    driver holds a class per lexicon word and the classes' transitions, both bounded by parameters.
     """
     width = classes + 2
     follow = table.groupBy(F.col("a").alias("w")).agg(
@@ -195,21 +210,19 @@ def exchange(
     counts = transitions(state)
     if n_words == 0:
         return state, counts
-    best, idle = value(counts), 0
-    for step in range(sweeps * parts):
-        if idle == parts:
-            break
+    best = mark = value(counts)
+    for step in counter():
+        if step and step % parts == 0:
+            if best - mark <= tolerance * abs(mark):
+                break
+            mark = best
         found = moves(state, counts, step % parts)
-        if found.empty:
-            idle += 1
-            continue
-        idle += 1
         while len(found):
             trial = state.copy()
             trial[found["w"].to_numpy()] = found["target"].to_numpy()
             after = transitions(trial)
             if value(after) > best:
-                state, counts, best, idle = trial, after, value(after), 0
+                state, counts, best = trial, after, value(after)
                 break
             found = found.head(len(found) // 2)
     return state, counts
@@ -258,36 +271,68 @@ class FixedTable:
 def word_classes(contexts: DataFrame, counts: np.ndarray, classes: int) -> DataFrame:
     """(word, n, class) of every word of ``contexts`` (word, before, after), each put in its best class of ``counts``.
 
-    ``before`` and ``after`` list the classes around a word's occurrences as bytes or pairs of bytes; len(counts) stands
-    for the word itself. Each word is judged from its own row against the fixed table, so the words stay distributed.
+    ``before`` and ``after`` hold the classes around a word's occurrences in one block, as pairs of a class and a number
+    of times; len(counts) stands for the word itself. A word's rows lie behind each other and are summed as they come,
+    so however frequent a word is, it takes two rows of counts. Each word is judged from its own sums against the fixed
+    table, so the words stay distributed.
     """
     width = len(counts)
     kind = np.min_scalar_type(2 * width)
 
-    def table_of(column: pa.ListArray) -> np.ndarray:
-        cells, offsets = column.flatten(), column.offsets.to_numpy()
-        ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
-        lengths = np.diff(ends[offsets - offsets[0]]) // kind.itemsize
-        flat = np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).astype(np.int64)
-        owner = np.repeat(np.arange(len(column)), lengths)
-        return np.bincount(owner * (width + 1) + flat, minlength=len(column) * (width + 1)).reshape(-1, width + 1).astype(np.float64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = FixedTable(counts, classes)
+        last, carried = None, ()
+
+        def judged(words: list[bytes], into: np.ndarray, out: np.ndarray) -> pa.RecordBatch:
+            best = fixed.best(out[:, :width], into[:, :width], out[:, width])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(into.sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))],
+                ["word", "n", "class"])
+
         for whole in batches:
             for start in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(start, CHUNK)
-                into, out = table_of(batch.column(1)), table_of(batch.column(2))
-                best = fixed.best(out[:, :width], into[:, :width], out[:, width])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(into.sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))],
-                    ["word", "n", "class"])
-
-    return contexts.groupBy("word").agg(
-        F.collect_list("before").alias("before"), F.collect_list("after").alias("after")).mapInArrow(
+                words = batch.column(0).to_numpy(zero_copy_only=False)
+                starts = np.append(True, words[1:] != words[:-1])
+                group = np.cumsum(starts) - 1
+                into, out = (_pair_sums(batch.column(k), group, int(group[-1]) + 1, width + 1, kind) for k in (1, 2))
+                if last == words[0]:
+                    into[0] += carried[0][0]
+                    out[0] += carried[1][0]
+                elif last is not None:
+                    yield judged([last], *carried)
+                names = words[starts].tolist()
+                if len(names) > 1:
+                    yield judged(names[:-1], into[:-1], out[:-1])
+                last, carried = names[-1], (into[-1:], out[-1:])
+        if last is not None:
+            yield judged([last], *carried)
+
+    return contexts.repartition("word").sortWithinPartitions("word").select("word", "before", "after").mapInArrow(
         run, "word binary, n long, class int")
 
 
+def _pairs(owner: np.ndarray, value: np.ndarray, n_owners: int, width: int, kind: np.dtype) -> pa.Array:
+    """Per owner how often each value occurs, as pairs of value and number; a large number takes several pairs."""
+    key, times = np.unique(owner.astype(np.int64) * width + value, return_counts=True)
+    most = np.iinfo(kind).max
+    parts = -(-times // most)
+    key = np.repeat(key, parts)
+    number = np.full(len(key), most, kind)
+    number[np.cumsum(parts) - 1] = times - (parts - 1) * most
+    flat = np.stack([(key % width).astype(kind), number], axis=1).ravel()
+    return _binaries(flat, 2 * np.bincount(key // width, minlength=n_owners))
+
+
+def _pair_sums(column: pa.Array, group: np.ndarray, n_groups: int, width: int, kind: np.dtype) -> np.ndarray:
+    """The sums of ``_pairs`` over groups of rows: one row of ``width`` numbers a group."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, 2)
+    owner = np.repeat(group, np.diff(ends) // (2 * np.dtype(kind).itemsize))
+    return np.bincount(
+        owner * width + flat[:, 0], flat[:, 1].astype(np.float64), n_groups * width).reshape(n_groups, width)
+
+
 def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """``flat`` cut into one value of bytes per size."""
     offsets = np.concatenate([[0], np.cumsum(sizes * flat.itemsize)]).astype(np.int32)
@@ -308,7 +353,7 @@ def class_scores(
     from the words seen once. ``base_score`` is the add-one unigram score.
 
     A task lists, for a block of documents, each rare word once with its number in the block; the words' classes and
-    counts are joined to them and return to the block. Only the lexicon (at most ``lexicon`` words) and class tables go
+    counts are joined to them and return to the block, packed into one row per block and task. Only the lexicon (at most ``lexicon`` words) and class tables go
     to every task. Null and empty texts are the end alone. Rows with null ``held_out`` count as held out. Repeated rows
     are learned from and scored each. Without training rows all words are unknown, and an empty table gives an empty
     result.
@@ -334,10 +379,10 @@ def class_scores(
     base[: rare], own[: rare] = np.log10((word_n + 1) / unit), np.log10(word_n)
     base[end] = np.log10((n_ends + 1) / unit)
     schema = "word binary, block long, place int, before binary, after binary, doc_id long, held_out boolean, " \
-        "n_known long, base double, own double, line array<int>"
+        "n_known long, base double, own double, line binary"
     names = [field.split()[0] for field in schema.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(),
-             pa.float64(), pa.float64(), pa.list_(pa.int32())]
+             pa.float64(), pa.float64(), pa.binary()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -355,9 +400,7 @@ def class_scores(
                     [pa.nulls(size, kinds[0]), pa.array(np.full(size, block)), *(pa.nulls(size, k) for k in kinds[2:5]),
                      batch.column(0), batch.column(2), pa.array(known.astype(np.int64)),
                      pa.array(np.bincount(owners, base[short], size) + base[end]),
-                     pa.array(np.bincount(owners, own[short], size)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(line))],
-                    names)
+                     pa.array(np.bincount(owners, own[short], size)), _binaries(line, lengths)], names)
                 whole = _with_ends(codes, lengths, -1)
                 at = np.flatnonzero((whole >= rare) & np.concatenate([[False], np.repeat(
                     ~batch.column(2).to_numpy(zero_copy_only=False), lengths + 1)]))
@@ -365,17 +408,13 @@ def class_scores(
                 found.append(whole[at] - rare)
                 for side, other in ((befores, at - 1), (afters, at + 1)):
                     side.append(np.where(whole[other] == whole[at], width, around[other]).astype(kind))
-            codes, listed = np.concatenate(found), list(table)[rare:]
-            order = np.argsort(codes, kind="stable")
-            sizes = np.bincount(codes, minlength=len(listed))
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            before, after = np.concatenate(befores)[order], np.concatenate(afters)[order]
+            codes, listed = np.concatenate(found), table[rare:]
+            before, after = (_pairs(codes, np.concatenate(x), len(listed), width + 1, kind) for x in (befores, afters))
             for a in range(0, len(listed), 20_000):
                 b = min(a + 20_000, len(listed))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(listed[a:b], pa.binary()), pa.array(np.full(b - a, block)),
-                     pa.array(np.arange(a, b, dtype=np.int32)),
-                     *(_binaries(x[starts[a] : starts[b]], sizes[a:b]) for x in (before, after)),
+                     pa.array(np.arange(a, b, dtype=np.int32)), before.slice(a, b - a), after.slice(a, b - a),
                      *(pa.nulls(b - a, k) for k in kinds[5:])], names)
 
     passed = stored(rows.mapInArrow(encode, schema), "encoded")
@@ -388,6 +427,26 @@ def class_scores(
         n_class[row["class"]] += row["n"]
     n_class[last] = n_ends
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of a block that meet in a task, as one row: places, classes and counts side by side."""
+        held: list[np.ndarray] = []
+
+        def rows_of() -> pa.RecordBatch:
+            all_ = np.concatenate(held, axis=1)
+            all_ = all_[:, np.argsort(all_[0], kind="stable")]
+            blocks, sizes = np.unique(all_[0], return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(blocks), *(_binaries(all_[k].astype(t), sizes) for k, t in ((1, "<i4"), (2, kind), (3, "<i8")))],
+                ["block", "places", "kinds", "times"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            if sum(x.shape[1] for x in held) > 1 << 20:
+                yield rows_of()
+                held = []
+        if held:
+            yield rows_of()
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, of, n = None, None, None
         for whole in batches:
@@ -400,21 +459,21 @@ def class_scores(
                     current, of, n = int(blocks[a]), np.full(0, unknown), np.zeros(0)
                 batch = whole.slice(a, b - a)
                 is_word = batch.column(4).to_numpy(zero_copy_only=False)
-                if is_word.any():
-                    place = batch.column(1).to_numpy(zero_copy_only=False)[is_word].astype(np.int64)
+                for row in np.flatnonzero(is_word):
+                    place, kept, times = (
+                        np.frombuffer(batch.column(k)[int(row)].as_py(), t).astype(np.int64)
+                        for k, t in ((1, "<i4"), (2, kind), (3, "<i8")))
                     grow = int(place.max()) + 1 - len(of)
                     if grow > 0:
                         of = np.concatenate([of, np.full(max(grow, len(of)), unknown)])
                         n = np.concatenate([n, np.zeros(max(grow, len(n)))])
-                    times = batch.column(3).to_numpy(zero_copy_only=False)[is_word]
-                    kept = batch.column(2).to_numpy(zero_copy_only=False)[is_word].astype(np.int64)
                     of[place], n[place] = kept + width * (times == 1), times
                 lines = batch.filter(pa.array(~is_word))
                 for start in range(0, lines.num_rows, SLICE):
                     part = lines.slice(start, SLICE)
-                    column = part.column(10)
-                    lengths = np.diff(column.offsets.to_numpy())
-                    line = column.flatten().to_numpy().astype(np.int64)
+                    texts = part.column(10).to_pylist()
+                    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
+                    line = np.frombuffer(b"".join(texts), "<i4").astype(np.int64)
                     owners = np.repeat(np.arange(len(lengths)), lengths)
                     at = np.flatnonzero(line >= width)
                     place = line[at] - width
@@ -434,13 +493,13 @@ def class_scores(
 
     none = [F.lit(None).cast(t).alias(c) for c, t in (
         ("doc_id", "long"), ("held_out", "boolean"), ("n_known", "long"), ("base", "double"), ("own", "double"),
-        ("line", "array<int>"))]
-    met = listed.select("word", "block", "place").join(classed, "word").select(
-        "block", "place", "class", F.col("n").cast("double").alias("n"), F.lit(True).alias("is_word"), *none)
+        ("line", "binary"))]
+    met = listed.select("word", "block", "place").join(classed, "word").select("block", "place", "class", "n").mapInArrow(
+        packed, "block long, places binary, kinds binary, times binary").select("*", F.lit(True).alias("is_word"), *none)
+    nothing = F.lit(None).cast("binary")
     texts = passed.filter("word is null").select(
-        "block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("class"),
-        F.lit(None).cast("double").alias("n"), F.lit(False).alias("is_word"), "doc_id", "held_out", "n_known", "base",
-        "own", "line")
+        "block", nothing.alias("places"), nothing.alias("kinds"), nothing.alias("times"), F.lit(False).alias("is_word"),
+        "doc_id", "held_out", "n_known", "base", "own", "line")
     # a block is whole in one task, its words before its documents
     settled = stored(
         met.union(texts).repartition("block").sortWithinPartitions("block", F.col("is_word").desc())

@@ -129,18 +129,20 @@ def packed(
 
 
 def packed_documents(
-    docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = LENGTH, **limits: object
+    docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = LENGTH, with_ids: bool = False, **limits: object
 ) -> DataFrame:
     """Pieces of ``docs`` with their place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    The pieces are stored without their ids, which pieces_of() gives again at any time. Rows that share a doc_id are
-    told apart by a number of the copy, so each is packed whole.
+    ``with_ids`` adds ``ids``, the piece's token ids as little-endian unsigned 32-bit numbers; without it the pieces are
+    stored without their ids, which pieces_of() gives again at any time. Rows that share a doc_id are told apart by a
+    number of the copy, so each is packed whole.
     """
+    more = ["ids"] if with_ids else []
     digests = stored(
-        pieces_of(docs, vocabulary, end_id, capacity, with_ids=False).select(
-            "doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("_key")), "pieces")
+        pieces_of(docs, vocabulary, end_id, capacity, with_ids=with_ids).select(
+            "doc_id", "piece", "start", "length", "ids_crc32", *more, F.monotonically_increasing_id().alias("_key")), "pieces")
     places = packed(
         digests.select(F.col("_key").alias("doc_id"), "piece", "length"), capacity, **limits
     ).select(F.col("doc_id").alias("_key"), "sequence_id", "offset")
     return digests.join(places, "_key").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *more)
