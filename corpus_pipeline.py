@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardlens.llm import budgets, circulant, queries, risk_rules, vector_fit
 from wardlens.llm.store import stored
 
-# The mixture of the pipeline: all tokens that deduplication left, each document once. Its target weights only decide
-# which leaves give less when the share is below 1.
-WEIGHTS, SHARE, SEED = queries.MIX_WEIGHTS, 1.0, 31
+# The mixture of the pipeline: op9's target weights over as many tokens as deduplication left. Leaves above their weight
+# keep all their documents once; leaves below it catch up by repeats, at most so many epochs.
+WEIGHTS, SHARE, EPOCHS, SEED = queries.MIX_WEIGHTS, 1.0, 3, 31
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,24 +24,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles: the one with the smallest doc_id.
 
-    Rows that repeat a kept doc_id stay once; a row without doc_id stays if no row with one has its set.
+    Rows are judged one by one, so different texts that share a doc_id, or have none, are not mistaken for each other.
     """
-    kept = circulant.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns)
+    return circulant.one_of_each_group(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fill the token budgets of the tree of domains, languages and sources."""
-    columns = docs.columns
-    sized = docs.withColumn("domain", queries.domain_of()).withColumn("n_tokens", queries.word_count())
-    taken = budgets.mixed(sized, queries.MIX_PATH, F.col("n_tokens"), WEIGHTS, SHARE, 1, SEED)
-    return taken.select(*columns)
+    """Documents in the numbers that bring domains, languages and sources towards their target weights.
+
+    Every document comes at least once, so nothing clean is lost; a document of a leaf below its weight comes up to
+    ``EPOCHS`` times.
+    """
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "lang", "source",
+        queries.domain_of().alias("domain"), queries.word_count().alias("n_tokens"))
+    taken = budgets.mixed(
+        sized, queries.MIX_PATH, F.col("n_tokens"), WEIGHTS, SHARE, EPOCHS, SEED, at_least_once=True)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2,048 tokens."""
-    return vector_fit.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), queries.BYTE_END)
+    """The pieces of all documents with their token ids and their places in sequences of 2,048 tokens."""
+    return vector_fit.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), queries.BYTE_END, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
