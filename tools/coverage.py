@@ -22,7 +22,7 @@ NOTES = {
     "K5": "also `operators.tables.merge_partition_path` (rewrites touched buckets only); tests/test_tables.py",
     "J9": "re-aimed: distances of given pairs; the matrix of all pairs is not formed",
     "D3": "ships a linear scorer; no trained network",
-    "X24": "least squares with Spark ML",
+    "X24": "heat and flood from two lags of own and neighbours' values; linear, no trained network",
     "T5": "checkpoint restart: tests/test_streams.py",
     "T3": "dropped late rows are counted: tests/test_streams.py",
     "T8": "`streaming.alerts.relay`; tests/test_streams.py",

@@ -91,7 +91,7 @@ def neighbour_distances(t: Tables) -> DataFrame:
     return spatial.pair_distances(spatial.nearest_neighbours(t.nodes, 6), t.nodes)
 
 
-_EDGES = f"""
+EDGES = f"""
 {_KNN}, {_NEAR},
 half AS (SELECT src, dst FROM knn UNION ALL SELECT src, dst FROM near),
 edges AS (SELECT src, dst FROM half UNION SELECT dst, src FROM half),
@@ -103,13 +103,13 @@ weighted AS (
 graph AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS weight FROM weighted)"""
 
 
-@query("X10 U2 P26 W9", "wards", "weight", f"WITH {_EDGES} SELECT src, dst, weight FROM graph")
+@query("X10 U2 P26 W9", "wards", "weight", f"WITH {EDGES} SELECT src, dst, weight FROM graph")
 def ward_graph(t: Tables) -> DataFrame:
     return graph.ward_graph(t.nodes)
 
 
 @query("A18", "wards", "mean_degree", f"""
-WITH {_EDGES}, d AS (SELECT src, count(*) AS degree FROM graph GROUP BY src)
+WITH {EDGES}, d AS (SELECT src, count(*) AS degree FROM graph GROUP BY src)
 SELECT count(*) AS nodes, CAST(sum(degree) AS BIGINT) AS edges, min(degree) AS min_degree, max(degree) AS max_degree,
        avg(degree) AS mean_degree, quantile_disc(degree, 0.5) AS median_degree FROM d""")
 def degree_stats(t: Tables) -> DataFrame:
@@ -117,7 +117,7 @@ def degree_stats(t: Tables) -> DataFrame:
 
 
 @query("J17", "wards scores", "heat_stress_score flood_risk_score", f"""
-WITH {_EDGES},
+WITH {EDGES},
 g AS (SELECT dst, sum(weight * heat_stress_score) / count(*) AS h, sum(weight * flood_risk_score) / count(*) AS f
       FROM graph JOIN scores ON ward_id = src GROUP BY dst)
 SELECT ward_id, coalesce(h, 0.0) + s.heat_stress_score AS heat_stress_score,
@@ -129,7 +129,7 @@ def neighbour_means(t: Tables) -> DataFrame:
 
 
 @query("X11 J17", "wards scores", "heat_stress_score", f"""
-WITH {_EDGES},
+WITH {EDGES},
 one AS (SELECT dst AS ward_id, sum(weight * heat_stress_score) / count(*) AS h FROM graph JOIN scores ON ward_id = src GROUP BY 1),
 two AS (SELECT dst AS ward_id, sum(weight * h) / count(*) AS h FROM graph JOIN one ON ward_id = src GROUP BY 1)
 SELECT s.ward_id, coalesce(h, 0.0) AS heat_stress_score FROM scores s LEFT JOIN two USING (ward_id)""")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import history, nested
+from ..operators import graph, history, nested
 from ..plans import attribution, scoring, training
 from ..session import cut_lineage
+from .geography import EDGES
 from .registry import query
-from .views import Tables
+from .views import WARDS, Tables
 
 _INDEXED = """
 indexed AS (SELECT *, dense_rank() OVER (ORDER BY snapshot_ts) - 1 AS snapshot_idx FROM snapshots)"""
@@ -199,7 +200,7 @@ def scored_wards(t: Tables) -> DataFrame:
     return scoring.score(inputs, load, "ward_id BIGINT, score DOUBLE")
 
 
-@query("X24 X11 J17", "snapshots", "lag_lst_celsius target", f"""
+@query("X24", "snapshots", "lag_lst_celsius target", f"""
 WITH {_DENSE} SELECT t.ward_id, t.snapshot_idx, p.lst_celsius AS lag_lst_celsius, t.lst_celsius AS target
 FROM dense t JOIN dense p ON p.ward_id = t.ward_id AND p.snapshot_idx = t.snapshot_idx - 1""")
 def lagged_features(t: Tables) -> DataFrame:
@@ -223,3 +224,63 @@ def baseline_regression(t: Tables) -> DataFrame:
     model = training.fit_baseline(samples, ["lag_lst_celsius"], "lst_celsius")
     metrics = training.evaluate_baseline(model, samples, "lst_celsius")
     return metrics.select("split", *[F.floor(F.col(c) * 1000 + 0.497).alias(f"{c}_milli") for c in ("rmse", "mae")])
+
+
+# Normal equations of both targets by Gauss-Jordan steps over lists; covariances, so the intercepts follow from the means.
+_INPUTS = [f"{side}{lag}_{v}" for lag in (1, 2) for side in ("own", "near") for v in ("heat_stress_score", "flood_risk_score", "pm25_log")]
+_REGRESSION = f"""
+{_INDEXED}, city AS (SELECT * FROM wards WHERE ward_id <= {WARDS}), {EDGES.replace("wards", "city")},
+scored AS (SELECT ward_id, snapshot_idx, pm, 100.0 * (least(greatest(lst_celsius, 20.0), 50.0) - 20.0) / (30.0 + 1e-8) AS h,
+    least(greatest(30.0 * ln(greatest(rainfall_mm_24h, 0.0) + 0.1) / 6.0, 0.0), 100.0) AS f
+  FROM (SELECT *, ln(greatest(pm25_ugm3, 0.0) + 0.1) / 6.0 AS pm FROM indexed)),
+full_grid AS (SELECT ward_id, snapshot_idx, coalesce(h, 0.0) AS h, coalesce(f, 0.0) AS f, coalesce(pm, 0.0) AS pm
+  FROM (SELECT ward_id, s AS snapshot_idx FROM (SELECT DISTINCT ward_id FROM indexed), (SELECT DISTINCT snapshot_idx AS s FROM indexed))
+  LEFT JOIN scored USING (ward_id, snapshot_idx)),
+around AS (SELECT dst AS ward_id, snapshot_idx, sum(weight * h) / count(*) AS nh, sum(weight * f) / count(*) AS nf,
+    sum(weight * pm) / count(*) AS np FROM graph JOIN full_grid ON ward_id = src GROUP BY ALL),
+state AS (SELECT g.*, coalesce(nh, 0.0) AS nh, coalesce(nf, 0.0) AS nf, coalesce(np, 0.0) AS np
+  FROM full_grid g LEFT JOIN around USING (ward_id, snapshot_idx)),
+design AS (SELECT t.snapshot_idx, [a.h, a.f, a.pm, a.nh, a.nf, a.np, b.h, b.f, b.pm, b.nh, b.nf, b.np, t.h, t.f] AS z
+  FROM state t JOIN state a ON a.ward_id = t.ward_id AND a.snapshot_idx = t.snapshot_idx - 1
+  JOIN state b ON b.ward_id = t.ward_id AND b.snapshot_idx = t.snapshot_idx - 2),
+cut AS (SELECT max(snapshot_idx) - greatest(1, CAST(floor(count(DISTINCT snapshot_idx) * 0.2) AS BIGINT)) AS c FROM design),
+samples AS (SELECT z, CASE WHEN snapshot_idx > c THEN 'validation' ELSE 'train' END AS split FROM design, cut),
+fitted AS (SELECT z FROM samples WHERE split = 'train'),
+means AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(z[i]) AS m FROM fitted, range(1, 15) r(i) GROUP BY i)),
+cells AS (SELECT i, j, covar_pop(z[i], z[j]) AS v FROM fitted, range(1, 13) r(i), range(1, 15) q(j) GROUP BY i, j),
+matrix AS (SELECT list(w ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS w FROM cells GROUP BY i)),
+steps AS (SELECT 1 AS k, m FROM matrix UNION ALL
+  SELECT k + 1, list_transform(range(1, 13), lambda i: list_transform(range(1, 15), lambda j:
+    CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] / m[k][k] * m[k][j] END)) FROM steps WHERE k <= 12),
+solved AS (SELECT m FROM steps WHERE k = 13),
+weights AS (SELECT t, i, s.m[i][12 + t] AS w FROM solved s, range(1, 13) r(i), range(1, 3) q(t)),
+offsets AS (SELECT t, any_value(means.m)[12 + t] - sum(w * means.m[i]) AS w FROM weights, means GROUP BY t),
+terms AS (SELECT t, i, w FROM weights UNION ALL SELECT t, 0, w FROM offsets)"""
+_TARGET = "CASE t WHEN 1 THEN 'heat_stress_score' ELSE 'flood_risk_score' END AS target"
+
+
+def _regression(t: Tables) -> tuple[DataFrame, DataFrame]:
+    values = [*history.TARGETS, "pm25_log"]
+    scored = history.normalise_snapshot(_indexed(t))
+    dense = cut_lineage(history.densify(scored, values))
+    edges = graph.ward_graph(t.nodes.filter(F.col("ward_id") <= WARDS))
+    return training.risk_regression(dense, edges, values)
+
+
+@query("X24 X11 J17", "snapshots wards", "value", f"""
+WITH RECURSIVE {_REGRESSION}
+SELECT {_TARGET}, ['intercept', {", ".join(f"'{n}'" for n in _INPUTS)}][i + 1] AS term, w AS value FROM terms""")
+def risk_coefficients(t: Tables) -> DataFrame:
+    """Heat and flood risk from the wards' and their neighbours' last two days."""
+    return _regression(t)[0]
+
+
+@query("X24 A15 W8 J17", "snapshots wards", "rmse mae r2", f"""
+WITH RECURSIVE {_REGRESSION},
+model AS (SELECT t, list(w ORDER BY i) AS w FROM terms GROUP BY t),
+errors AS (SELECT split, t, z[12 + t] AS y, w[1] + list_sum(list_transform(range(1, 13), lambda i: w[i + 1] * z[i])) - z[12 + t] AS e
+  FROM samples, model)
+SELECT split, {_TARGET}, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
+       1.0 - sum(e * e) / (var_pop(y) * count(*) + 1e-8) AS r2 FROM errors GROUP BY split, t""")
+def risk_regression_errors(t: Tables) -> DataFrame:
+    return training.regression_report(_regression(t)[1])
