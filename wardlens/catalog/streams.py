@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.risk import threshold_alerts
 from ..session import scratch_path
 from ..sources.files import follow_parquet
-from ..streaming import alerts as alert_jobs, drift as drift_jobs, windows as window_jobs
+from ..streaming import alerts as alert_jobs, arrivals as arrival_jobs, drift as drift_jobs, windows as window_jobs
 from .readings import _WINDOW_DOUBLES, _WINDOW_SQL
 from .registry import query
 from .views import Tables
@@ -57,6 +57,60 @@ def streamed_anomalies(t: Tables) -> DataFrame:
     return _naive(stored)
 
 
+# Four chunks of arrivals, each its own start of the stream; every seventh reading comes two days late.
+_CHUNKS = 4
+_ARRIVED = """
+arrived AS (
+  SELECT * EXCLUDE (ward_id, ts), ward_id % 10 AS ward_id, event_id * 4 // ((SELECT max(event_id) FROM readings) + 1) AS chunk,
+         ts + (event_id % 3) * INTERVAL '10 minutes' - (CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END) * INTERVAL '1 day' AS ts
+  FROM readings),
+marks AS (SELECT chunk, max(max(ts)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '30 seconds' AS mark
+          FROM arrived GROUP BY chunk),
+judged AS (SELECT *, time_bucket(INTERVAL '15 minutes', ts) AS window_start,
+                  coalesce(time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' <= mark, false) AS late
+           FROM arrived JOIN marks USING (chunk))"""
+
+
+@query("T3 T6 T12", "readings", f"{_WINDOW_DOUBLES}", f"""
+WITH {_ARRIVED},
+flagged AS (
+  SELECT *, CASE WHEN lag(window_start) OVER w IS DISTINCT FROM window_start THEN 1 ELSE 0 END AS opens
+  FROM judged WHERE NOT late WINDOW w AS (PARTITION BY ward_id ORDER BY event_id)),
+islands AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY ward_id ORDER BY event_id) AS BIGINT) AS part FROM flagged),
+parts AS (
+  SELECT ward_id, part, window_start, window_start + INTERVAL '15 minutes' AS window_end,
+         avg(temperature_c) AS avg_temperature_c, avg(humidity_pct) AS avg_humidity_pct, avg(pm25) AS avg_pm25,
+         sum(rainfall_mm) AS sum_rainfall_mm, count(*) AS reading_count,
+         CAST(avg(temperature_c) > 40 OR sum(rainfall_mm) > 20 AS INTEGER) AS has_anomaly,
+         part = max(part) OVER (PARTITION BY ward_id) AS open
+  FROM islands GROUP BY ward_id, part, window_start)
+SELECT * EXCLUDE (open), CAST(NULL AS BIGINT) AS late_event FROM parts
+WHERE NOT open OR window_end <= (SELECT max(ts) - INTERVAL '30 seconds' FROM arrived)
+UNION ALL BY NAME
+SELECT ward_id, event_id AS late_event, ts AS window_start, temperature_c AS avg_temperature_c, humidity_pct AS avg_humidity_pct,
+       pm25 AS avg_pm25, rainfall_mm AS sum_rainfall_mm FROM judged WHERE late""")
+def streamed_arrivals(t: Tables) -> DataFrame:
+    """Both outputs of the arrival-order stream, stopped and started again between the chunks of arrivals."""
+    out = scratch_path(t.spark, "arrivals")
+    event = F.col("event_id")
+    shifted = (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (event % 3 * 10).cast("int"))
+               - F.make_dt_interval(F.when(event % 7 == 0, 2).otherwise(0)))
+    rows = t.readings.withColumns({"ward_id": F.col("ward_id") % 10, "ts": shifted}).drop("sensor_id")
+    chunk = F.floor(event * _CHUNKS / (t.base("events").agg(F.max("event_id")).scalar() + 1))
+    for k in range(_CHUNKS):
+        rows.filter(chunk == k).write.mode("append").parquet(os.path.join(out, "landed"))
+        landed = follow_parquet(t.spark, os.path.join(out, "landed"), rows.schema)
+        stream = arrival_jobs.arrival_stream(landed, "event_id")
+        _finish(arrival_jobs.publish_arrivals(stream, os.path.join(out, "table"), os.path.join(out, "state"), once=True))
+    stored = arrival_jobs.published(stream, os.path.join(out, "table"))
+    parts = _naive(arrival_jobs.closed_parts(stored)).withColumn("late_event", F.lit(None).cast("long"))
+    late = arrival_jobs.late_rows(stored).select(
+        "ward_id", F.col("arrival").alias("late_event"), F.col("ts").cast("timestamp_ntz").alias("window_start"),
+        F.col("temperature_c").alias("avg_temperature_c"), F.col("humidity_pct").alias("avg_humidity_pct"),
+        F.col("pm25").alias("avg_pm25"), F.col("rainfall_mm").alias("sum_rainfall_mm"))
+    return parts.unionByName(late, allowMissingColumns=True)
+
+
 @query("T7 U3", "", "", """
 SELECT ward_id, ts_ms, count(*) AS n FROM (
   SELECT DISTINCT user_id % 198 + 1 AS ward_id, epoch_ms(date_trunc('hour', ts)) AS ts_ms FROM events) GROUP BY ALL""")
