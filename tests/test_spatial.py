@@ -65,6 +65,36 @@ def test_nearest_neighbours_equal_brute_force(spark, points, metric):
         assert found == expected
 
 
+@pytest.mark.parametrize("metric", ["degrees", "haversine"])
+def test_neighbours_across_ranges_of_the_curve(spark, metric):
+    """Eight ranges, each searched alone first: borders, piles, strays and ranges with too few nodes of their own."""
+    rng = random.Random(12)
+    points = clustered(400, 4) + scattered(300, 5) + [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(60)]
+    points += [(77.25, 12.25)] * 15 + [(180.0, 0.0), (-180.0, 0.0), (0.0, 90.0), (120.0, 90.0)]
+    rng.shuffle(points)
+    measure = haversine if metric == "haversine" else (
+        lambda a, b: math.sqrt((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        placed = nodes(spark, points).unionByName(spark.createDataFrame([(9999, None, 1.0)], "ward_id long, lon double, lat double"))
+        answers = rows(spatial.nearest_neighbours(placed, 5, metric), "src", "rank")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found: dict[int, list] = {i: [] for i in range(len(points))}
+    for src, dst, distance, rank in answers:
+        assert distance == pytest.approx(measure(points[src], points[dst]), abs=1e-9) and rank == len(found[src]) + 1
+        found[src].append((distance, dst))
+    for i, p in enumerate(points):
+        expected = sorted((measure(p, q), j) for j, q in enumerate(points) if j != i)[:5]
+        assert [d for d, _ in found[i]] == pytest.approx([d for d, _ in expected], abs=1e-9)
+        if metric == "degrees":
+            assert [j for _, j in found[i]] == [j for _, j in expected]
+
+
 def test_pairs_within_equal_brute_force(spark):
     points = scattered(150, 3)
     mean = sum(y for _, y in points) / len(points)

@@ -1,22 +1,17 @@
-"""Nearest neighbours, distance joins, point-in-polygon and raster tiles.
+"""Distance joins, point-in-polygon and raster tiles; nearest neighbours are in ``neighbours``.
 
-Every spatial join is an equi-join on grid cells followed by an exact test.
+Every spatial join here is an equi-join on grid cells followed by an exact test.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geo import (
-    EARTH_RADIUS_KM, GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, inside_edges, planar_km, ring_edges,
-)
-from ..session import cut_lineage
+from ..functions.geo import GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, inside_edges, planar_km, ring_edges
+from .neighbours import nearest_neighbours  # noqa: F401 - part of this module's interface
 
-# 2^39 cells per axis at the deepest level: cells of a city stay apart when a stray point widens the box to the globe.
-_FINEST = 39
-_STEP = 3  # counted levels 0, 3, ..., _FINEST
 _LEAST_DEGREES = 1e-9  # boxes of rings count as this wide at least
 
 
@@ -28,114 +23,11 @@ def _neighbour_cells(cells: dict[str, Column]) -> Column:
     ]))
 
 
-def _ancestor(column: str, level: Column) -> Column:
-    """Cell index at ``level`` of a finest-level index."""
-    return F.floor(F.col(column) / F.pow(F.lit(2.0), F.lit(_FINEST) - level)).cast("long")
-
-
 def _used_levels(rows: DataFrame) -> Column:
     """The levels that occur, as an array of a one-row aggregate (a few dozen integers at most)."""
     return rows.agg(F.sort_array(F.collect_set("level"))).scalar()
 
 
-def nearest_neighbours(nodes: DataFrame, k: int = 6, metric: str = "degrees") -> DataFrame:
-    """The k nearest other nodes of every node: (src, dst, distance, rank). Exact; ties go to the smaller id.
-
-    ``nodes`` has ward_id, lon, lat. ``metric`` is "degrees" (planar: both sides of the date line are far apart) or
-    "haversine" (km on the sphere, across the date line and the poles; cells are cubes around the unit vectors, whose
-    straight distance orders like the great circle's).
-
-    1. Nodes that share a location are one query, and at most k+1 of them (smallest ids) are candidates, which is all
-       any answer can use. A pile of copies at one spot therefore stays k+1 rows.
-    2. A cell hierarchy counts candidates. Each location looks into the deepest cell around it that holds k+1 of them;
-       the distance of the last of those bounds its answer. Dense areas look into small cells, sparse ones into large.
-    3. With that bound as radius, each location asks the cell and its neighbours at the level whose cells are just as
-       wide, and keeps what lies within the radius.
-    """
-    place = nodes.select(F.col("ward_id").cast("long").alias("id"), F.col("lon").cast("double").alias("lon"),
-                         F.col("lat").cast("double").alias("lat"))
-    sphere = metric == "haversine"
-    if sphere:
-        lon, lat = F.radians("lon"), F.radians("lat")
-        at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
-    else:
-        at = {"x": F.col("lon"), "y": F.col("lat")}
-    axes, fine = list(at), [f"f{a}" for a in at]
-    box = place.agg(F.struct(
-        *[F.min(v).alias(a) for a, v in at.items()],
-        F.greatest(*[F.max(v) - F.min(v) for v in at.values()], F.lit(1e-9)).alias("span"),
-    )).scalar()
-
-    def finest(axis: str) -> Column:
-        scaled = F.floor((at[axis] - F.col(f"_b.{axis}")) / F.col("_b.span") * F.lit(float(2**_FINEST)))
-        return F.greatest(F.lit(0), F.least(scaled, F.lit(2**_FINEST - 1))).cast("long")
-
-    by_id = Window.partitionBy("lon", "lat").orderBy("id")
-    kept = place.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
-    gridded = kept.withColumn("_b", box).select(
-        "id", "lon", "lat", *[finest(a).alias(f) for a, f in zip(axes, fine)], F.col("_b.span").alias("span"),
-        (F.col("_n") == 1).alias("first"),
-    )
-
-    def distance(lon: str, lat: str) -> Column:
-        if sphere:
-            return haversine_km(F.col("qlon"), F.col("qlat"), F.col(lon), F.col(lat))
-        dlon, dlat = F.col(lon) - F.col("qlon"), F.col(lat) - F.col("qlat")
-        return F.sqrt(dlon * dlon + dlat * dlat)
-
-    def cells_of(level: str = "level") -> dict[str, Column]:
-        return {a: _ancestor(f, F.col(level)) for a, f in zip(axes, fine)}
-
-    def at_levels(rows: DataFrame, levels: Column) -> DataFrame:
-        return rows.withColumn("level", F.explode(levels)).withColumns(cells_of())
-
-    # the deepest counted cell of each occupied finest cell
-    occupied = gridded.groupBy(*fine).agg(F.count(F.lit(1)).alias("n"))
-    counted = F.array(*[F.lit(v) for v in range(0, _FINEST + 1, _STEP)])
-    cells = at_levels(occupied, counted)
-    full = cells.groupBy("level", *axes).agg(F.sum("n").alias("total")).filter(F.col("total") >= k + 1)
-    deepest = cells.join(full, ["level", *axes]).groupBy(*fine).agg(F.max("level").alias("level"))
-    located = gridded.join(deepest, fine, "left").withColumn("level", F.coalesce("level", F.lit(0)))
-
-    # bound: distance of the (k+1)-th candidate of that cell (the location's own nodes count)
-    homes = located.withColumns(cells_of())
-    queries = homes.filter("first").select(
-        "level", *axes, *fine, "span", F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    shared = at_levels(gridded.select("id", "lon", "lat", *fine), _used_levels(located)).drop(*fine)
-    order = Window.partitionBy("qlon", "qlat").orderBy("distance", "id")
-    inside = queries.join(shared, ["level", *axes]).withColumn("distance", distance("lon", "lat"))
-    bounds = inside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy(
-        "qlon", "qlat", *fine, "span"
-    ).agg(F.when(F.count(F.lit(1)) == k + 1, F.max("distance")).alias("radius"))
-
-    # the level whose cells are at least as wide as the bound and the rounding of coordinates; without a bound
-    # everything is within reach
-    width = F.col("radius")
-    if sphere:
-        width = 2.0 * F.sin(width / (2.0 * EARTH_RADIUS_KM)) + 4e-15
-    level = F.floor(F.log2(F.col("span") / (width * (1 + 1e-9) + F.col("span") * 2.0**-48)))
-    # stored once (one small row per location): it feeds both the level list and the search
-    reach = F.when(F.col("radius").isNull(), F.lit(0)).otherwise(F.least(F.greatest(level, F.lit(0)), F.lit(_FINEST)))
-    asking = cut_lineage(bounds.withColumn("level", reach.cast("int")))
-    asked = asking.select("level", "qlon", "qlat", "radius", _neighbour_cells(cells_of()).alias("c")).select(
-        "level", "c.*", "qlon", "qlat", "radius")
-    offered = at_levels(gridded.select("id", "lon", "lat", *fine), _used_levels(asking)).drop(*fine)
-    near = asked.join(offered, ["level", *axes]).withColumn("distance", distance("lon", "lat")).filter(
-        F.col("radius").isNull() | (F.col("distance") <= F.col("radius")))
-    nearest = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
-    answers = nearest.groupBy("qlon", "qlat").agg(
-        F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")
-    )
-
-    # every copy of a location gets its answer, without itself
-    back = place.join(answers, (F.col("lon") == F.col("qlon")) & (F.col("lat") == F.col("qlat")))
-    others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
-    return back.select(F.col("id").alias("src"), F.posexplode(others).alias("pos", "n")).select(
-        "src", F.col("n.id").alias("dst"), F.col("n.distance").alias("distance"),
-        (F.col("pos") + 1).alias("rank"),
-    )
-
-
 def pairs_within(nodes: DataFrame, max_km: float = 3.5) -> DataFrame:
     """Pairs src < dst whose planar distance is at most ``max_km``.
 
