@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -169,6 +171,29 @@ def test_exact_percentiles_equal_numpy(spark, n):
         assert got[p] == pytest.approx(float(np.quantile(data, p)), rel=1e-9, abs=1e-12)
 
 
+def test_order_keys_are_the_bits_of_the_numbers(spark):
+    rng = random.Random(5)
+    data = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1e300,
+            float("inf"), -float("inf"), 1.0, 1.0 - 2**-53, 1.0 + 2**-52, -3.5]
+    data += [math.ldexp(rng.uniform(1, 2), e) * rng.choice((1, -1)) for e in range(-1074, 1024)] + [2.0**e for e in range(-1074, 1024)]
+    df = spark.createDataFrame([(x,) for x in [*data, float("nan")]], "v DOUBLE")
+    for x, key in rows(stats.with_order_key(df, "v")):
+        bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert key == (2**63 - 1 if math.isnan(x) else -bits if x < 0 else bits), x
+
+
+def test_percentiles_beside_one_huge_value(spark):
+    rng = random.Random(6)
+    data = [rng.random() for _ in range(100_000)] + [1e300]
+    df = spark.createDataFrame([(x,) for x in [*data, None]], "v DOUBLE")
+    got = dict(rows(stats.exact_percentiles(df, "v", [0.5, 0.99999, 1.0])))
+    assert got == {p: pytest.approx(float(np.quantile(data, p)), rel=1e-12) for p in (0.5, 0.99999, 1.0)}
+    odd = spark.createDataFrame([(float("nan"),), (1.0,), (-float("inf"),), (2.0,)], "v DOUBLE")
+    got = dict(rows(stats.exact_percentiles(odd, "v", [0.0, 1 / 3, 1.0])))
+    assert got[0.0] == -float("inf") and got[1 / 3] == 1.0 and math.isnan(got[1.0])
+    assert rows(stats.exact_percentiles(df.limit(0), "v", [0.5])) == []
+
+
 def test_feedback_bias_by_hand(spark):
     data = [("fake", NOW), ("real", NOW - dt.timedelta(days=10)), ("real", None)]
     df = spark.createDataFrame(data, "label STRING, flagged_at TIMESTAMP")

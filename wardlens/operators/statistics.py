@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-# Equal ranges that the bracket of a percentile is cut into; only the one that holds the rank is ordered.
-RANGES = 4096
+# A percentile's value is found so many bits at a time, from the top, until all values that are left fit a pass.
+RADIX_BITS = 20
 
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -73,60 +73,76 @@ def dual_loss(df: DataFrame, heat: tuple[str, str], flood: tuple[str, str], weig
     )
 
 
-def exact_percentiles(df: DataFrame, column: str, probabilities: list[float], accuracy: int = 10_000) -> DataFrame:
-    """Percentiles with linear interpolation, exact, without sorting the table in one task.
+def with_order_key(df: DataFrame, value: str, name: str = "key") -> DataFrame:
+    """Adds a 64-bit integer that orders like the double ``value``: its exponent and fraction bits, negated for
+    negative numbers.
 
-    An approximate pass brackets each wanted rank between two values. A second pass counts the values in equal ranges of
-    each bracket; the third orders only the range that holds the rank. The bracket's rank error is bounded, so the rank
-    lies inside it or, after rounding, on the row next to it, which is the extreme value on that side.
+    NaN comes last, both zeros are one, subnormal numbers and infinities keep their places. Only exact steps are taken:
+    powers of two, their products and differences. Each step is a column of its own, so that none is computed twice.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    slack = 2.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probabilities]
-    highs = [min(1.0, p + slack) for p in probabilities]
-    brackets = values.agg(
-        F.percentile_approx("v", lows, accuracy).alias("lo"), F.percentile_approx("v", highs, accuracy).alias("hi"),
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
-    )
-    targets = brackets.select(
-        F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in probabilities]).alias("p"), "lo", "hi")).alias("t"),
-        "n", "vmin", "vmax",
-    ).select(
-        F.col("t.p").alias("p"), ((F.col("n") - 1) * F.col("t.p")).alias("pos"),
-        # opened to the extreme value at the ends of the order
-        F.when(F.col("t.p") <= slack, F.col("vmin")).otherwise(F.col("t.lo")).alias("lo"),
-        F.when(F.col("t.p") >= 1.0 - slack, F.col("vmax")).otherwise(F.col("t.hi")).alias("hi"),
-    )
-    # brackets and ranges are array constants (as long as the argument list), so no row is shuffled to meet them
-    constant = targets.agg(F.collect_list(F.struct("p", "pos", "lo", "hi"))).scalar()
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    part = F.coalesce(F.floor(F.try_divide(v - lo, hi - lo) * RANGES), F.lit(0))
-    slot = F.when(v < lo, -1).when(v > hi, RANGES).otherwise(F.least(part, F.lit(RANGES - 1))).cast("int")
-    ranges = values.withColumn("t", F.explode(constant)).select("v", "t.*").groupBy("p", "pos", slot.alias("slot")).agg(
-        F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
-    before = Window.partitionBy("p").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    rank, start = F.col("rank"), F.col("start")
-    holding = (
-        ranges.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
-        .filter((start <= rank) & (rank < start + F.col("c")))
-    )
-    # outside the bracket the rank is the row next to it
-    outside = F.col("slot").isin(-1, RANGES)
-    holding = holding.select(
-        "p", "pos", "rank", F.when(outside, rank).otherwise(start).alias("start"),
-        F.when(F.col("slot") == -1, F.col("most")).otherwise(F.col("least")).alias("least"),
-        F.when(F.col("slot") == RANGES, F.col("least")).otherwise(F.col("most")).alias("most"))
-    wanted = holding.agg(F.collect_list(F.struct("p", "pos", "rank", "start", "least", "most"))).scalar()
-    # a value shared by many rows is one row from here on
-    inside = values.withColumn("t", F.explode(wanted)).select("v", "t.*").filter(
-        (v >= F.col("least")) & (v <= F.col("most"))).groupBy("p", "pos", "rank", "start", "v").agg(
-        F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("p", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    hit = inside.withColumn("upto", upto).filter(start + F.col("upto") > rank).groupBy("p", "pos", "rank").agg(
-        F.min("v").alias("v"))
-    ends = hit.groupBy("p", "pos").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    return ends.select("p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("value"))
+    v, size, power, exponent = F.col(value), F.col("_size"), F.col("_power"), F.col("_exponent")
+    plain = size.between(2.0**-1022, 1.7976931348623157e308)
+    stepped = (
+        df.withColumn("_size", F.abs(v))
+        .withColumn("_exponent", F.when(plain, F.floor(F.log2(size)).cast("int")))
+        .withColumn("_power", F.pow(F.lit(2.0), exponent))
+        .withColumn("_exponent", exponent + F.when(power > size, -1).when(power * 2.0 <= size, 1).otherwise(0))
+        .withColumn("_power", (size * F.pow(F.lit(2.0), -exponent) - 1.0) * float(2**52))
+        .withColumn("_key", F.when(plain, F.shiftleft((exponent + 1023).cast("long"), 52) + power.cast("long"))
+                    .when(F.isnan(size), F.lit(2**63 - 1).cast("long"))
+                    .when(size > 1.0, F.lit(2047 << 52).cast("long"))
+                    .otherwise((size * float(2**537) * float(2**537)).cast("long"))))
+    return stepped.select(*df.columns, F.when(v < 0, -F.col("_key")).otherwise(F.col("_key")).alias(name))
+
+
+def exact_percentiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
+    """Percentiles with linear interpolation, exact, by radix selection: nothing is sorted, whatever the values are.
+
+    Values become integers of the same order. The first pass counts them by their upper 20 bits, which tells each wanted
+    rank's upper bits; each further pass counts 20 bits more of the values that share them, or all that are left once
+    these are at most 2^20 values. A pass shuffles at most 2^20 counters for each of the (at most twice as many as
+    ``probabilities``) prefixes; only the ranks with the bits found so far, as many rows, come back between passes.
+    Outliers and ties cost nothing extra. Nulls are left out, NaN is the largest value; without values there are no
+    percentiles.
+    """
+    values = with_order_key(df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull()), "v")
+    spark = df.sparkSession
+    known, shift = None, 64
+    while shift:
+        few = known and sum({r["bits"]: r["c"] for r in known}.values()) <= 1 << RADIX_BITS
+        width = shift if few else min(RADIX_BITS, shift)
+        shift -= width
+        prefix, rows = F.lit(0).cast("long"), values
+        if known:
+            prefix = F.shiftright("key", shift + width)
+            rows = values.filter(prefix.isin(sorted({r["bits"] for r in known})))
+        counters = rows.groupBy(prefix.alias("prefix"), F.shiftright("key", shift).alias("bits")).agg(
+            F.count(F.lit(1)).alias("c"), F.max("v").alias("v"))
+        group = Window.partitionBy("prefix")
+        before = F.sum("c").over(group.orderBy("bits").rowsBetween(Window.unboundedPreceding, -1))
+        placed = counters.select("prefix", "bits", "c", "v", F.coalesce(before, F.lit(0)).alias("start"), F.sum("c").over(group).alias("n"))
+        if known is None:
+            pos = (F.col("n") - 1) * F.col("p")
+            asked = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn(
+                "pos", pos).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos"))))).withColumn(
+                "below", F.lit(0).cast("long"))
+        else:
+            table = F.array(*[F.struct(
+                F.lit(r["p"]).alias("p"), F.lit(r["pos"]).alias("pos"), F.lit(r["rank"]).cast("long").alias("rank"),
+                F.lit(r["below"]).cast("long").alias("below"), F.lit(r["bits"]).cast("long").alias("prefix")) for r in known])
+            asked = placed.withColumn("_r", F.explode(F.filter(table, lambda r: r["prefix"] == F.col("prefix")))).select(
+                "bits", "c", "v", "start", "_r.p", "_r.pos", "_r.rank", "_r.below")
+        start = F.col("below") + F.col("start")
+        known = asked.filter((start <= F.col("rank")) & (F.col("rank") < start + F.col("c"))).select(
+            "p", "pos", "rank", "bits", "c", start.alias("below"), "v").collect()
+        if not known:
+            break
+    found = spark.createDataFrame(
+        [(r["p"], r["pos"], r["v"]) for r in known], "p double, pos double, v double")
+    ends = found.groupBy("p", "pos").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    between = F.col("pos") - F.floor("pos")
+    return ends.select("p", F.when(between == 0, F.col("a")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * between).alias("value"))
 
 
 def node_error_percentiles(
