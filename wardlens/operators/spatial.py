@@ -9,10 +9,10 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geo import GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, inside_edges, planar_km, ring_edges
+from ..functions.geo import GRID_COLUMNS, PLANAR_KM_PER_DEGREE, haversine_km, planar_km
+from .cover import inside_cell, polygon_cells
 from .neighbours import nearest_neighbours  # noqa: F401 - part of this module's interface
 
-_LEAST_DEGREES = 1e-9  # boxes of rings count as this wide at least
 
 
 def _neighbour_cells(cells: dict[str, Column]) -> Column:
@@ -62,36 +62,20 @@ def pair_distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def locate_points(points: DataFrame, polygons: DataFrame, point_key: str) -> DataFrame:
     """First polygon (by feature_order) that contains each point: ``points`` + ward_id, null where none does.
 
-    ``points`` has lon, lat and a unique key; ``polygons`` has feature_order, ward_id and ring. A ring's level is the
-    power of two that is at least as wide as its own box, so it is entered in four cells at most, and one large ring
-    among many small ones costs no more than they do. Points are looked up at the levels that occur.
+    ``points`` has lon, lat and a unique key; ``polygons`` has feature_order, ward_id and ring. Polygons become quadtree
+    covers (``cover.polygon_cells``) and points meet them by equality of cells at the few levels that occur. A point in
+    an inner cell is inside without any test; in a border cell it is tested against the at most 16 edges that pass it,
+    whatever the ring's size.
     """
-    boxed = polygons.select(
-        "feature_order", "ward_id", "ring",
-        F.array_min(F.transform("ring", lambda p: p[0])).alias("w"),
-        F.array_max(F.transform("ring", lambda p: p[0])).alias("e"),
-        F.array_min(F.transform("ring", lambda p: p[1])).alias("s"),
-        F.array_max(F.transform("ring", lambda p: p[1])).alias("n"),
-    )
-    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(_LEAST_DEGREES))
-    leveled = boxed.withColumn("level", F.ceil(F.log2(extent)).cast("int"))
-
-    def cell(column: str) -> Column:
-        return F.floor(F.col(column) / F.pow(F.lit(2.0), F.col("level")))
-
-    indexed = (
-        leveled.withColumn("x", F.explode(F.sequence(cell("w"), cell("e"))))
-        .withColumn("y", F.explode(F.sequence(cell("s"), cell("n"))))
-        .select("level", "x", "y", "feature_order", F.col("ward_id").alias("_ward"),
-                ring_edges(F.col("ring")).alias("edges"), "w", "e", "s", "n")
-    )
-    placed = points.withColumn("level", F.explode(_used_levels(leveled))).withColumn("x", cell("lon")).withColumn("y", cell("lat"))
-    in_box = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
-    hits = placed.join(indexed, ["level", "x", "y"]).filter(
-        in_box & inside_edges(F.col("lon"), F.col("lat"), F.col("edges"))
-    )
-    first = hits.groupBy(point_key).agg(F.min_by("_ward", "feature_order").alias("ward_id"))
-    return points.join(first, point_key, "left")
+    cells = polygon_cells(polygons)
+    placed = points.withColumn("level", F.explode(_used_levels(cells)))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    placed = placed.withColumn("x", F.floor(F.col("lon") / size)).withColumn("y", F.floor(F.col("lat") / size))
+    hits = placed.join(cells, ["level", "x", "y"]).filter(
+        (F.size("edges") == 0) | inside_cell(F.col("lon"), F.col("lat")))
+    first = hits.groupBy(point_key).agg(F.min_by("ward", "feature_order").alias("ward_id"))
+    kind = polygons.schema["ward_id"].dataType
+    return points.join(first.withColumn("ward_id", F.col("ward_id").cast(kind)), point_key, "left")
 
 
 def pixel_wards(
