@@ -140,6 +140,42 @@ def _importance(t: Tables) -> DataFrame:
         F.slice(size, 33, 32).alias("flood_importance"))
 
 
+# The whole training set: every step of every sample with all twelve scaled features and both targets.
+_FEATURE_SQL = {
+    "ndvi": "ndvi", "ndbi": "ndbi", "impervious_norm": "(least(greatest(impervious_pct, 0.0), 100.0)) / (100.0 + 1e-8)",
+    "lst_norm": "(least(greatest(lst_celsius, 20.0), 50.0) - 20.0) / (30.0 + 1e-8)",
+    "rainfall_log": "ln(greatest(rainfall_mm_24h, 0.0) + 0.1) / 6.0", "pm25_log": "ln(greatest(pm25_ugm3, 0.0) + 0.1) / 6.0",
+    "pop_log": "ln(greatest(population_density, 0.0) + 0.1) / 12.0", "area_norm": "CAST(0.5 AS DOUBLE)",
+    "industrial_weight": "industrial_weight", "lon_norm": "CAST(0.5 AS DOUBLE)", "lat_norm": "CAST(0.5 AS DOUBLE)",
+    "heat_proxy": "(least(greatest(lst_celsius, 20.0), 50.0) - 20.0) / (30.0 + 1e-8)",
+}
+_TARGET_SQL = {
+    "heat_stress_score": "least(greatest(100.0 * (least(greatest(lst_celsius, 20.0), 50.0) - 20.0) / (30.0 + 1e-8), 0.0), 100.0)",
+    "flood_risk_score": "least(greatest(30.0 * ln(greatest(rainfall_mm_24h, 0.0) + 0.1) / 6.0, 0.0), 100.0)",
+}
+
+
+@query("X12 P23 A28 W4 W5 W8", "snapshots", " ".join([*history.FEATURES, *history.TARGETS]), f"""
+WITH {_INDEXED},
+f AS (SELECT ward_id, snapshot_idx, {", ".join(f"{v} AS {k}" for k, v in (_FEATURE_SQL | _TARGET_SQL).items())} FROM indexed),
+d AS (SELECT ward_id, snapshot_idx, {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in (*_FEATURE_SQL, *_TARGET_SQL))}
+  FROM (SELECT ward_id, s AS snapshot_idx FROM (SELECT DISTINCT ward_id FROM indexed), (SELECT DISTINCT snapshot_idx AS s FROM indexed))
+  LEFT JOIN f USING (ward_id, snapshot_idx)),
+m AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) + 1e-8 AS s_{c}" for c in _FEATURE_SQL)} FROM d),
+z AS (SELECT ward_id, snapshot_idx, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _FEATURE_SQL)}, {", ".join(_TARGET_SQL)} FROM d, m),
+b AS (SELECT count(*) AS n, max(snapshot_idx) AS last FROM (SELECT DISTINCT snapshot_idx FROM d WHERE snapshot_idx >= 8))
+SELECT t.ward_id, t.snapshot_idx, CAST(p.snapshot_idx - t.snapshot_idx + 8 AS INTEGER) AS step,
+       CASE WHEN t.snapshot_idx > last - greatest(1, CAST(floor(n * 0.2) AS BIGINT)) THEN 'validation' ELSE 'train' END AS split,
+       {", ".join(f"p.{c}" for c in _FEATURE_SQL)}, {", ".join(f"t.{c}" for c in _TARGET_SQL)}
+FROM z t JOIN z p ON p.ward_id = t.ward_id AND p.snapshot_idx BETWEEN t.snapshot_idx - 8 AND t.snapshot_idx - 1, b
+WHERE t.snapshot_idx >= 8""")
+def training_steps(t: Tables) -> DataFrame:
+    samples = training.training_windows(t.snapshots)
+    steps = samples.select("ward_id", "snapshot_idx", "split", *history.TARGETS, F.posexplode("x_seq").alias("step", "x"))
+    return steps.select("ward_id", "snapshot_idx", "step", "split", *history.TARGETS, *[
+        F.col("x")[k].alias(name) for k, name in enumerate(history.FEATURES)])
+
+
 @query("W7 X22 N5", "", "importance", f"""
 WITH {_IMPORTANCE}
 SELECT ward_id, CAST(rn - 1 AS INTEGER) AS rank, feature, share AS importance FROM (
@@ -168,6 +204,20 @@ def main_feature_of_wards(t: Tables) -> DataFrame:
     return report.select("ward_id", "heat_stress", top["feature"].alias("feature"), top["importance"].alias("importance"))
 
 
+@query("X22 N5 W7", "scores", "heat_stress flood_risk importance", f"""
+WITH {_IMPORTANCE}
+SELECT s.ward_id, heat_stress_score AS heat_stress, flood_risk_score AS flood_risk, CAST(rn - 1 AS INTEGER) AS rank, feature,
+       share AS importance FROM (
+  SELECT *, c / (sum(c) OVER (PARTITION BY ward_id) + 1e-12) AS share,
+         row_number() OVER (PARTITION BY ward_id ORDER BY c DESC, i) AS rn FROM imp) i JOIN scores s USING (ward_id) WHERE rn <= 4""")
+def main_features_of_wards(t: Tables) -> DataFrame:
+    """The report's four main features of every ward."""
+    report = attribution.ward_report(t.scores, _importance(t), _NAMES)
+    return report.select(
+        "ward_id", "heat_stress", "flood_risk", F.posexplode("top_contributing_features").alias("rank", "f")).select(
+        "ward_id", "heat_stress", "flood_risk", "rank", "f.feature", "f.importance")
+
+
 @query("N6", "", "value", "SELECT vec_id, i AS pos, CAST(embedding[i + 1] AS DOUBLE) * 2 AS value FROM embeddings, range(0, 64) r(i)")
 def reassembled_vectors(t: Tables) -> DataFrame:
     cells = nested.explode_vector(t.base("embeddings"), "vec_id", "embedding")
@@ -185,6 +235,18 @@ def wide_snapshots(t: Tables) -> DataFrame:
     return wide.select("snapshot_idx", *[F.col(str(i)).alias(f"w{i}") for i in (1, 2, 3)])
 
 
+_EVERY_WARD = range(1, WARDS + 1)
+
+
+@query("N2", "snapshots", " ".join(f"w{i}" for i in _EVERY_WARD), f"""
+WITH {_INDEXED} SELECT snapshot_idx, {", ".join(f"max(lst_celsius) FILTER (WHERE ward_id = {i}) AS w{i}" for i in _EVERY_WARD)}
+FROM indexed GROUP BY snapshot_idx""")
+def wide_city_snapshots(t: Tables) -> DataFrame:
+    """One row per snapshot with a column for every ward of the city."""
+    wide = nested.wide_snapshot(history.with_snapshot_index(t.snapshots), "snapshot_idx", list(_EVERY_WARD), "lst_celsius")
+    return wide.select("snapshot_idx", *[F.col(str(i)).alias(f"w{i}") for i in _EVERY_WARD])
+
+
 @query("N1", "readings", "temperature_c", "SELECT event_id, sensor_id, ts, temperature_c FROM readings")
 def record_round_trip(t: Tables) -> DataFrame:
     rows = t.readings.select("event_id", "sensor_id", "ts", "temperature_c")

@@ -15,7 +15,7 @@ def _at(value: str):
     return F.to_timestamp_ntz(F.lit(value))
 
 
-_ALERTS_SQL = """
+ALERTS_SQL = """
 SELECT ward_id, 'heat_wave' AS alert_type, CASE WHEN heat_stress_score >= 75 THEN 'critical' ELSE 'high' END AS severity,
        CASE WHEN heat_stress_score >= 75 THEN 'Extreme heat stress' ELSE 'High heat stress' END || ' in ' || ward_name
          || ': ' || CAST(round_even(heat_stress_score, 0) AS INTEGER) || '/100' AS message,
@@ -30,13 +30,13 @@ SELECT ward_id, 'flood_warning', CASE WHEN flood_risk_score >= 70 THEN 'critical
 FROM risks WHERE flood_risk_score >= 50"""
 
 
-@query("X3 U5 P34 T9", "risks", "value threshold", _ALERTS_SQL)
+@query("X3 U5 P34 T9", "risks", "value threshold", ALERTS_SQL)
 def threshold_alerts(t: Tables) -> DataFrame:
     return jobs.threshold_alerts(t.risks, _at("2024-02-01 00:00:00"))
 
 
 @query("U3 L6 T7", "risks", "value", f"""
-WITH alerts AS ({_ALERTS_SQL}),
+WITH alerts AS ({ALERTS_SQL}),
 tagged AS (
   SELECT *, 0 AS new FROM alerts
   UNION ALL SELECT * REPLACE (timestamp + to_minutes(ward_id % 3) AS timestamp), 1 FROM alerts),

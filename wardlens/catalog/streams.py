@@ -12,6 +12,7 @@ from ..sources.files import follow_parquet
 from ..streaming import alerts as alert_jobs, arrivals as arrival_jobs, drift as drift_jobs, windows as window_jobs
 from .readings import _WINDOW_DOUBLES, _WINDOW_SQL
 from .registry import query
+from .risk_jobs import ALERTS_SQL
 from .views import Tables
 
 # A window is closed once the newest event is 30 seconds past its end.
@@ -126,11 +127,7 @@ def streamed_alert_keys(t: Tables) -> DataFrame:
     return stored.groupBy("ward_id", "ts_ms").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T9 X3", "risks", "", """
-SELECT ward_id, 'heat_wave' AS alert_type, CASE WHEN heat_stress_score >= 75 THEN 'critical' ELSE 'high' END AS severity
-FROM risks WHERE heat_stress_score >= 60
-UNION ALL SELECT ward_id, 'flood_warning', CASE WHEN flood_risk_score >= 70 THEN 'critical' ELSE 'high' END
-FROM risks WHERE flood_risk_score >= 50""")
+@query("T9 X3 P34", "risks", "value threshold", ALERTS_SQL.replace("TIMESTAMP '2024-02-01 00:00:00'", "(SELECT max(ts) FROM events)"))
 def evaluated_alerts(t: Tables) -> DataFrame:
     """One evaluation of the rules per micro-batch of events."""
     out = scratch_path(t.spark, "evaluated")
@@ -139,7 +136,7 @@ def evaluated_alerts(t: Tables) -> DataFrame:
         ticks, lambda: t.risks, os.path.join(out, "table"), os.path.join(out, "state"), once=True))
     shape = threshold_alerts(t.risks, F.current_timestamp()).schema
     stored = t.spark.read.schema(shape).option("recursiveFileLookup", True).parquet(os.path.join(out, "table"))
-    return stored.select("ward_id", "alert_type", "severity")
+    return stored.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query("T10 A14", "", "psi", """
