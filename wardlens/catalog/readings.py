@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import aggregates, joins, ranking, running, series
+from ..operators import aggregates, joins, ranking, running, series, sliding
 from ..plans import dashboard
 from ..schemas import RAW_IOT
 from ..sources.messages import parse_sensor_messages, valid_json
@@ -196,3 +196,28 @@ def latest_up_values(t: Tables) -> DataFrame:
         "ts", "event_id", F.create_map(F.lit("job"), F.col("event_type")).alias("labels"), "value")
     keyed = samples.withColumn("job", series.label("job")).drop("labels")
     return series.latest_value(keyed, ["job"], ["ts", "event_id"]).select("job", "ts", "value")
+
+
+@query("A8 F9", "readings", "", """
+WITH s AS (SELECT DISTINCT sensor_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM readings),
+w AS (SELECT m + k AS minute, count(DISTINCT sensor_id) AS n FROM s, range(0, 10) r(k) GROUP BY 1)
+SELECT make_timestamp(minute * 60000000) AS minute_start, coalesce(n, 0) AS active
+FROM (SELECT unnest(range((SELECT min(m) FROM s), (SELECT max(m) + 1 FROM s))) AS minute) LEFT JOIN w USING (minute)""")
+def active_sensors_by_minute(t: Tables) -> DataFrame:
+    """Distinct sensors of the last ten minutes, for every minute of the table."""
+    found = sliding.active_keys(t.readings, "sensor_id")
+    return found.withColumn("minute_start", F.col("minute_start").cast("timestamp_ntz"))
+
+
+@query("A8", "readings", "", """
+WITH s AS (SELECT DISTINCT sensor_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM readings),
+w AS (SELECT m + k AS minute, count(DISTINCT sensor_id) AS n FROM s, range(0, 10) r(k) GROUP BY 1)
+SELECT make_timestamp(minute * 60000000) AS minute_start, true AS within FROM w WHERE minute <= (SELECT max(m) FROM s)""")
+def estimated_sensors_by_minute(t: Tables) -> DataFrame:
+    """The same from sketches of single minutes, held against the exact counts: within five standard errors, or one."""
+    exact = sliding.active_keys(t.readings, "sensor_id")
+    guess = sliding.active_keys_estimate(sliding.minute_sketches(t.readings, "sensor_id"))
+    both = guess.withColumnRenamed("active", "guess").join(exact, "minute_start")
+    allowed = F.greatest(F.lit(1.0), F.col("active") * (5 * 1.04 / 64))
+    return both.select(F.col("minute_start").cast("timestamp_ntz").alias("minute_start"),
+                       (F.abs(F.col("guess") - F.col("active")) <= allowed).alias("within"))
