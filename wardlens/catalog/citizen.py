@@ -8,6 +8,9 @@ from ..functions.geo import SERVICE_BBOX
 from ..operators import aggregates, filters, images
 from ..operators.ranking import most_recent
 from ..plans import reports as jobs
+from ..session import scratch_path
+from ..sinks.rasters import write_images
+from ..sources.rasters import read_image_files
 from .registry import query
 from .views import Tables
 
@@ -103,7 +106,8 @@ def _image_pixels(t: Tables) -> DataFrame:
 _PIXEL_CLASSES = """
 px AS (SELECT l_suppkey AS image_id, l_orderkey % 100 AS y, CAST(l_suppkey * 2 % 120 + l_quantity AS INTEGER) AS r,
               CAST(l_partkey % 60 + l_suppkey % 100 AS INTEGER) AS g, CAST(l_suppkey % 70 + l_linenumber * 15 AS INTEGER) AS b
-       FROM lineitem),
+       FROM lineitem),"""
+_CLASSES = """
 bright AS (SELECT *, (r + g + b) / 3.0 AS br FROM px WHERE y >= 40),
 classes AS (
   SELECT image_id,
@@ -114,6 +118,7 @@ classes AS (
     avg(CASE WHEN g > r + 20 AND g > b + 20 THEN 1.0 ELSE 0.0 END) AS green,
     avg(CASE WHEN r > 160 AND g > 130 AND b < 110 THEN 0.5 ELSE 0.0 END) AS dry
   FROM bright GROUP BY image_id)"""
+_PIXEL_CLASSES += _CLASSES
 _IMAGE_DOUBLES = "water mud dark green dry raw_flood_score bias_applied confidence"
 
 
@@ -122,8 +127,7 @@ def pixel_classes(t: Tables) -> DataFrame:
     return images.pixel_classes(_image_pixels(t))
 
 
-@query("X20 A20 A21", "feedback", _IMAGE_DOUBLES, f"""
-WITH {_PIXEL_CLASSES},
+_VERDICTS = """
 w AS (SELECT label, CASE WHEN floor((epoch_us(TIMESTAMP '2024-02-01 12:00:00') - epoch_us(flagged_at)) / 86400000000) < 3
                          THEN 2.0 ELSE 1.0 END AS weight FROM feedback),
 bias AS (SELECT least(greatest(coalesce(sum(weight) FILTER (WHERE label = 'real'), 0) * 0.01
@@ -131,11 +135,39 @@ bias AS (SELECT least(greatest(coalesce(sum(weight) FILTER (WHERE label = 'real'
 raw AS (SELECT c.*, least(greatest(water * 0.45 + mud * 0.30 + dark * 0.10 + green * -0.15 + dry * -0.10, 0.0), 1.0) AS raw_flood_score,
                bias_applied FROM classes c, bias),
 conf AS (SELECT *, 1.0 / (1.0 + exp(-(least(greatest(raw_flood_score + bias_applied, 0.0), 1.0) * 10.0 - 2.5))) AS confidence FROM raw)
-SELECT *, confidence >= 0.52 AS is_flood, CASE WHEN confidence >= 0.52 THEN 'flood' ELSE 'no_flood' END AS label FROM conf""")
+SELECT *, confidence >= 0.52 AS is_flood, CASE WHEN confidence >= 0.52 THEN 'flood' ELSE 'no_flood' END AS label FROM conf"""
+
+
+@query("X20 A20 A21", "feedback", _IMAGE_DOUBLES, f"WITH {_PIXEL_CLASSES},{_VERDICTS}")
 def image_verdicts(t: Tables) -> DataFrame:
     return images.score_images(_image_pixels(t), t.feedback, _at("2024-02-01 12:00:00"))
 
 
+_FILE_PIXELS = """
+given AS (SELECT l_suppkey AS image_id, l_orderkey % 100 AS y, l_partkey % 16 AS x, max(CAST(l_suppkey * 2 % 120 + l_quantity AS INTEGER)) AS r,
+                 max(CAST(l_partkey % 60 + l_suppkey % 100 AS INTEGER)) AS g, max(CAST(l_suppkey % 70 + l_linenumber * 15 AS INTEGER)) AS b
+          FROM lineitem GROUP BY ALL),
+px AS (SELECT image_id, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b
+       FROM (SELECT * FROM (SELECT DISTINCT image_id FROM given), (SELECT unnest(range(100)) AS y), (SELECT unnest(range(16)) AS x))
+       LEFT JOIN given USING (image_id, y, x)),"""
+
+
+@query("S10 X20 A20 A21", "feedback", _IMAGE_DOUBLES, f"WITH {_FILE_PIXELS}{_CLASSES},{_VERDICTS}")
+def image_verdicts_from_files(t: Tables) -> DataFrame:
+    """Images written as RGB files of 100 by 16 pixels, read back strip by strip, and scored."""
+    path = scratch_path(t.spark, "images")
+    x = (F.col("l_partkey") % 16).cast("int")
+    placed = t.base("lineitem").withColumn("image_id", F.col("l_suppkey")).select(
+        "image_id", x.alias("x"), (F.col("l_orderkey") % 100).cast("int").alias("y"),
+        (F.col("l_suppkey") * 2 % 120 + F.col("l_quantity")).cast("int").alias("r"),
+        (F.col("l_partkey") % 60 + F.col("l_suppkey") % 100).cast("int").alias("g"),
+        (F.col("l_suppkey") % 70 + F.col("l_linenumber") * 15).cast("int").alias("b"))
+    one_each = placed.groupBy("image_id", "x", "y").agg(*[F.max(c).alias(c) for c in "rgb"])
+    write_images(one_each, path, 100, 16).write.format("noop").mode("overwrite").save()
+    pixels = read_image_files(t.spark, path).withColumn("image_id", F.col("image_id").cast("long"))
+    return images.score_images(pixels, t.feedback, _at("2024-02-01 12:00:00"))
+
+
 @query("X19 K11 U8", "reports feedback", "", """
 SELECT id, id IN (SELECT report_id FROM feedback WHERE label = 'fake') AS is_fake,
        id IN (SELECT report_id FROM feedback WHERE label = 'real') AS bbmp_confirmed

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import graph, nested, sets, spatial
 from ..plans import satellite, wards
+from ..session import scratch_path
+from ..sinks.rasters import write_bands
+from ..sources.rasters import BANDS, bands_to_pixels, complete_scenes, read_band_files
 from .formulas import PIXEL_INDEX_SQL
 from .registry import query
 from .views import Tables
@@ -28,6 +31,24 @@ def satellite_features(t: Tables) -> DataFrame:
         t.pixels, F.lit("2024-01-01").cast("date"), F.lit(256), F.lit(256), keys=["scene_id"])
 
 
+@query("S7 X1 A2 J12 U1", "pixels", "ndvi ndbi impervious_pct lst_celsius", f"""
+WITH {_TILES},
+raster AS (SELECT scene_id, "row", col, {", ".join(f"max({b}) AS {b}" for b in BANDS)} FROM pixels GROUP BY ALL)
+SELECT scene_id, ward_id, avg(ndvi) AS ndvi, avg(ndbi) AS ndbi, avg(impervious_pct) AS impervious_pct,
+       avg(lst_celsius) AS lst_celsius, DATE '2024-01-01' AS scene_date
+FROM ({PIXEL_INDEX_SQL.replace("FROM pixels", "FROM raster")}) p
+JOIN tiles ON "row" >= r0 AND "row" < r1 AND col >= c0 AND col < c1 GROUP BY scene_id, ward_id""")
+def satellite_features_from_files(t: Tables) -> DataFrame:
+    """Scenes written as one TIFF file per band, read back strip by strip, and reduced to ward features."""
+    path = scratch_path(t.spark, "scenes")
+    one_each = t.pixels.groupBy("scene_id", "row", "col").agg(*[F.max(b).alias(b) for b in BANDS])
+    write_bands(one_each, path, 256, 256).write.format("noop").mode("overwrite").save()
+    samples = read_band_files(t.spark, path)
+    whole = samples.join(complete_scenes(samples).select("scene_id"), "scene_id", "left_semi")
+    return satellite.satellite_features(
+        bands_to_pixels(whole), F.lit("2024-01-01").cast("date"), F.lit(256), F.lit(256), keys=["scene_id"])
+
+
 @query("J12", "pixels", "", f"""
 WITH {_TILES}
 SELECT ward_id, count(*) AS pixels FROM pixels JOIN tiles ON "row" >= r0 AND "row" < r1 AND col >= c0 AND col < c1

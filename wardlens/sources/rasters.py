@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import BBox
+from .tiff import read_samples
 
 # The bands a scene needs.
 BANDS = ("b2", "b3", "b4", "b5", "b6", "b7", "b10")
@@ -15,6 +16,23 @@ def bands_to_pixels(samples: DataFrame) -> DataFrame:
     return samples.groupBy("scene_id", "row", "col").pivot("band", list(BANDS)).agg(F.first("dn"))
 
 
+def read_band_files(spark: SparkSession, path: str, group_bytes: int = 4 << 20) -> DataFrame:
+    """Long samples (scene_id, row, col, band, dn) of ``<scene>_<BAND>.tif`` files; 0 is no data and left out."""
+    named = F.regexp_extract("file", r"(?i)^(.+)_(B[0-9]+)\.tiff?$", 1)
+    band = F.lower(F.regexp_extract("file", r"(?i)^(.+)_(B[0-9]+)\.tiff?$", 2))
+    return read_samples(spark, path, group_bytes).filter("value <> 0").select(
+        named.alias("scene_id"), "row", "col", band.alias("band"), F.col("value").cast("int").alias("dn")).filter("band <> ''")
+
+
+def read_image_files(spark: SparkSession, path: str, group_bytes: int = 4 << 20) -> DataFrame:
+    """Pixels (image_id, x, y, r, g, b, height, width) of RGB TIFF files; image_id is the file's name without its end."""
+    image = F.regexp_extract("file", r"(?i)^(.+)\.tiff?$", 1)
+    wide = read_samples(spark, path, group_bytes).groupBy(
+        image.alias("image_id"), F.col("col").alias("x"), F.col("row").alias("y"), "height", "width").agg(
+        *[F.max(F.when(F.col("sample") == k, F.col("value").cast("int"))).alias(c) for k, c in enumerate("rgb")])
+    return wide.select("image_id", "x", "y", "r", "g", "b", "height", "width")
+
+
 def complete_scenes(samples: DataFrame) -> DataFrame:
     """Scenes that have every band (long samples)."""
     known = samples.filter(F.col("band").isin(*BANDS))
