@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import histograms
 from ..plans.risk import threshold_alerts
 from ..session import scratch_path
 from ..sources.files import follow_parquet
@@ -161,3 +162,32 @@ def streamed_drift(t: Tables) -> DataFrame:
         once=True))
     return t.spark.read.schema("metric STRING, psi DOUBLE, level STRING").option("recursiveFileLookup", True).parquet(
         os.path.join(out, "table"))
+
+
+@query("T10 A14 K12", "", "psi", """
+WITH b AS (SELECT value AS v, 0 AS side FROM events UNION ALL SELECT value * 1.5::DOUBLE, 1 FROM events),
+r AS (SELECT min(v) AS lo, max(v) AS hi, CAST(ceil(log2((max(v) - min(v)) / 10)) AS INTEGER) - 1 AS s FROM b),
+l AS (SELECT CASE WHEN floor(hi / pow(2, s)) - floor(lo / pow(2, s)) < 10 THEN s
+                  WHEN floor(hi / pow(2, s + 1)) - floor(lo / pow(2, s + 1)) < 10 THEN s + 1 ELSE s + 2 END AS level, lo, hi FROM r),
+c AS (SELECT CAST(floor(v / pow(2, level)) AS BIGINT) AS place, count(*) FILTER (WHERE side = 0) AS c0, count(*) FILTER (WHERE side = 1) AS c1
+      FROM b, l GROUP BY 1),
+g AS (SELECT unnest(range(CAST(floor(lo / pow(2, level)) AS BIGINT), CAST(floor(hi / pow(2, level)) AS BIGINT) + 1)) AS place FROM l),
+s AS (SELECT greatest(coalesce(c0, 0) / ((SELECT count(*) FROM events) + 1e-8), 1e-6) AS e,
+             greatest(coalesce(c1, 0) / ((SELECT count(*) FROM events) + 1e-8), 1e-6) AS a FROM g LEFT JOIN c USING (place))
+SELECT 'pm25' AS metric, sum((a - e) * ln(a / e)) AS psi, true AS several FROM s""")
+def streamed_drift_sketches(t: Tables) -> DataFrame:
+    """Readings raised by half, in one micro-batch per file, against a baseline sketch taken once."""
+    out = scratch_path(t.spark, "sketches")
+
+    def long(df: DataFrame, factor: float) -> DataFrame:
+        return df.select(F.lit("pm25").alias("metric"), (F.col("pm25") * factor).alias("value"))
+
+    histograms.sketch(long(t.readings, 1.0)).write.parquet(os.path.join(out, "baseline"))
+    baseline = t.spark.read.parquet(os.path.join(out, "baseline"))
+    rows = t.readings.select("pm25")
+    rows.repartition(3).write.parquet(os.path.join(out, "landed"))
+    stream = long(follow_parquet(t.spark, os.path.join(out, "landed"), rows.schema, files_per_trigger=1), 1.5)
+    _finish(drift_jobs.monitor_sketches(stream, baseline, os.path.join(out, "table"), os.path.join(out, "state"), once=True))
+    reports = t.spark.read.parquet(os.path.join(out, "table", "reports")).agg((F.count_distinct("batch") >= 3).alias("several"))
+    whole = histograms.stability(baseline, drift_jobs.stream_sketch(stream, os.path.join(out, "table")))
+    return whole.withColumn("several", reports.scalar())
