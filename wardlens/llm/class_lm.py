@@ -19,8 +19,8 @@ from .store import stored
 LEXICON = 20_000
 CLASSES = 64
 PARTS = 4
-# The exchange ends when a whole sweep over its words raises the likelihood by no more than this part of it.
-TOLERANCE = 1e-4
+# The exchange ends when a whole sweep over its words adds no more than this part to what the sweeps before it gained.
+TOLERANCE = 0.01
 # Documents whose words share one table in a task, and words after which such a block ends.
 BLOCK_BITS, BLOCK_WORDS = 13, 4 << 20
 SLICE = 256
@@ -156,7 +156,7 @@ def exchange(
     Codes come in descending order of frequency and start in class code % classes; other words and the end have a class
     of their own each. In each step the words of one part are tried in parallel against the same state and those that
     gain move together; should that lower the likelihood, only the better half of them moves, and so on. Sweeps go on
-    until one gains no more than ``tolerance``. The table stays distributed, one row per word with its neighbours; the
+    until one adds no more than ``tolerance`` to the gain of all. The table stays distributed, one row per word with its neighbours; the
     driver holds a class per lexicon word and the classes' transitions, both bounded by parameters.
     """
     width = classes + 2
@@ -210,10 +210,10 @@ def exchange(
     counts = transitions(state)
     if n_words == 0:
         return state, counts
-    best = mark = value(counts)
+    best = mark = start = value(counts)
     for step in counter():
         if step and step % parts == 0:
-            if best - mark <= tolerance * abs(mark):
+            if best - mark <= tolerance * (best - start):
                 break
             mark = best
         found = moves(state, counts, step % parts)
