@@ -15,7 +15,7 @@ from wardlens.catalog import MODULES, load  # noqa: E402
 # Items whose registered query cannot exist here, or that are settled outside the catalog.
 NOTES = {
     "S6": "`sources.files.read_jdbc`; needs a driver jar, so it has no query or test here",
-    "S10": "`sources.images.read_images`, `image_pixels`; tests/test_io.py (image files)",
+    "S10": "RGB TIFF files; other formats by `sources.images.read_images`, tests/test_io.py",
     "S1": "`sources.messages.kafka_messages` needs the connector jar; the same parse runs over files",
     "K1": "`sinks.messages.write_topic`, `stream_to_topic` need the connector jar; the file form is compared",
     "K13": "`sinks.files.write_report`; tests/test_io.py",
@@ -24,13 +24,58 @@ NOTES = {
     "D3": "ships a linear scorer; no trained network",
     "X24": "heat and flood from two lags of own and neighbours' values; linear, no trained network",
     "T5": "checkpoint restart: tests/test_streams.py",
-    "T3": "dropped late rows are counted: tests/test_streams.py",
+    "T3": "also counted where they are dropped: tests/test_streams.py",
     "T8": "`streaming.alerts.relay`; tests/test_streams.py",
     "X9": "`plans.quality.gate_snapshot`, `gate_not_empty`; tests/test_jobs.py",
     "F13": "`sources.messages.valid_json`",
 }
 
 
+# Items whose queries must reach one of these functions, by the calls in the sources.
+REQUIRED = {
+    "J7": {"nearest_neighbours"}, "J13": {"polygon_cells"}, "J17": {"neighbour_mean"}, "X11": {"neighbour_mean", "propagate"},
+    "X10": {"normalise_weights"}, "A16": {"exact_percentiles"}, "A14": {"population_stability", "stability"},
+    "T6": {"arrival_order_windows", "arrival_stream"}, "T10": {"drift_report", "stability"}, "A8": {"active_sensors", "active_keys"},
+    "X12": {"training_windows"}, "W5": {"sliding_samples"}, "W8": {"chronological_split"}, "J12": {"pixel_wards"},
+    "X24": {"lag_features", "risk_regression"},
+}
+
+
+def reached() -> dict[str, set[str]]:
+    """Function name -> names of all functions it can reach through the package's own sources."""
+    direct: dict[str, set[str]] = {}
+    for folder, _, names in os.walk(os.path.join(ROOT, "wardlens")):
+        for name in names:
+            if not name.endswith(".py") or os.path.basename(folder) == "llm":
+                continue
+            for node in ast.walk(ast.parse(open(os.path.join(folder, name)).read())):
+                if isinstance(node, ast.FunctionDef):
+                    found = direct.setdefault(node.name, set())
+                    for call in ast.walk(node):
+                        if isinstance(call, ast.Call):
+                            f = call.func
+                            found.add(f.attr if isinstance(f, ast.Attribute) else getattr(f, "id", ""))
+    whole: dict[str, set[str]] = {}
+    for start in direct:
+        seen, todo = set(), [start]
+        while todo:
+            for name in direct.get(todo.pop(), ()):
+                if name not in seen:
+                    seen.add(name)
+                    todo.append(name)
+        whole[start] = seen
+    return whole
+
+
+def unreached() -> list[str]:
+    """Queries tagged with an item whose function they do not call."""
+    whole = reached()
+    return [
+        f"{name} is tagged {item} but reaches none of {sorted(REQUIRED[item])}"
+        for name, query in load().items() for item in query.covers
+        if item in REQUIRED and not REQUIRED[item] & whole.get(name, set())]
+
+
 def calls_by_query() -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     for module in MODULES:
@@ -74,7 +119,10 @@ def main() -> None:
         shown = ", ".join(f"`{c}`" for c in list(dict.fromkeys(used))[:6])
         lines.append(f"| {item} | {shown} | {', '.join(names)} | {NOTES.get(item, '')} |")
     open(os.path.join(ROOT, "COVERAGE.md"), "w").write("\n".join(lines) + "\n")
+    wrong = unreached()
+    print("\n".join(wrong), file=sys.stderr)
     print(len(ids), "items;", sum(1 for i in ids if i not in queries), "without a query")
+    sys.exit(bool(wrong))
 
 
 if __name__ == "__main__":
