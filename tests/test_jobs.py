@@ -59,6 +59,18 @@ def test_greedy_recommendation_properties(spark, pairs, budget, top_k):
     assert spent <= budget
 
 
+@pytest.mark.parametrize("budget", [0, 1, 2, 5, 301, 702, 10_000])
+def test_greedy_plan_over_ranges(spark, budget):
+    rng = random.Random(budget)
+    data = [(i + 1, float(rng.randrange(101)), float(rng.choice((10, 50, 60)))) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = rows(ranking.greedy_plan(scores(spark, data), budget).select("priority_rank", "ward_id", "intervention_type"), "priority_rank")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found == greedy_in_python(data, budget, 1000)[0]
+
+
 def test_benefit_recommendations_pad_absent_wards(spark):
     padded = iv.pad_wards(scores(spark, [(2, 90.0, 90.0)]), 3)
     assert rows(padded, "ward_id") == [(1, 40.0, 20.0), (2, 90.0, 90.0), (3, 40.0, 20.0)]

@@ -109,6 +109,12 @@ def budgeted_recommendations(t: Tables) -> DataFrame:
     return ranking.greedy_recommendations(t.scores, 61, 40)
 
 
+@query("X5", "scores", _REC_DOUBLES, _greedy_sql(3001, 10**9))
+def greedy_plan_of_all_wards(t: Tables) -> DataFrame:
+    """A budget in the thousands spent over the ranking of all wards."""
+    return ranking.greedy_plan(t.scores, 3001)
+
+
 @query("X5 A19", "scores", "", f"""
 SELECT CAST(sum(cost) AS BIGINT) AS budget_used, CAST(500 - sum(cost) AS BIGINT) AS budget_remaining
 FROM ({_greedy_sql(500, 198)})""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.risk import combined_risk
+from ..session import cut_lineage
+from .running import running
 
 
 def listing(df: DataFrame, sort_by: str | None, limit: int, key: str = "ward_id") -> DataFrame:
@@ -138,3 +140,40 @@ def greedy_recommendations(
         F.col("r.heat").alias("ward_heat_stress"),
         F.col("r.flood").alias("ward_flood_risk"),
     )
+
+
+def greedy_plan(risks: DataFrame, budget: int) -> DataFrame:
+    """The plan of ``greedy_recommendations`` over all wards and any budget, as running sums of many tasks.
+
+    While its wish is affordable a ward's step only adds a cost, and adding is associative: the money spent before a ward
+    is the running sum of the wishes before it, taken over ranges of the ranking. From the first wish that does not fit,
+    less than the dearest intervention is left, so the rest of the walk is the next few wards.
+    """
+    cost = F.create_map(*[x for row in HEURISTIC_CATALOGUE for x in (F.lit(row[0]), F.lit(row[3]))])
+    wish = heuristic_choice(F.col("heat"), F.col("flood"))
+    rows = risks.select(
+        (-combined_risk(F.col("heat_stress_score"), F.col("flood_risk_score"))).alias("order"),
+        F.col("ward_id").cast("bigint").alias("ward_id"), F.col("heat_stress_score").alias("heat"),
+        F.col("flood_risk_score").alias("flood"),
+    ).withColumn("cost", F.element_at(cost, wish))
+    ranked = cut_lineage(rows.repartitionByRange("order", "ward_id").withColumn("part", F.spark_partition_id()))
+    placed = running(
+        ranked, [], ["order", "ward_id"], F.col("part"),
+        {"before": ("sum", F.col("cost")), "rank": ("sum", F.lit(1))}, include_current=False)
+    placed = cut_lineage(placed.withColumns({
+        "before": F.coalesce(F.col("before"), F.lit(0.0)).cast("long"), "rank": F.coalesce(F.col("rank"), F.lit(0.0)).cast("int")}))
+    fits = F.col("before") + F.col("cost") <= budget
+    by_name = F.create_map(*[x for row in HEURISTIC_CATALOGUE for x in (F.lit(row[0]), _catalogue_struct(*row))])
+    wished = placed.filter(fits).select("rank", "ward_id", "heat", "flood", F.element_at(by_name, wish).alias("pick"))
+    # each step costs at least the cheapest intervention, and less than the dearest is left
+    costs = [row[3] for row in HEURISTIC_CATALOGUE]
+    tail = placed.filter(~fits).orderBy("order", "ward_id").limit(max(costs) // min(costs) + 1)
+    gathered = tail.agg(
+        F.array_sort(F.collect_list(F.struct("order", "ward_id", "heat", "flood"))).alias("wards"),
+        F.min("rank").alias("rank"), (F.lit(budget) - F.min("before")).cast("int").alias("left"))
+    last = gathered.filter("rank is not null").select(
+        "rank", F.posexplode(_spend(F.col("wards"), F.col("left"))).alias("pos", "r")).select(
+        (F.col("rank") + F.col("pos")).alias("rank"), "r.*")
+    return wished.unionByName(last).select(
+        (F.col("rank") + 1).alias("priority_rank"), "ward_id", "pick.*",
+        F.col("heat").alias("ward_heat_stress"), F.col("flood").alias("ward_flood_risk"))
