@@ -20,7 +20,7 @@ LEXICON = 20_000
 CLASSES = 64
 PARTS = 4
 # The exchange ends when a whole sweep over its words adds no more than this part to what the sweeps before it gained.
-TOLERANCE = 0.01
+TOLERANCE = 0.05
 # Documents whose words share one table in a task, and words after which such a block ends.
 BLOCK_BITS, BLOCK_WORDS = 13, 4 << 20
 SLICE = 256
