@@ -76,8 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        added = [re.escape(token.content) for token in self.whole.get_added_tokens_decoder().values() if token.content]
-        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values() if token.content]
         self.whole.no_padding()
         self.whole.no_truncation()
         self.tokenize = self.whole.model.tokenize
@@ -123,7 +122,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text) or self.added(text):
+        if _OTHER_SPACE.search(text) or any(token in text for token in self.added):
             return self._chain(text)
         if not self.spaced or _UNEVEN.search(text):
             return b"".join(map(self.memo.__getitem__, self.split(text)))
