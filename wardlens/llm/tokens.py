@@ -75,10 +75,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.untouched, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # the same ids for texts without such tokens, and faster
         self.added = [token.content for token in self.whole.get_added_tokens_decoder().values() if token.content]
-        self.whole.no_padding()
-        self.whole.no_truncation()
+        for tokenizer in (self.untouched, self.whole):
+            tokenizer.no_padding()
+            tokenizer.no_truncation()
         self.tokenize = self.whole.model.tokenize
         self.spaced = spaced
         chain = str(self.whole.pre_tokenizer)
@@ -122,7 +124,9 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text) or any(token in text for token in self.added):
+        if any(token in text for token in self.added):
+            return np.asarray(self.untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if _OTHER_SPACE.search(text):
             return self._chain(text)
         if not self.spaced or _UNEVEN.search(text):
             return b"".join(map(self.memo.__getitem__, self.split(text)))
