@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlens.functions import geo, numeric, risk, spectral, text
-from wardlens.plans import interventions as iv
+from wardlens.plans import interventions as iv, wards
 
 
 def value(spark, column):
@@ -106,3 +106,10 @@ def test_ray_casting_on_a_concave_ring(spark):
     inside = {(1.0, 1.0): True, (2.0, 3.0): False, (3.5, 2.0): True, (5.0, 1.0): False, (2.0, 0.5): True}
     for (lon, lat), expected in inside.items():
         assert value(spark, geo.point_in_ring(F.lit(lon), F.lit(lat), ring)) is expected
+
+
+@pytest.mark.parametrize("ward", [648_900, 900_001, 5_400_001, 30_000_000_001])
+def test_wards_far_down_the_grid(spark, ward):
+    found = wards.describe_wards(spark.range(ward, ward + 1).withColumnRenamed("id", "ward_id")).first()
+    assert found["grid_row"] == (ward - 1) // 14 and found["ward_code"] == f"BBMP-{ward}"
+    assert found["industrial_weight"] == pytest.approx(0.0, abs=1e-12)

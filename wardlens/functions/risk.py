@@ -66,11 +66,14 @@ def effective_rainfall(day_sum: Column, current: Column) -> Column:
 
 
 def industrial_weight(row: Column, col: Column) -> Column:
-    """Three heat belts on the ward grid: weight, centre row, centre column, spread (fixed values)."""
+    """Three heat belts on the ward grid: weight, centre row, centre column, spread (fixed values).
+
+    Squares are taken of doubles: those of integers overflow from row 46,348 on.
+    """
     belts = ((0.6, 7, 7, 6.0), (0.8, 11, 2, 5.0), (0.7, 1, 11, 5.0))
     total = None
     for weight, r0, c0, spread in belts:
-        dr, dc = row - r0, col - c0
+        dr, dc = (row - r0).cast("double"), (col - c0).cast("double")
         term = F.lit(weight) * F.exp(-((dr * dr + dc * dc) / F.lit(spread)))
         total = term if total is None else total + term
     return F.least(F.lit(1.0), total)
