@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 import struct
 
 import numpy as np
@@ -172,6 +173,19 @@ def test_drift_check_bootstraps_its_baseline(spark, tmp_path):
     assert quality.needs_retraining(report).first()["retrain"]
 
 
+@pytest.mark.parametrize("few", [stats.FEW_ROWS, 1])
+def test_drift_brings_no_metric_to_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "FEW_ROWS", few)
+    rng = np.random.default_rng(6)
+    sides = [{m: rng.normal(45 + k * i, 15, 300) for i, m in enumerate(("a", "b", "c"))} for k in (0, 4)]
+    long = [spark.createDataFrame([(m, float(x)) for m, xs in side.items() for x in xs] + [("a", None), (f"only{k}", 1.0)],
+                                  "metric STRING, value DOUBLE") for k, side in enumerate(sides)]
+    report = quality.drift_report(*long)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[metric#\d+\]", plan)
+    assert {m: psi for m, psi, _ in rows(report)} == pytest.approx({m: numpy_psi(sides[0][m], sides[1][m]) for m in "abc"})
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 20_001])
 def test_exact_percentiles_equal_numpy(spark, n):
     rng = random.Random(n)

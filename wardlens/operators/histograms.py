@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+from .statistics import with_key_columns
+
 BINS = 64
 # A value's place among the bins stays below 2^60, so that bins are whole numbers of 64 bits.
 _PLACES = 60
@@ -26,7 +29,8 @@ def sketch(df: DataFrame, metric: str = "metric", value: str = "value", bins: in
     """(metric, level, place, n): how many values v of a metric lie in [place, place + 1) * 2^level.
 
     The level is the least whose bins over the metric's range are at most ``bins``. Nulls and values that are not finite
-    are left out. Two passes over the values: ranges, then counts that are combined before the shuffle.
+    are left out. Two passes over the values: ranges (a row per metric, kept), then counts that are combined before the
+    shuffle.
     """
     v = F.col(value).cast("double")
     known = df.select(F.col(metric).alias("metric"), v.alias("v")).filter("v is not null and v between -1.7e308 and 1.7e308")
@@ -39,7 +43,7 @@ def sketch(df: DataFrame, metric: str = "metric", value: str = "value", bins: in
     power = F.pow(F.lit(2.0), F.col("_start"))
     ends = ends.withColumn("_start", start).withColumn(
         "level", F.col("_start") + _fitting(F.floor(F.col("low") / power), F.floor(F.col("high") / power), bins))
-    placed = known.join(ends.select("metric", "level"), "metric").withColumn(
+    placed = with_key_columns(known, cut_lineage(ends.select("metric", "level")), "metric", "v").withColumn(
         "place", F.floor(F.col("v") / F.pow(F.lit(2.0), F.col("level"))))
     return placed.groupBy("metric", "level", "place").agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,6 +8,9 @@ from ..session import cut_lineage
 
 # A percentile's value is found so many bits at a time, from the top, until all values that are left fit a pass.
 RADIX_BITS = 20
+# A table of up to so many rows goes to every task; the parts into which values of a key are dealt beyond that.
+FEW_ROWS = 10_000
+KEY_PARTS = 64
 
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -15,14 +18,27 @@ def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return df.agg(*[F.nanvl(F.corr(a, b), F.lit(None).cast("double")).alias(n) for n, (a, b) in pairs.items()])
 
 
+def with_key_columns(rows: DataFrame, stored: DataFrame, key: str, value: str) -> DataFrame:
+    """Inner join of ``rows`` with ``stored``, a materialised table of one row per key.
+
+    Keys are usually few and each has many rows, so a shuffle by key alone would bring a share of all rows to one task.
+    Up to 10,000 stored rows go to every task and ``rows`` stay where they are. More are repeated for 64 parts of each
+    key, and rows are dealt to the parts by their value.
+    """
+    if stored.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return rows.join(F.broadcast(stored), key)
+    parts = stored.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(KEY_PARTS - 1).cast("long"))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(KEY_PARTS))).join(parts, [key, "_part"]).drop("_part")
+
+
 def population_stability(
     expected: DataFrame, actual: DataFrame, metric: str, value: str, bins: int = 10
 ) -> DataFrame:
     """PSI per metric between two long tables, over equal-width bins of their shared range.
 
-    Two scans: one for the range of each metric (a row per metric, kept), one that bins both sides and reduces them
-    map-side to counts per (metric, bin). All bins take part, because an empty bin still contributes through the 1e-6
-    floor.
+    Two scans: one for the range of each metric (a row per metric, kept), one that bins both sides where they lie and
+    reduces them map-side to counts per (metric, bin). All bins take part, because an empty bin still contributes
+    through the 1e-6 floor.
     """
     both = expected.select(metric, F.col(value).cast("double").alias("v"), F.lit(0).alias("side")).unionByName(
         actual.select(metric, F.col(value).cast("double").alias("v"), F.lit(1).alias("side"))
@@ -36,7 +52,7 @@ def population_stability(
     below = F.col("v") < F.col("lo") + guess * width
     above = (F.col("v") >= F.col("lo") + (guess + 1) * width) & (guess < bins - 1)
     bin_id = (guess - below.cast("int") + above.cast("int")).cast("int")
-    counts = both.join(ranges, metric).groupBy(metric, bin_id.alias("bin")).agg(
+    counts = with_key_columns(both, ranges, metric, "v").groupBy(metric, bin_id.alias("bin")).agg(
         F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")
     )
     grid = ranges.select(metric, "n0", "n1", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
