@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from wardlens.operators import graph, spatial
+from wardlens.operators import graph, sets, spatial
 from wardlens.plans import wards
 
 
@@ -187,3 +187,19 @@ def test_one_large_polygon_among_small_ones(spark):
     assert rows(spatial.locate_points(points, polygons, "id").select("id", "ward_id"), "id") == [
         (1, 3), (2, 1), (3, 1), (4, None), (5, None)]
     assert rows(spatial.locate_points(points, polygons.limit(0), "id").select("id", "ward_id"), "id")[0] == (1, None)
+
+
+def test_pairs_of_few_bytes_of_nodes_are_not_joined_by_broadcast(spark, tmp_path):
+    nodes(spark, scattered(50, 9)).write.parquet(str(tmp_path / "nodes"))
+    plan = spatial.pairs_within(spark.read.parquet(str(tmp_path / "nodes")), 9.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_edges_lose_duplicates_before_they_are_doubled(spark):
+    given = [(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (4, None), (None, None), (7, 5)]
+    edges = sets.symmetric_edges(spark.createDataFrame(given, "src long, dst long"), spark.createDataFrame([(3,), (8,)], "ward_id long"))
+    expected = {(1, 2), (2, 1), (3, 3), (None, 4), (4, None), (None, None), (7, 5), (5, 7), (8, 8)}
+    found = rows(edges)
+    assert len(found) == len(expected) and set(found) == expected
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the edges are doubled above the aggregate

@@ -12,12 +12,18 @@ def union_tables(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def symmetric_edges(edges: DataFrame, self_loops: DataFrame | None = None) -> DataFrame:
-    """Both directions of every (src, dst), each once; optional (id, id) loops."""
-    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    closed = edges.select(F.explode(both).alias("e")).select("e.*")
+    """Both directions of every (src, dst), each once; optional (id, id) loops.
+
+    Duplicates go while an edge is one row, its smaller end (a null before all) first, and the directions follow.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    one, other = F.struct("src", "dst"), F.struct(dst.alias("src"), src.alias("dst"))
+    turned = (src > dst) | (src.isNotNull() & dst.isNull())
+    ordered = edges.select(F.when(turned, other).otherwise(one).alias("e")).select("e.*")
     if self_loops is not None:
-        closed = closed.union(self_loops.select("ward_id", "ward_id"))
-    return closed.distinct()
+        ordered = ordered.union(self_loops.select("ward_id", "ward_id"))
+    both = F.when(src.eqNullSafe(dst), F.array(one)).otherwise(F.array(one, other))
+    return ordered.distinct().select(F.explode(both).alias("e")).select("e.*")
 
 
 def merge_alerts(

@@ -33,7 +33,8 @@ def pairs_within(nodes: DataFrame, max_km: float = 3.5) -> DataFrame:
 
     The plane has one longitude scale, that of the mean latitude, and ends at the date line: it is meant for nodes of
     one region. Cells are as wide as the threshold, so candidates stay within a constant factor of the result; AQE
-    splits a hot cell.
+    splits a hot cell. The join is by shuffled cells even where the nodes are few bytes: a node has many pairs, and the
+    tasks of a broadcast join would be as few as the files that hold the nodes.
     """
     place = nodes.select(F.col("ward_id").cast("long").alias("id"), "lon", "lat")
     mean_lat = place.agg(F.avg("lat")).scalar()
@@ -47,7 +48,7 @@ def pairs_within(nodes: DataFrame, max_km: float = 3.5) -> DataFrame:
     ).select("src", "lon1", "lat1", "_mean", "c.x", "c.y")
     right = gridded.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "x", "y")
     distance = planar_km(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), F.col("_mean"))
-    near = left.join(right, ["x", "y"]).filter(F.col("src") < F.col("dst")).withColumn("km", distance)
+    near = left.join(right.hint("merge"), ["x", "y"]).filter(F.col("src") < F.col("dst")).withColumn("km", distance)
     return near.filter(F.col("km") <= max_km).select("src", "dst", "km")
 
 
