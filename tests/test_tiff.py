@@ -118,3 +118,32 @@ def test_bands_and_images_round_trip(spark, tmp_path):
     out.write_images(spark.createDataFrame(image, "image_id string, x int, y int, r int, g int, b int"), str(tmp_path / "images"), 20, 16).collect()
     got = rasters.read_image_files(spark, str(tmp_path / "images"))
     assert sorted(rows(got)) == sorted((*p, 20, 16) for p in image)
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": (16, 16)}, {"planar": True}, {"planar": True, "tile": (16, 16), "compress": True}])
+def test_pixels_have_all_samples(tmp_path, options):
+    values = np.random.default_rng(3).integers(0, 200, (37, 41, 3)).astype("uint8")
+    (tmp_path / "a.tif").write_bytes(foreign(values, **options))
+    for group in (1 << 20, 500):
+        reader = tiff.TiffReader({"path": str(tmp_path), "groupBytes": str(group), "form": "pixels"})
+        found = [(r, c, s) for part in reader.partitions() for batch in reader.read(part)
+                 for r, c, s in zip(*[batch.column(k).to_pylist() for k in (1, 2, 5)])]
+        assert sorted(found) == [(r, c, values[r, c].astype(float).tolist()) for r in range(37) for c in range(41)]
+
+
+def test_small_files_share_a_task(tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.tif").write_bytes(out.tiff_bytes(np.full((4, 5, 3), k % 256, "uint8")))
+    found, parts = samples_of(tmp_path)
+    assert parts < 6 and len(found) == 600 * 60
+
+
+def test_images_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, low in (("p", 0), ("q", 100)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "both.tif").write_bytes(out.tiff_bytes(np.full((2, 2, 3), low + 7, "uint8")))
+    (tmp_path / "p" / "one.tif").write_bytes(out.tiff_bytes(np.full((2, 2, 3), 5, "uint8")))
+    got = rasters.read_image_files(spark, str(tmp_path))
+    assert sorted(rows(got.select("image_id", "r", "g", "b"))) == [("both", 107, 107, 107)] * 4 + [("one", 5, 5, 5)] * 4
+    single = rasters.read_image_files(spark, str(tmp_path / "p"))
+    assert single.filter("image_id = 'both'").count() == 4 and single.count() == 8

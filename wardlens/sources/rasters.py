@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import BBox
-from .tiff import read_samples
+from .tiff import read_pixels, read_samples
 
 # The bands a scene needs.
 BANDS = ("b2", "b3", "b4", "b5", "b6", "b7", "b10")
@@ -27,10 +27,13 @@ def read_band_files(spark: SparkSession, path: str, group_bytes: int = 4 << 20)
 def read_image_files(spark: SparkSession, path: str, group_bytes: int = 4 << 20) -> DataFrame:
     """Pixels (image_id, x, y, r, g, b, height, width) of RGB TIFF files; image_id is the file's name without its end."""
     image = F.regexp_extract("file", r"(?i)^(.+)\.tiff?$", 1)
-    wide = read_samples(spark, path, group_bytes).groupBy(
-        image.alias("image_id"), F.col("col").alias("x"), F.col("row").alias("y"), "height", "width").agg(
-        *[F.max(F.when(F.col("sample") == k, F.col("value").cast("int"))).alias(c) for k, c in enumerate("rgb")])
-    return wide.select("image_id", "x", "y", "r", "g", "b", "height", "width")
+    place = [image.alias("image_id"), F.col("col").alias("x"), F.col("row").alias("y")]
+    colours = [F.get("samples", F.lit(k)).cast("int").alias(c) for k, c in enumerate("rgb")]
+    single, shared = (
+        read_pixels(spark, path, names, group_bytes).select(*place, *colours, "height", "width") for names in ("single", "shared"))
+    # the pixels of files in several folders that share their name are one image's
+    met = shared.groupBy("image_id", "x", "y", "height", "width").agg(*[F.max(c).alias(c) for c in "rgb"])
+    return single.unionByName(met)
 
 
 def complete_scenes(samples: DataFrame) -> DataFrame:
