@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from wardlens.operators import cover, spatial
 
@@ -76,3 +77,18 @@ def test_points_in_one_large_ring_among_small_ones(spark):
         inside = [w for _, w, ring in polygons[:3] if plain(ring, lon, lat)]
         assert found[k] == (inside[0] if inside else None)
     assert (found[5000], found[5001], found[5002]) == (7, None, None)
+
+
+def test_cells_have_their_rings_box_and_rings_are_dealt_anew(spark, monkeypatch):
+    rng = random.Random(4)
+    rings = [(k, k, [[x * 9.0 + 70.0, y * 9.0 + 10.0] for x, y in star(rng, 5 + k, 0.4)]) for k in range(20)]
+    polygons = spark.createDataFrame(rings, "feature_order long, ward_id long, ring array<array<double>>").coalesce(1)
+    cells = cover.polygon_cells(polygons)
+    found = rows(cells.select("ward", "low_lon", "low_lat", "high_lon", "high_lat").distinct(), "ward")
+    assert len(found) == 20
+    for ward, *box in found:
+        lon, lat = zip(*rings[ward][2])
+        assert box == pytest.approx([min(lon), min(lat), max(lon), max(lat)], rel=1e-8)
+        assert box[0] < min(lon) and box[1] < min(lat) and box[2] > max(lon) and box[3] > max(lat)
+    monkeypatch.setattr(cover, "cut_lineage", lambda df: df)
+    assert "REPARTITION_BY_COL" in cover.polygon_cells(polygons)._jdf.queryExecution().executedPlan().toString()

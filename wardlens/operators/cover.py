@@ -20,9 +20,11 @@ _LEAST_DEGREES = 1e-9  # rings count as this wide at least
 _EDGE = pa.struct([(n, pa.float64()) for n in ("x", "y", "top", "slope")])
 _CELL = pa.schema([
     ("level", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("feature_order", pa.int64()), ("ward", pa.int64()),
+    ("low_lon", pa.float64()), ("low_lat", pa.float64()), ("high_lon", pa.float64()), ("high_lat", pa.float64()),
     ("east", pa.float64()), ("odd", pa.bool_()), ("sides", pa.list_(pa.float64())), ("edges", pa.list_(_EDGE))])
 _CELL_SQL = (
-    "level int, x long, y long, feature_order long, ward long, east double, odd boolean, sides array<double>, "
+    "level int, x long, y long, feature_order long, ward long, low_lon double, low_lat double, high_lon double, "
+    "high_lat double, east double, odd boolean, sides array<double>, "
     "edges array<struct<x: double, y: double, top: double, slope: double>>")
 
 
@@ -117,11 +119,20 @@ def cells_of(ring: list | None) -> Iterator[_Cell]:
             yield cell
 
 
+def _box(ring: list) -> list[float]:
+    """West, south, east and north ends of a ring, with room for the rounding of a crossing's longitude."""
+    points = np.array(ring, float).reshape(-1, 2)
+    low, high = points.min(axis=0), points.max(axis=0)
+    room = 1e-9 * np.maximum(np.abs(low), np.abs(high))
+    return [*(low - room).tolist(), *(high + room).tolist()]
+
+
 def polygon_cells(polygons: DataFrame) -> DataFrame:
     """The covers of all ``polygons`` (feature_order, ward_id, ring), one row a cell, stored.
 
     A ring is covered where it lies: cells start as wide as the ring and are split where more than 16 edges pass, so
-    the inside of a ring of many vertices is a few large cells and its border many small ones.
+    the inside of a ring of many vertices is a few large cells and its border many small ones. Each has the ring's box.
+    Rings are dealt to tasks anew, since few bytes of a file may hold many.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -140,8 +151,10 @@ def polygon_cells(polygons: DataFrame) -> DataFrame:
 
         for batch in batches:
             for order, ward, ring in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                box: list[float] = []
                 for c in cells_of(ring):
-                    held.append((c.level, c.x, c.y, order, ward, c.east, c.odd, c.sides.tolist(), c.edges))
+                    box = box or _box(ring)
+                    held.append((c.level, c.x, c.y, order, ward, *box, c.east, c.odd, c.sides.tolist(), c.edges))
                     if len(held) == 4096:
                         yield flush()
                         held.clear()
@@ -151,15 +164,19 @@ def polygon_cells(polygons: DataFrame) -> DataFrame:
     narrow = polygons.select(
         F.col("feature_order").cast("long").alias("feature_order"), F.col("ward_id").cast("long").alias("ward"),
         F.col("ring").cast("array<array<double>>").alias("ring"))
-    return cut_lineage(narrow.mapInArrow(run, _CELL_SQL))
+    return cut_lineage(narrow.repartition(*narrow.columns).mapInArrow(run, _CELL_SQL))
 
 
 def inside_cell(lon: Column, lat: Column) -> Column:
-    """Even-odd test of a point against the cell it lies in: only the cell's own edges and side crossings count."""
+    """Even-odd test of a point against the cell it lies in: only the cell's own edges and side crossings count.
+
+    Most points of a cell lie outside the ring's box, which is compared before any edge is looked at.
+    """
+    boxed = lon.between(F.col("low_lon"), F.col("high_lon")) & lat.between(F.col("low_lat"), F.col("high_lat"))
 
     def crossed(e: Column) -> Column:
         at = e["slope"] * (lat - e["y"]) + e["x"]
         return ((e["y"] > lat) != (e["top"] > lat)) & (lon < at) & (at <= F.col("east"))
 
     met = F.size(F.filter("edges", crossed)) + F.size(F.filter("sides", lambda y: y > lat)) + F.col("odd").cast("int")
-    return F.pmod(met, F.lit(2)) == 1
+    return boxed & ((F.size("edges") == 0) | (F.pmod(met, F.lit(2)) == 1))

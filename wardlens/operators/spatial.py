@@ -65,15 +65,15 @@ def locate_points(points: DataFrame, polygons: DataFrame, point_key: str) -> Dat
 
     ``points`` has lon, lat and a unique key; ``polygons`` has feature_order, ward_id and ring. Polygons become quadtree
     covers (``cover.polygon_cells``) and points meet them by equality of cells at the few levels that occur. A point in
-    an inner cell is inside without any test; in a border cell it is tested against the at most 16 edges that pass it,
-    whatever the ring's size.
+    an inner cell is inside without any test; in a border cell it is compared with the ring's box, then tested against
+    the at most 16 edges that pass the cell, whatever the ring's size.
     """
     cells = polygon_cells(polygons)
     placed = points.withColumn("level", F.explode(_used_levels(cells)))
     size = F.pow(F.lit(2.0), F.col("level"))
     placed = placed.withColumn("x", F.floor(F.col("lon") / size)).withColumn("y", F.floor(F.col("lat") / size))
-    hits = placed.join(cells, ["level", "x", "y"]).filter(
-        (F.size("edges") == 0) | inside_cell(F.col("lon"), F.col("lat")))
+    # the planner knows the size of the polygons' file at most, not that of their cells
+    hits = placed.join(cells.hint("merge"), ["level", "x", "y"]).filter(inside_cell(F.col("lon"), F.col("lat")))
     first = hits.groupBy(point_key).agg(F.min_by("ward", "feature_order").alias("ward_id"))
     kind = polygons.schema["ward_id"].dataType
     return points.join(first.withColumn("ward_id", F.col("ward_id").cast(kind)), point_key, "left")
