@@ -88,7 +88,7 @@ def test_cells_have_their_rings_box_and_rings_are_dealt_anew(spark, monkeypatch)
     assert len(found) == 20
     for ward, *box in found:
         lon, lat = zip(*rings[ward][2])
-        assert box == pytest.approx([min(lon), min(lat), max(lon), max(lat)], rel=1e-8)
+        assert box == pytest.approx([min(lon), min(lat), max(lon), max(lat)], abs=1e-6)
         assert box[0] < min(lon) and box[1] < min(lat) and box[2] > max(lon) and box[3] > max(lat)
     monkeypatch.setattr(cover, "cut_lineage", lambda df: df)
     assert "REPARTITION_BY_COL" in cover.polygon_cells(polygons)._jdf.queryExecution().executedPlan().toString()
