@@ -200,5 +200,15 @@ def test_every_capacity_holds(spark, rule):
     assert all(sum(b) <= 100 and len(b) <= 3 and sum(x * x for x in b) <= 4000 for b in bins.values())
 
 
+def test_ids_travel_in_16_bits_and_come_back_in_32(spark):
+    wide, small = np.arange(65_530, 65_540, dtype="<u4").tobytes(), np.arange(9, dtype="<u4").tobytes()
+    assert vector_fit.narrowed(wide) == wide and len(vector_fit.narrowed(small)) == len(small) // 2
+    frame = spark.createDataFrame([(1, "one two three " * 400), (2, None), (2, "ünï 文字 🙂")], "doc_id long, text string")
+    kept = vector_fit.pieces_of(frame, BYTES, 0, 512, narrow=True).collect()
+    assert kept and all(len(r.ids) == 2 * r.length for r in kept)
+    for r in vector_fit.packed_documents(frame, BYTES, 0, 512, with_ids=True).collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import stored
 from .tokens import encoder
@@ -18,11 +18,30 @@ LENGTH = 2048
 GROUP = 4096
 
 
+def narrowed(ids: bytes) -> bytes:
+    """Ids of 32 bits as ids of 16 bits, where all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if len(wide) and wide.max() < 1 << 16 else ids
+
+
+def widened(ids: Column, length: Column) -> Column:
+    """``narrowed`` ids with 32 bits again; ``length`` is their number."""
+
+    def run(ids: pd.Series, length: pd.Series) -> pd.Series:
+        return pd.Series([
+            np.frombuffer(b, "<u2").astype("<u4").tobytes() if len(b) == 2 * n else b for b, n in zip(ids, length)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(ids, length)
+
+
 def pieces_of(
-    docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, spaced: bool = True, with_ids: bool = True
+    docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, spaced: bool = True, with_ids: bool = True,
+    narrow: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids, ids_crc32) of every row of ``docs`` (doc_id, text); ids is null on request.
 
+    ``narrow`` ids have 16 bits in pieces whose ids allow it; the checksum is always that of 32 bits.
+
     A document is its ids and the end id. Only a longer one than ``length`` is cut, into full pieces after a first piece
     of the rest. A null or empty text is the end id alone.
     """
@@ -40,7 +59,8 @@ def pieces_of(
                     starts = [0, *range(count % length or length, count, length)]
                     for number, (a, b) in enumerate(zip(starts, [*starts[1:], count])):
                         cut = ids[4 * a : 4 * b]
-                        out.append((key, number, a, b - a, cut if with_ids else None, zlib.crc32(cut)))
+                        kept = (narrowed(cut) if narrow else cut) if with_ids else None
+                        out.append((key, number, a, b - a, kept, zlib.crc32(cut)))
                 columns = list(zip(*out))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
@@ -134,15 +154,17 @@ def packed_documents(
     """Pieces of ``docs`` with their place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     ``with_ids`` adds ``ids``, the piece's token ids as little-endian unsigned 32-bit numbers; without it the pieces are
-    stored without their ids, which pieces_of() gives again at any time. Rows that share a doc_id are told apart by a
+    stored without their ids, which pieces_of() gives again at any time. Until pieces and places have met, ids take 16
+    bits where they fit. Rows that share a doc_id are told apart by a
     number of the copy, so each is packed whole.
     """
     more = ["ids"] if with_ids else []
+    wide = [widened(F.col("ids"), F.col("length")).alias("ids")] if with_ids else []
     digests = stored(
-        pieces_of(docs, vocabulary, end_id, capacity, with_ids=with_ids).select(
+        pieces_of(docs, vocabulary, end_id, capacity, with_ids=with_ids, narrow=True).select(
             "doc_id", "piece", "start", "length", "ids_crc32", *more, F.monotonically_increasing_id().alias("_key")), "pieces")
     places = packed(
         digests.select(F.col("_key").alias("doc_id"), "piece", "length"), capacity, **limits
     ).select(F.col("doc_id").alias("_key"), "sequence_id", "offset")
     return digests.join(places, "_key").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *more)
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *wide)
