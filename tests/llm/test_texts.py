@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from base64 import b32encode
 from hashlib import sha1
+from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 from wardlens.llm import queries, token_files, trie_counts, vector_fit, warc, wrappers, zip_archive
-from wardlens.llm.tokens import encoder
+from wardlens.llm.tokens import Encoder, encoder, uneven
 from wardlens.session import scratch_path
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -138,6 +140,21 @@ def test_pieces_encode_like_whole_texts(path, spaced):
         assert codec.encode(text) == np.asarray(ids, "<u4").tobytes(), text
 
 
+def test_words_of_letters_are_one_pre_token_without_a_pattern():
+    codec, fresh = Encoder(BYTES, True), Tokenizer.from_file(BYTES)
+    assert codec.memo["\n"] and codec.parts.pop("\n")  # what lines are joined by
+    codec.ascii_pre_tokens = codec.pre_tokens = None  # a call would fail
+    for text in ("Plain words on a line", "été Straße œuvre", "a", "ab"):
+        assert codec.encode(text) == np.asarray(fresh.encode(text).ids, "<u4").tobytes()
+    assert not codec.parts
+
+
+def test_uneven_texts_are_found():
+    for size in range(1, 5):
+        for text in map("".join, product("a \n\t\r", repeat=size)):
+            assert uneven(text) == bool(re.search(r"[ \n][ \n]|[\t\r]|\A[ \n]|[ \n]\Z", text)), repr(text)
+
+
 def test_files_are_ordered_by_number(spark, tmp_path):
     for number, ids in ((99_999, [1, 2]), (100_000, [3]), (100_001, [4, 5, 6])):
         source = str(tmp_path / f"one-{number}")

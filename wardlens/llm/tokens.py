@@ -21,8 +21,8 @@ _PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _OTHER_SPACE = re.compile(
     "[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
-# Texts with single spaces and line ends alone are cut by plain splitting.
-_UNEVEN = re.compile(r"[ \n][ \n]|[\t\r]|\A[ \n]|[ \n]\Z")
+# Texts without these, and without a blank at either end, have single spaces and line ends alone: plain splitting cuts them.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 
 # The pre-token patterns of the two kinds of vocabulary files.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,6 +42,11 @@ def _visible() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(hidden)}
 
 
+def uneven(text: str) -> bool:
+    """Whether a text that is not empty has white space beyond single spaces and line ends between other characters."""
+    return text[0] in " \n" or text[-1] in " \n" or any(blanks in text for blanks in _UNEVEN)
+
+
 class _Memo(dict):
     """Remembers what it computed in two generations, so that common pieces stay and memory is bounded."""
 
@@ -111,6 +116,9 @@ class Encoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, piece: str) -> bytes:
+        bare = piece[1:] if self.spaced and piece[0] == " " else piece
+        if bare.isalpha() and (bare.isascii() or self.spaced and max(bare) < "ɐ"):
+            return self._model_ids(piece if self.spaced else piece.lower())  # letters alone are one pre-token
         if piece.isascii():
             parts = self.ascii_pre_tokens(piece if self.spaced else piece.lower())
         elif self.spaced:
@@ -128,7 +136,7 @@ class Encoder:
             return np.asarray(self.untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _OTHER_SPACE.search(text):
             return self._chain(text)
-        if not self.spaced or _UNEVEN.search(text):
+        if not self.spaced or uneven(text):
             return b"".join(map(self.memo.__getitem__, self.split(text)))
         lines = []
         for line in text.split("\n"):
