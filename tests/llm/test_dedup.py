@@ -6,8 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from wardlens.llm import circulant, quantised
 from wardlens.llm.components import components
+from wardlens.llm.store import among, stored
 from wardlens.llm.words import shingle_set, words_of
 
 
@@ -122,3 +124,28 @@ def test_quantisation_bound_holds():
     qb, sb, eb, _ = quantised.quantise(b)
     rough = (qa.astype(int) @ qb.astype(int).T) * sa[:, None] * sb
     assert (np.abs(rough - a @ b.T) <= ea[:, None] + la[:, None] * eb).all()
+
+
+def test_rows_among_chosen_keys(spark):
+    rows = stored(spark.range(0, 70_000, 1, 3).select(
+        F.col("id").alias("n"), F.monotonically_increasing_id().alias("key"), F.lit("x").alias("_bucket_text")), "rows", "zstd")
+    wanted = rows.filter("n % 7 = 0 or n < 9 or n > 69990")
+    twice = wanted.select("key").union(wanted.select("key")).union(spark.sql("select cast(null as long)"))
+    found = among(rows, "key", twice)
+    assert found.columns == rows.columns
+    assert sorted(r.n for r in found.collect()) == [n for n in range(70_000) if n % 7 == 0 or n < 9 or n > 69_990]
+    assert among(rows, "key", twice.limit(0)).collect() == []
+    assert among(rows.limit(0), "key", twice).collect() == []
+
+
+def test_kept_rows_are_stored_as_bits(spark):
+    """Texts do not move to be chosen: a table of 20,000 keys is far below the limit that a list of them passes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        docs = spark.range(0, 20_000, 1, 2).selectExpr("id as doc_id", "concat('text ', id % 19000) as text")
+        kept = circulant.one_of_each_group(docs)
+        assert kept.count() == 19_000
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .store import stored
+from .store import among, stored
 from .words import shingle_hashes, shingle_set, words_of
 
 UNIVERSE_BITS = 20
@@ -200,7 +200,8 @@ def across_components(open_: DataFrame, texts: DataFrame, size: int, percent: in
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED
+    docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED,
+    numbered: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -214,6 +215,8 @@ def near_duplicates(
     Null, empty and blank texts have n_shingles 0 and stand alone (component_id = doc_id, kept). Repeated rows are
     copies of each other; rows that share a doc_id take the component of their own text. A row without doc_id is kept
     only if no row with a doc_id has its set. An empty table gives an empty result.
+
+    ``numbered`` says that doc_id is a stored monotonically_increasing_id(): then texts do not move to be chosen.
     """
     sketched = stored(signatures(docs, size, bands, rows, seed), "signatures")
     sets = sketched.filter("fingerprint is not null")
@@ -225,9 +228,11 @@ def near_duplicates(
     )
     shared = banded.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub <> _last")
     members = stored(banded.join(shared.select("h", "hub"), "h").select("h", "node", "n", "hub"), "buckets")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    meeting = members.select(F.col("node").alias("doc_id"))
     texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+        among(every, "doc_id", meeting) if numbered else every.join(meeting.distinct(), "doc_id", "left_semi"),
+        "texts", "zstd")
 
     links = stored(confirmed(
         stored(members.filter("hub < node").groupBy("node").agg(F.min("hub").alias("hub"))
@@ -274,10 +279,11 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     none, each get their verdict. Null, empty and blank texts are near nothing and all stay. An empty table stays empty.
     """
     rows = stored(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
-    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), size, percent)
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "rows", "zstd")
+    found = near_duplicates(
+        rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), size, percent, numbered=True)
     named = found.select(F.col("doc_id").alias("key"), "component_id").join(
         rows.select("key", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash")), "key")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "key")
-    kept = stored(named.groupBy("component_id").agg(F.min_by("key", order).alias("key")).select("key"), "kept")
-    return rows.join(kept, "key", "left_semi").select("row.*")
+    kept = named.groupBy("component_id").agg(F.min_by("key", order).alias("key")).select("key")
+    return among(rows, "key", kept).select("row.*")

@@ -162,7 +162,8 @@ def packed_documents(
     wide = [widened(F.col("ids"), F.col("length")).alias("ids")] if with_ids else []
     digests = stored(
         pieces_of(docs, vocabulary, end_id, capacity, with_ids=with_ids, narrow=True).select(
-            "doc_id", "piece", "start", "length", "ids_crc32", *more, F.monotonically_increasing_id().alias("_key")), "pieces")
+            "doc_id", "piece", "start", "length", "ids_crc32", *more, F.monotonically_increasing_id().alias("_key")), "pieces",
+        "zstd" if with_ids else None)
     places = packed(
         digests.select(F.col("_key").alias("doc_id"), "piece", "length"), capacity, **limits
     ).select(F.col("doc_id").alias("_key"), "sequence_id", "offset")
