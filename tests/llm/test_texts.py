@@ -12,9 +12,12 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
-from wardlens.llm import queries, token_files, trie_counts, vector_fit, warc, wrappers, zip_archive
+from wardlens.llm import (
+    circulant, queries, token_files, tokens, trie_counts, vector_fit, warc, words, wrappers, zip_archive,
+)
 from wardlens.llm.tokens import Encoder, encoder, uneven
 from wardlens.session import scratch_path
 
@@ -229,3 +232,20 @@ def test_ids_travel_in_16_bits_and_come_back_in_32(spark):
 
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_workers_hold_few_words_between_tasks(spark):
+    word = "concat('w', lower(hex(id * 60 + i)))"
+    frame = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(0, 59), i -> {word})) as text")
+    circulant.signatures(frame, 2).write.format("noop").mode("overwrite").save()
+    before = [r.ids for r in vector_fit.pieces_of(frame, BYTES, 0).collect()]
+
+    def held(batches):
+        for batch in batches:
+            memos = [m for e in tokens._encoders.values() for m in (e.memo, e.after_space, e.parts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([max([0, *(len(m) + len(m.older) for m in memos)])]), pa.array([len(words._memo)])], ["pieces", "words"])
+
+    found = spark.range(0, 8, 1, 8).mapInArrow(held, "pieces long, words long").collect()
+    assert 0 < max(r.pieces for r in found) <= 100_000 and {r.words for r in found} == {0}
+    assert [r.ids for r in vector_fit.pieces_of(frame, BYTES, 0).collect()] == before

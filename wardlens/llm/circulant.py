@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .store import among, stored
-from .words import shingle_hashes, shingle_set, words_of
+from .words import forget_words, shingle_hashes, shingle_set, words_of
 
 UNIVERSE_BITS = 20
 # 40 bands of 6: a pair at Jaccard 0.8 shares no band with probability (1 - 0.8^6)^40 < 6e-6; pairs below 0.3 seldom do.
@@ -62,23 +62,26 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS,
     schema = "doc_id long, n_shingles long, fingerprint binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                counts, prints, found = [], [], []
-                for text in batch.column(1):
-                    hashes = shingle_hashes(words_of(text.as_py()), size)
-                    counts.append(len(hashes))
-                    if len(hashes):
-                        prints.append(blake2b(hashes.tobytes(), digest_size=16).digest())
-                        found.append(band_hashes(signature(hashes, bands * rows, seed), bands))
-                    else:
-                        prints.append(None)
-                        found.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
-                     pa.array(found, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fingerprint", "bands"])
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(start, 1024)
+                    counts, prints, found = [], [], []
+                    for text in batch.column(1):
+                        hashes = shingle_hashes(words_of(text.as_py()), size)
+                        counts.append(len(hashes))
+                        if len(hashes):
+                            prints.append(blake2b(hashes.tobytes(), digest_size=16).digest())
+                            found.append(band_hashes(signature(hashes, bands * rows, seed), bands))
+                        else:
+                            prints.append(None)
+                            found.append(None)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
+                         pa.array(found, pa.list_(pa.int64()))],
+                        ["doc_id", "n_shingles", "fingerprint", "bands"])
+        finally:
+            forget_words()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, schema)
@@ -157,11 +160,14 @@ def across_components(open_: DataFrame, texts: DataFrame, size: int, percent: in
         "node", "c", F.col("home"), F.pmod(F.xxhash64("node"), F.col("_parts")).alias("part")), "tiled")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(words_of(t.as_py()), size) for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([x.tobytes() for x in found], pa.binary())], ["home", "part", "node", "c", "n", "hashes"])
+        try:
+            for batch in batches:
+                found = [shingle_hashes(words_of(t.as_py()), size) for t in batch.column(4)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:4], pa.array([len(x) for x in found], pa.int64()),
+                     pa.array([x.tobytes() for x in found], pa.binary())], ["home", "part", "node", "c", "n", "hashes"])
+        finally:
+            forget_words()
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({

@@ -6,6 +6,8 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, islice
+from pickle import dumps, loads
 from struct import pack
 from unicodedata import is_normalized
 
@@ -14,6 +16,8 @@ import regex
 
 # A worker remembers the pieces of its last two generations, each of at most so many.
 MEMO_PIECES = 600_000
+# Between tasks a memo keeps at most so many.
+RESTING_PIECES = 100_000
 
 # A space after another character always ends a pre-token of these tokenizers, so pieces can be encoded one by one.
 _PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -66,6 +70,13 @@ class _Memo(dict):
         self[piece] = found
         return found
 
+    def packed(self, most: int) -> bytes:
+        """Empties the memo; returns the pieces that came first in it, which are the common ones."""
+        kept = dumps(dict(islice(chain(self.items(), self.older.items()), most)))
+        self.clear()
+        self.older = {}
+        return kept
+
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
@@ -144,6 +155,15 @@ class Encoder:
             lines.append(self.memo[words[0]] + b"".join(map(self.after_space.__getitem__, words[1:])))
         return self.memo["\n"].join(lines)
 
+    def rest(self) -> None:
+        """Call at a task's end: a worker that waits, or serves another step, holds few pieces.
+
+        All memos are emptied before any is filled again with copies, so what is kept does not hold scattered memory.
+        """
+        memos = self.memo, self.after_space, self.parts
+        for memo, kept in zip(memos, [memo.packed(RESTING_PIECES) for memo in memos]):
+            memo.older = loads(kept)
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 

@@ -47,25 +47,28 @@ def pieces_of(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, spaced).encode
+        codec = encoder(vocabulary, spaced)
         end = np.asarray([end_id], "<u4").tobytes()
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                out: list[tuple] = []
-                for doc_id, text in zip(batch.column(0), batch.column(1)):
-                    ids, key = encode(text.as_py()) + end, doc_id.as_py()
-                    count = len(ids) // 4
-                    starts = [0, *range(count % length or length, count, length)]
-                    for number, (a, b) in enumerate(zip(starts, [*starts[1:], count])):
-                        cut = ids[4 * a : 4 * b]
-                        kept = (narrowed(cut) if narrow else cut) if with_ids else None
-                        out.append((key, number, a, b - a, kept, zlib.crc32(cut)))
-                columns = list(zip(*out))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)],
-                    ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
+        try:
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 512):
+                    batch = whole.slice(begin, 512)
+                    out: list[tuple] = []
+                    for doc_id, text in zip(batch.column(0), batch.column(1)):
+                        ids, key = codec.encode(text.as_py()) + end, doc_id.as_py()
+                        count = len(ids) // 4
+                        starts = [0, *range(count % length or length, count, length)]
+                        for number, (a, b) in enumerate(zip(starts, [*starts[1:], count])):
+                            cut = ids[4 * a : 4 * b]
+                            kept = (narrowed(cut) if narrow else cut) if with_ids else None
+                            out.append((key, number, a, b - a, kept, zlib.crc32(cut)))
+                    columns = list(zip(*out))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(columns, kinds)],
+                        ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
+        finally:
+            codec.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long")

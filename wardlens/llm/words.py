@@ -30,6 +30,11 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """Call at a task's end: a worker that waits, or serves another step, holds no words."""
+    _memo.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(31))
