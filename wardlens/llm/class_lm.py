@@ -163,44 +163,57 @@ def exchange(
     follow = table.groupBy(F.col("a").alias("w")).agg(
         F.collect_list("b").alias("next"), F.collect_list("n").alias("next_n"))
     lead = table.groupBy(F.col("b").alias("w")).agg(F.collect_list("a").alias("last"), F.collect_list("n").alias("last_n"))
-    lines = stored(follow.join(lead, "w", "full"), "neighbours")
+    names = ["w", "next", "next_n", "last", "last_n"]
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists as bytes, which each step reads and hands over whole."""
+        for batch in batches:
+            lists = [_binaries(
+                column.flatten().to_numpy().astype(t),
+                pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64))
+                for column, t in zip(batch.columns[1:], ("<i4", "<i8", "<i4", "<i8"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names)
+
+    lines = stored(follow.join(lead, "w", "full").select(*names).mapInArrow(
+        compact, "w int, next binary, next_n binary, last binary, last_n binary"), "neighbours")
     state = np.concatenate([np.arange(n_words) % classes, [classes, classes + 1]]).astype(np.int64)
 
     def transitions(now: np.ndarray) -> np.ndarray:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((width, width), np.int64)
-            for frame in frames:
-                for w, after, n in zip(frame["w"], frame["next"], frame["next_n"]):
-                    if after is not None:
-                        total[now[w]] += np.bincount(now[np.asarray(after)], np.asarray(n, np.float64), width).astype(np.int64)
-            c, d = np.nonzero(total)
-            yield pd.DataFrame({"c": c, "d": d, "n": total[c, d]})
-
-        found = lines.select("w", "next", "next_n").mapInPandas(run, "c int, d int, n long").groupBy("c", "d").agg(
-            F.sum("n").alias("n")).toPandas()
-        out = np.zeros((width, width), np.int64)
-        out[found["c"].to_numpy(np.int64), found["d"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-        return out
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width * width, np.int64)
+            for batch in batches:
+                ids, n = _flat(batch.column(1), "<i4"), _flat(batch.column(2), "<i8")
+                sizes = pc.binary_length(batch.column(1)).to_numpy() // 4
+                cells = np.repeat(now[batch.column(0).to_numpy()] * width, sizes) + now[ids]
+                total += np.bincount(cells, n.astype(np.float64), len(total)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+        # one table of classes a task, so what comes back is bounded by parameters like the rows of ``lines``
+        out = np.zeros(width * width, np.int64)
+        for row in lines.select("w", "next", "next_n").mapInArrow(run, "counts binary").collect():
+            out += np.frombuffer(row["counts"], np.int64)
+        return out.reshape(width, width)
 
     def moves(now: np.ndarray, counts: np.ndarray, part: int) -> pd.DataFrame:
         counts = counts.astype(np.float64)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 rows = []
-                for w, after, n, before, m in zip(*(frame[c] for c in ("w", "next", "next_n", "last", "last_n"))):
-                    sides = []
-                    for other, amount in ((after, n), (before, m)):
-                        ids = np.asarray([] if other is None else other, np.int64)
-                        size = np.asarray([] if amount is None else amount, np.float64)
+                for w, *lists in zip(*batch.columns):
+                    w, sides = w.as_py(), []
+                    for other, amount in (lists[:2], lists[2:]):
+                        ids = np.frombuffer(other.as_buffer(), "<i4")
+                        size = np.frombuffer(amount.as_buffer(), "<i8").astype(np.float64)
                         sides.append((np.bincount(now[ids], size, width), float(size[ids == w].sum())))
                     target, gain = best_class(int(now[w]), counts, sides[0][0], sides[1][0], sides[0][1], classes)
                     if gain > 1e-6:
                         rows.append((w, target, gain))
-                yield pd.DataFrame(rows, columns=["w", "target", "gain"]).astype(
-                    {"w": "int32", "target": "int32", "gain": "float64"})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[k] for row in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64()))],
+                    ["w", "target", "gain"])
 
-        return lines.filter((F.col("w") < n_words) & (F.col("w") % parts == part)).mapInPandas(
+        return lines.filter((F.col("w") < n_words) & (F.col("w") % parts == part)).mapInArrow(
             run, "w int, target int, gain double").toPandas().sort_values(["gain", "w"], ascending=[False, True])
 
     def value(counts: np.ndarray) -> float:
@@ -327,12 +340,18 @@ def _pairs(owner: np.ndarray, value: np.ndarray, n_owners: int, width: int, kind
 def _pair_sums(column: pa.Array, group: np.ndarray, n_groups: int, width: int, kind: np.dtype) -> np.ndarray:
     """The sums of ``_pairs`` over groups of rows: one row of ``width`` numbers a group."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, 2)
+    flat = _flat(column, kind).reshape(-1, 2)
     owner = np.repeat(group, np.diff(ends) // (2 * np.dtype(kind).itemsize))
     return np.bincount(
         owner * width + flat[:, 0], flat[:, 1].astype(np.float64), n_groups * width).reshape(n_groups, width)
 
 
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all values of a column of bytes, without nulls, behind each other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
 def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """``flat`` cut into one value of bytes per size."""
     offsets = np.concatenate([[0], np.cumsum(sizes * flat.itemsize)]).astype(np.int32)
