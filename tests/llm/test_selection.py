@@ -321,3 +321,21 @@ def test_pipeline_stages(spark):
         docs = after.checkpoint()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_exchange_steps_read_bytes_and_count_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = Counter((rng.randrange(12), rng.randrange(12)) for _ in range(90))
+    pairs.update({(13, k): k + 1 for k in range(12)})  # nothing comes before the end, and code 12 never comes
+    table = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a int, b int, n long").repartition(5)
+    kept = {}
+    monkeypatch.setattr(class_lm, "stored", lambda df, name, *rest: kept.setdefault(name, df.persist()))
+    state, counts = class_lm.exchange(table, 12, classes=3)
+    assert {f.dataType.simpleString() for f in kept["neighbours"].schema if f.name != "w"} == {"binary"}
+    whole = np.zeros((5, 5), np.int64)
+    for (a, b), n in pairs.items():
+        whole[state[a], state[b]] += n
+    assert (counts == whole).all() and set(state[:12]) <= {0, 1, 2} and state[12:].tolist() == [3, 4]
+    kept.clear()
+    state, counts = class_lm.exchange(table.limit(0), 0, classes=3)
+    assert state.tolist() == [3, 4] and not counts.any()
