@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -339,3 +340,44 @@ def test_exchange_steps_read_bytes_and_count_all_pairs(spark, monkeypatch):
     kept.clear()
     state, counts = class_lm.exchange(table.limit(0), 0, classes=3)
     assert state.tolist() == [3, 4] and not counts.any()
+
+
+def test_blocks_of_words_hold_codes_and_no_text(tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "gamma-delta", "É"]) for _ in range(300)) + " \n" for _ in range(1200)] + ["", " "]
+    rows = pa.table({"doc_id": range(len(texts)), "text": texts})
+    n_bytes = rows.nbytes
+    with pa.OSFile(str(tmp_path / "rows"), "wb") as file, pa.ipc.new_stream(file, rows.schema) as out:
+        out.write_table(rows, max_chunksize=100)
+    del rows
+    for given, numbered in (([b"beta"], True), ([b"beta", b"alpha"], False)):
+        before = pa.total_allocated_bytes()
+        blocks, seen = class_lm._Blocks(given, **({} if numbered else {"numbered": False})), 0
+        for _, words, parts in blocks.walk(iter(pa.ipc.open_stream(pa.OSFile(str(tmp_path / "rows"), "rb"))), 1):
+            assert pa.total_allocated_bytes() - before < n_bytes / 10  # neither texts nor copies of their words
+            assert words[: len(given)] == given
+            for (doc_ids,), codes, lengths in parts:
+                for k, own in zip(doc_ids.to_pylist(), np.split(codes, np.cumsum(lengths)[:-1])):
+                    expected = [w.encode() for w in texts[k].replace("A", "a").split()]
+                    assert len(own) == len(expected)
+                    if numbered:
+                        assert [words[c] for c in own] == expected
+                    else:
+                        assert own.tolist() == [given.index(w) if w in given else len(given) for w in expected]
+                    seen += 1
+        assert seen == len(texts)
+        assert len(words) == (4 if numbered else 2)
+
+
+def test_bigrams_are_summed_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "PAIRS", 3, raising=False)
+    monkeypatch.setattr(class_lm, "SLICE", 2)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(9))) for _ in range(60)] + [None, " A "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    expected = Counter()
+    for t in texts:
+        line = [3] + [min("abcde".index(w), 2) for w in (t or "").lower().split()] + [3]
+        expected.update(zip(line, line[1:]))
+    found = class_lm.bigrams(docs.na.fill(""), [b"a", b"b"]).collect()
+    assert {(r.a, r.b): r.n for r in found} == expected

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count as counter
+from itertools import count as counter, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ TOLERANCE = 0.05
 # Documents whose words share one table in a task, and words after which such a block ends.
 BLOCK_BITS, BLOCK_WORDS = 13, 4 << 20
 SLICE = 256
+# Pairs of words that a task lists anew before it sums them, besides as many as it has twice.
+PAIRS = 500_000
 # Count of the one word that stands for all unknown ones.
 DELTA = 0.5
 # Counts whose change of the likelihood is looked up, and words whose classes are compared at a time.
@@ -33,45 +36,51 @@ SMALL, CHUNK = 32, 1024
 class _Blocks:
     """Walks over a task's batches in blocks of documents; each word of a block has a code.
 
-    The given words have the first codes, in their order; a block's other words are numbered after them. A block ends
-    with its last place for a document or with ``BLOCK_WORDS`` words, so long texts make short blocks.
+    The given words have the first codes, in their order; a block's other words are numbered after them as they come,
+    or share the code after them unless ``numbered``. A slice is coded when it is read, so a block holds its words' codes
+    and each distinct word once, but no text. A block ends with its last place for a document or with ``BLOCK_WORDS``
+    words, so long texts make short blocks.
     """
 
-    def __init__(self, words: list[bytes]) -> None:
-        self.words, self.codes = words, {w: k for k, w in enumerate(words)}
+    def __init__(self, words: list[bytes], numbered: bool = True) -> None:
+        self.words, self.numbered = words, numbered
 
     def walk(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
-        """(block number, its words, list of (batch slice, codes of its words in order, words per row))."""
-        number, held, size, n_words = 0, [], 0, 0
+        """(block number, its words, list of (the slice's other columns, codes of its words in order, words per row))."""
+        number, size, n_words, codes, held = 0, 0, 0, self._begun(), []
         for whole in batches:
             at = 0
             while at < whole.num_rows:
                 batch = whole.slice(at, min(SLICE, (1 << BLOCK_BITS) - size, whole.num_rows - at))
-                lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(column)))
-                held.append((batch, lists.flatten(), np.diff(lists.offsets.to_numpy())))
-                at, size, n_words = at + len(batch), size + len(batch), n_words + len(held[-1][1])
+                own, lengths = self._coded(batch.column(column), codes)
+                rest = [c for k, c in enumerate(batch.columns) if k != column]
+                # copied, as a batch of Spark's is one buffer that a slice of any column would keep whole
+                held.append(([pc.take(c, pa.array(np.arange(len(batch)))) for c in rest], own, lengths))
+                at, size, n_words = at + len(batch), size + len(batch), n_words + len(own)
                 if size == 1 << BLOCK_BITS or n_words > BLOCK_WORDS:
-                    yield number, *self._coded(held)
-                    number, held, size, n_words = number + 1, [], 0, 0
+                    words, codes = list(codes)[1:], None
+                    yield number, words, held
+                    number, size, n_words, codes, held = number + 1, 0, 0, self._begun(), []
+            whole = batch = rest = None
         if held:
-            yield number, *self._coded(held)
-
-    def _coded(self, held: list[tuple]) -> tuple[list[bytes], list[tuple]]:
-        numbered = pa.chunked_array([flat for _, flat, _ in held]).combine_chunks().dictionary_encode()
-        words, code_of = list(self.words), np.empty(len(numbered.dictionary), np.int32)
-        for k, word in enumerate(numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)):
-            code = self.codes.get(word, -1)
-            if code < 0 and word:
-                code = len(words)
-                words.append(word)
-            code_of[k] = code
-        codes, parts, start = code_of[numbered.indices.to_numpy()], [], 0
-        for batch, flat, lengths in held:
-            own = codes[start : start + len(flat)]
-            start += len(flat)
-            owners = np.repeat(np.arange(len(lengths)), lengths)[own >= 0]  # white space at the ends splits off nothing
-            parts.append((batch, own[own >= 0], np.bincount(owners, minlength=len(lengths))))
-        return words, parts
+            words, codes = list(codes)[1:], None
+            yield number, words, held
+
+    def _begun(self) -> dict[bytes, int]:
+        """Codes by word, in their order; white space at the ends of a text splits off an empty one, which comes first."""
+        codes = {b"": -1, **{w: k for k, w in enumerate(self.words)}}
+        return defaultdict(counter(len(self.words)).__next__, codes) if self.numbered else codes
+
+    def _coded(self, texts: pa.Array, codes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, words per row); new words are added to ``codes`` if they are numbered."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lengths = np.diff(lists.offsets.to_numpy())
+        distinct = lists.flatten().dictionary_encode()
+        found = distinct.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        known = map(codes.__getitem__, found) if self.numbered else map(codes.get, found, repeat(len(self.words)))
+        own = np.fromiter(known, np.int32, len(found))[distinct.indices.to_numpy()]
+        owners = np.repeat(np.arange(len(lengths)), lengths)[own >= 0]
+        return own[own >= 0], np.bincount(owners, minlength=len(lengths))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -79,7 +88,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table, parts in _Blocks([]).walk(batches, 0):
-            totals = np.bincount(np.concatenate([codes for _, codes, _ in parts]), minlength=len(table))
+            totals = np.zeros(len(table), np.int64)
+            for _, codes, _ in parts:
+                totals += np.bincount(codes, minlength=len(table))
             if len(table):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(table, pa.binary()), pa.array(totals, pa.int64())], ["word", "n"])
@@ -96,14 +107,16 @@ def bigrams(docs: DataFrame, words: list[bytes]) -> DataFrame:
     width = rare + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, totals = np.empty(0, np.int64), np.empty(0, np.int64)
-        for _, _, parts in _Blocks(words).walk(batches, 0):
-            for _, codes, lengths in parts:
-                line = _with_ends(np.minimum(codes, rare), lengths, rare + 1)
+        keys, totals, n_summed = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        for _, _, parts in _Blocks(words, numbered=False).walk(batches, 0):
+            for last, (_, codes, lengths) in enumerate(parts, 1 - len(parts)):
+                line = _with_ends(codes, lengths, rare + 1)
                 pairs, n = np.unique(line[:-1].astype(np.int64) * width + line[1:], return_counts=True)
                 keys, totals = np.concatenate([keys, pairs]), np.concatenate([totals, n])
-            keys, place = np.unique(keys, return_inverse=True)
-            totals = np.bincount(place, weights=totals, minlength=len(keys)).astype(np.int64)
+                if last == 0 or len(keys) > 2 * n_summed + PAIRS:
+                    keys, place = np.unique(keys, return_inverse=True)
+                    totals = np.bincount(place, weights=totals, minlength=len(keys)).astype(np.int64)
+                    n_summed = len(keys)
         yield pa.RecordBatch.from_arrays(
             [pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(totals)],
             ["a", "b", "n"])
@@ -327,7 +340,8 @@ def word_classes(contexts: DataFrame, counts: np.ndarray, classes: int) -> DataF
 
 def _pairs(owner: np.ndarray, value: np.ndarray, n_owners: int, width: int, kind: np.dtype) -> pa.Array:
     """Per owner how often each value occurs, as pairs of value and number; a large number takes several pairs."""
-    key, times = np.unique(owner.astype(np.int64) * width + value, return_counts=True)
+    small = np.int32 if n_owners * width < 1 << 31 else np.int64
+    key, times = np.unique(owner.astype(small) * small(width) + value.astype(small), return_counts=True)
     most = np.iinfo(kind).max
     parts = -(-times // most)
     key = np.repeat(key, parts)
@@ -408,7 +422,7 @@ def class_scores(
         for number, table, parts in _Blocks(words).walk(batches, 1):
             block = (task << 20) + number
             found, befores, afters = [], [], []
-            for batch, codes, lengths in parts:
+            for (doc_ids, held), codes, lengths in parts:
                 size = len(lengths)
                 short = np.minimum(codes, rare)
                 owners = np.repeat(np.arange(size), lengths)
@@ -417,12 +431,12 @@ def class_scores(
                 known = np.bincount(owners, codes < rare, size) + (n_ends > 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(size, kinds[0]), pa.array(np.full(size, block)), *(pa.nulls(size, k) for k in kinds[2:5]),
-                     batch.column(0), batch.column(2), pa.array(known.astype(np.int64)),
+                     doc_ids, held, pa.array(known.astype(np.int64)),
                      pa.array(np.bincount(owners, base[short], size) + base[end]),
                      pa.array(np.bincount(owners, own[short], size)), _binaries(line, lengths)], names)
                 whole = _with_ends(codes, lengths, -1)
                 at = np.flatnonzero((whole >= rare) & np.concatenate([[False], np.repeat(
-                    ~batch.column(2).to_numpy(zero_copy_only=False), lengths + 1)]))
+                    ~held.to_numpy(zero_copy_only=False), lengths + 1)]))
                 around = np.where(whole < 0, last, state[np.clip(whole, 0, rare)])
                 found.append(whole[at] - rare)
                 for side, other in ((befores, at - 1), (afters, at + 1)):
